@@ -1,22 +1,24 @@
 """SimHash near-duplicates through covering locality-sensitive hashing.
 
-Every bit position gets a vector of r + 1 bits, each vector equally often; a table for each
-non-zero vector v keeps the positions whose vector has an odd product with v. Two fingerprints
-that differ in at most r positions have a v that is even on all of these (r equations in r + 1
-unknowns), so they agree in v's table: no pair is missed. With r = 3 and 64 bits there are 15
-tables of 32 bits. Buckets with too many fingerprints are hashed again on the bits that are
-still free: 15 tables of 16 bits, then of 8. After that 8 bits are free, so no bucket can hold
-more than 256 fingerprints, whatever the data.
+For radius r every bit position i gets a vector (1, x_i) of r + 1 bits, the x_i in turn; a
+table for each vector v keeps the positions whose vector has an odd product with v. Two
+fingerprints that differ in 1 to r positions have a v, other than (1, 0...0), that is even on
+all of these (r equations in r + 1 unknowns), so they agree in v's table: no pair is missed.
+There are 2^(r + 1) - 2 tables; radius 3 on 64 bits has 14 tables of 32 bits. Buckets with too
+many fingerprints are hashed again on the bits that are still free, down to 16 bits and then 8
+for radius 3, so that no bucket can hold more than 256 fingerprints whatever the data; for a
+larger radius some of the last tables keep fewer bits and a bucket holds at most 65,536.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -25,14 +27,13 @@ from .shared import staged, table
 RADIUS, SEED, BUCKET = 3, 42, 256
 
 
-def covering_masks(free: list[int], radius: int = RADIUS) -> list[int]:
-    """Masks over the free bit positions, one for each non-zero vector of radius + 1 bits."""
-    width = 1 << (radius + 1)
-    return [sum(1 << p for i, p in enumerate(free) if bin((i % width) & v).count("1") % 2) for v in range(1, width)]
-
-
-def _free(mask: int, of: list[int]) -> list[int]:
-    return [p for p in of if not mask >> p & 1]
+@functools.lru_cache(maxsize=100_000)
+def free_bits(free: int, radius: int) -> tuple[int, ...]:
+    """For each table over the free bits (a set of positions): the bits that it leaves free."""
+    places = [p for p in range(64) if free >> p & 1]
+    vectors = [1 | (i % (1 << radius)) << 1 for i in range(len(places))]
+    left = {sum(1 << p for p, m in zip(places, vectors) if (m & v).bit_count() % 2 == 0) for v in range(2, 2 << radius)}
+    return tuple(sorted(x - (1 << 64) if x >> 63 else x for x in left))
 
 
 def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
@@ -66,21 +67,23 @@ def fingerprints(docs: DataFrame, words: int, text: str = "text", name: str = "f
     return docs.mapInPandas(run, schema)
 
 
-def _bucketed(rows: DataFrame, masks: Column) -> DataFrame:
-    """A row for each table: path of tables, bits kept so far, bits of the fingerprint under them."""
-    each = rows.select("fp", "path", "free", F.posexplode(masks).alias("table", "mask"))
-    return each.select("fp", (F.col("path") * 16 + F.col("table") + 1).alias("path"), F.col("fp").bitwiseAND(F.bitwise_not("free")).bitwiseOR(F.col("fp").bitwiseAND(F.col("mask"))).alias("bits"),
-                       F.col("free").bitwiseAND(F.bitwise_not("mask")).alias("free"))
+def _first_tables(fps: DataFrame, radius: int) -> DataFrame:
+    """A row for each fingerprint and table: the bits left free and a hash of the bucket."""
+    each = fps.select("fp", F.explode(F.array(*[F.lit(x).cast("long") for x in free_bits((1 << 64) - 1, radius)])).alias("free"))
+    return each.select("fp", "free", F.xxhash64("free", F.col("fp").bitwiseAND(F.bitwise_not("free"))).alias("bucket"))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _next_tables(rows: DataFrame, radius: int) -> DataFrame:
+    """The same one level down, for fingerprints of large buckets."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for free, own in frame.groupby("free")["fp"]:
+                left = np.array(free_bits(int(free) & (1 << 64) - 1, radius), dtype=np.int64)
+                yield pd.DataFrame({"fp": np.repeat(own.to_numpy(), len(left)), "free": np.tile(left, len(own))})
 
-def _masks_for(free: list[int]) -> dict[int, list[int]]:
-    """For each set of free bits after a table: the masks of the tables below it."""
-    full = sum(1 << p for p in free)
-    return {_signed(full & ~m): [_signed(x) for x in covering_masks(_free(m, free))] for m in covering_masks(free)}
+    each = rows.select("fp", "free").mapInPandas(run, "fp long, free long")
+    return each.select("fp", "free", F.xxhash64("free", F.col("fp").bitwiseAND(F.bitwise_not("free"))).alias("bucket"))
 
 
 def _spanning(radius: int):
@@ -90,19 +93,18 @@ def _spanning(radius: int):
         for frame in frames:
             a, b = [], []
             for members in frame["members"]:
-                fp = np.asarray(members, dtype=np.int64).view(np.uint64)
-                near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
-                open_ = np.ones(len(fp), dtype=bool)
-                for first in range(len(fp)):
-                    if open_[first]:
-                        open_[first], todo = False, [first]
-                        while todo:
-                            i = todo.pop()
-                            new = np.flatnonzero(near[i] & open_)
-                            open_[new] = False
-                            a += [fp[i]] * len(new)
-                            b += fp[new].tolist()
-                            todo += new.tolist()
+                left = np.unique(np.asarray(members, dtype=np.int64)).view(np.uint64)
+                while len(left) > 1:
+                    todo, left = [left[0]], left[1:]
+                    while todo and len(left):
+                        one = todo.pop()
+                        near = np.bitwise_count(left ^ one) <= radius
+                        if near.any():
+                            new = left[near]
+                            a += [one] * len(new)
+                            b += list(new)
+                            todo += list(new)
+                            left = left[~near]
             yield pd.DataFrame({"a": np.array(a, dtype=np.uint64).view(np.int64), "b": np.array(b, dtype=np.uint64).view(np.int64)})
 
     return run
@@ -111,39 +113,29 @@ def _spanning(radius: int):
 def near_edges(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) whose components are those of all fingerprint pairs within the radius.
 
-    fps: distinct fingerprints in column fp. Buckets of up to `bucket` fingerprints (256 or
-    more) are compared in one row; larger ones go down a level, at most twice.
+    fps: distinct fingerprints in column fp. Buckets of up to `bucket` fingerprints are
+    compared in one row; larger ones go down a level, at most twice.
     """
-    if radius != RADIUS or bucket < 256:
-        raise ValueError("the tables are laid out for radius 3 and buckets of 256 or more")
-    found, bits = [], list(range(64))
-    below = _masks_for(bits)
-    rows = fps.select("fp", F.lit(0).cast("long").alias("path"), F.lit(-1).cast("long").alias("free"))
-    masks: Column = F.array(*[F.lit(_signed(m)).cast("long") for m in covering_masks(bits)])
+    found, rows = [], None
     for level in range(3):
-        each = _bucketed(rows, masks)
-        sizes = each.groupBy("path", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+        each = _next_tables(rows, radius) if rows is not None else _first_tables(fps, radius)
+        sizes = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         small = sizes if level == 2 else sizes.filter(F.col("n") <= bucket)
-        groups = each.join(small, ["path", "bits"]).groupBy("path", "bits").agg(F.collect_list("fp").alias("members"))
+        groups = each.select("fp", "bucket").join(small.select("bucket"), "bucket").groupBy("bucket").agg(F.collect_list("fp").alias("members"))
         found.append(groups.select("members").mapInPandas(_spanning(radius), "a long, b long"))
-        if level == 2:
-            break
-        large = sizes.filter(F.col("n") > bucket).select("path", "bits")
-        rows = staged(each.join(large, ["path", "bits"], "left_semi").select("fp", "path", "free"), "large-buckets")
-        if rows.isEmpty():
-            break
-        held = F.create_map(*[x for free, own in below.items() for x in (F.lit(free).cast("long"), F.array(*[F.lit(m).cast("long") for m in own]))])
-        masks = F.element_at(held, F.col("free"))
-        if level == 0:
-            below = {k: v for free in below for k, v in _masks_for([p for p in bits if free >> p & 1]).items()}
+        if level < 2:
+            large = sizes.filter(F.col("n") > bucket).select("bucket")
+            rows = staged(each.join(large, "bucket", "left_semi").select("fp", "free").distinct(), "large-buckets")
+            if rows.isEmpty():
+                break
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def simhash_groups(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint, component_id) of every row: the smallest key that links of at most 3 bits reach.
+def simhash_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fingerprint, component_id) of every row: the smallest key that links of at most `radius` bits reach.
 
     A fingerprint's bit is 1 if it is set in over half of the XXH64 hashes of the word
     shingles; a text with fewer words is one shingle; null, empty and blank texts have
@@ -152,7 +144,7 @@ def simhash_groups(docs: DataFrame, words: int = 5, key: str = "doc_id", text: s
     """
     rows = staged(fingerprints(docs.select(key, text), words, text), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min(key).alias("least"))
-    links = connected_components(near_edges(nodes.select("fp")))
+    links = connected_components(near_edges(nodes.select("fp"), radius))
     rooted = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(rooted.join(roots, "root").select("fp", "component_id"), "components")
@@ -160,16 +152,20 @@ def simhash_groups(docs: DataFrame, words: int = 5, key: str = "doc_id", text: s
     return rows.join(named, "fp").select(key, shown.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose key is the smallest of their near-duplicate group, with the columns of docs.
 
-    Rows that repeat the key stay one row. Null keys stay only in groups without other keys.
+    Of rows that repeat a key one stays. Rows without a key can't be told apart and all stay.
     """
-    names = docs.columns
-    kept = simhash_groups(docs, words, key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([key]).select(names)
+    groups = staged(simhash_groups(docs, words, radius, key, text), "near-duplicates")
+    copies = groups.filter(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = docs.join(copies, key, "left_anti")
+    again = groups.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1").select(key)
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key])).select(docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, by 3-word shingles and 3 bits."""
-    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3)
+    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, radius=RADIUS)
