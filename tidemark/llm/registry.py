@@ -12,11 +12,12 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language_id import op4_language_id
 from .mixing import op6_source_mixing
 from .simhash import op1_simhash
+from .substring_dedup import op9_substring_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_simhash, op2_chat_format, op3_exact_dedup, op4_language_id, op5_token_counts, op6_source_mixing, op7_toxicity, op8_decontamination)}
+        op1_simhash, op2_chat_format, op3_exact_dedup, op4_language_id, op5_token_counts, op6_source_mixing, op7_toxicity, op8_decontamination, op9_substring_dedup)}
 
 SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontamination": OP8_SQL}
