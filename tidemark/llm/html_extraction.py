@@ -9,6 +9,7 @@ that it learns more layouts than the sample has.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import zlib
@@ -81,10 +82,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
 
     at = 0
     while True:
-        found = TOKEN.search(page, at)
-        text(page[at:found.start()] if found else page[at:])
-        if not found:
+        mark = page.find("<", at)
+        text(page[at:mark] if mark >= 0 else page[at:])
+        if mark < 0:
             break
+        found = TOKEN.match(page, mark)
         at, tag = found.end(), (found["tag"] or "").lower()
         if not tag:
             if found[0] == "<":
@@ -131,6 +133,7 @@ def markup_label(path: tuple[str, ...]) -> int:
     return int(bool({"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "td", "dd"} & set(path[-1:])))
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def _slot(value: str, size: int) -> int:
     return zlib.crc32(value.encode()) % size
 
@@ -229,6 +232,9 @@ def strewn(page: list, rng: np.random.Generator) -> tuple[list, list[int]]:
     words = [w for _, text, _ in page for w in text.split()] or ["text"]
     swap = {"article": [("article",), ("main",), ("div", ".content"), ("main", "article"), ("div", ".entry"), ("section", ".post")][rng.integers(6)]} if rng.random() < 0.5 else {}
     out = [(tuple(y for x in path for y in swap.get(x, (x,))), text, linked) for path, text, linked in page]
+    if rng.random() < 0.5:  # main text in other elements than paragraphs
+        leaf = [("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("pre",), ("table", "tr", "td"), ("h2",), ("div",), ("section", "p"), ("dl", "dd")]
+        out = [((*path[:-1], *leaf[rng.integers(len(leaf))]) if y and path[-1:] == ("p",) and rng.random() < 0.5 else path, text, linked) for (path, text, linked), y in zip(out, labels)]
     for _ in range(int(rng.integers(0, 7))):
         path, link = STREWN[rng.integers(len(STREWN))]
         text = " ".join(words[int(j)] for j in rng.integers(len(words), size=int(rng.integers(1, 30))))

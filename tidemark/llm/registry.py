@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP2_SQL, op2_chat_format
 from .decontamination import OP8_SQL, op8_decontamination
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .html_extraction import op10_html_extraction
 from .language_id import op4_language_id
 from .mixing import op6_source_mixing
 from .simhash import op1_simhash
@@ -18,6 +19,6 @@ from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_simhash, op2_chat_format, op3_exact_dedup, op4_language_id, op5_token_counts, op6_source_mixing, op7_toxicity, op8_decontamination, op9_substring_dedup)}
+        op1_simhash, op2_chat_format, op3_exact_dedup, op4_language_id, op5_token_counts, op6_source_mixing, op7_toxicity, op8_decontamination, op9_substring_dedup, op10_html_extraction)}
 
 SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontamination": OP8_SQL}
