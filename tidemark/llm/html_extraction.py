@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
+from .word_arrays import NOT_SPACE, Words
 
 #: Hashed inputs for path and words, hidden units a direction, pages of the training sample, rounds over it, pages of a batch.
 PATH, WORDS, COUNTS, HIDDEN, SAMPLE_PAGES, ROUNDS, BATCH = 256, 32, 4, 16, 400, 8, 16
@@ -147,10 +148,12 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
         if path:
             last = next((n for n in reversed(path) if n[0] != "."), "")
             x[i, _slot("last:" + last, PATH)] = 1
-        words = text.split()
-        slots = np.bincount([_slot(w.lower(), WORDS) for w in words], minlength=WORDS)
-        x[i, PATH:PATH + WORDS] = slots / len(words)
-        x[i, -COUNTS:] = np.log1p(len(words)) / 5, linked / max(1, len(text)), i / len(page), text[-1] in ".!?:;\"'"
+        x[i, -COUNTS:] = 0, linked / max(1, len(text)), i / len(page), text[-1] in ".!?:;\"'"
+    if page:
+        words = Words([text.encode().lower() for _, text, _ in page], NOT_SPACE)
+        slots = (words.hashes() >> np.uint64(33)).astype(np.int64) % WORDS
+        x[:, PATH:PATH + WORDS] = np.bincount(words.text * WORDS + slots, minlength=len(page) * WORDS).reshape(-1, WORDS) / words.count[:, None]
+        x[:, -COUNTS] = np.log1p(words.count) / 5
     return x
 
 
