@@ -167,17 +167,23 @@ def time_split_large(df: DataFrame, item: str, date: str, key: str, label: str =
     return out.unionByName(df.filter(~F.coalesce(able, F.lit(False))).withColumn("split", F.lit("Prediction")))
 
 
-def target_encoding(df: DataFrame, category: str, target: str, k: float = 10.0, default: float = 5.0) -> DataFrame:
-    """A10: per category the mean target on Train, drawn to the global mean by k rows; unseen ones get the global mean.
+def target_encodings(df: DataFrame, categories: Sequence[str], target: str, k: float = 10.0, default: float = 5.0) -> DataFrame:
+    """A10: per category value the mean target on Train, drawn to the global mean by k rows; unseen ones get the global mean.
 
-    The global mean is that of Train, else of all labelled rows, else the default.
+    The global mean is that of Train, else of all labelled rows, else the default. One pass
+    over df sums for all categories at once; what is joined back has a row a category value.
     """
-    train = df.filter(F.col("split") == "Train")
-    mean = F.coalesce(F.avg(F.when(F.col("split") == "Train", F.col(target))), F.avg(F.when(F.col("label") == "Y", F.col(target))), F.lit(default))
-    overall = df.agg(mean.alias("__g"))
-    per = train.groupBy(category).agg(F.avg(target).alias("__m"), F.count(target).alias("__n"))
-    smooth = (F.col("__m") * F.col("__n") + F.col("__g") * k) / (F.col("__n") + k)
-    return df.join(per, category, "left").join(F.broadcast(overall)).withColumn(f"{category}_te", F.coalesce(smooth, F.col("__g"))).drop("__m", "__n", "__g")
+    train = F.when(F.col("split") == "Train", F.col(target))
+    values = F.explode(F.array(F.struct(F.lit("").alias("c"), F.lit(None).cast("string").alias("v")), *[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in categories]))
+    sums = (df.select(train.alias("t"), F.when(F.col("label") == "Y", F.col(target)).alias("y"), values.alias("x"))
+            .groupBy("x.c", "x.v").agg(F.avg("t").alias("m"), F.count("t").alias("n"), F.avg("y").alias("y")))
+    overall = sums.filter("c = ''").select(F.coalesce("m", "y", F.lit(default)).alias("__g"))
+    out = df.join(F.broadcast(overall))
+    for c in categories:
+        per = sums.filter((F.col("c") == c) & (F.col("n") > 0)).select(F.col("v").alias("__v"), F.col("m").alias("__m"), F.col("n").alias("__n"))
+        smooth = (F.col("__m") * F.col("__n") + F.col("__g") * k) / (F.col("__n") + k)
+        out = out.join(per, F.col(c).cast("string") == F.col("__v"), "left").withColumn(f"{c}_te", F.coalesce(smooth, "__g")).drop("__v", "__m", "__n")
+    return out.drop("__g")
 
 
 def guard_leaks(columns: Sequence[str], features: Sequence[str], leaks: Sequence[str]) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -116,3 +117,18 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.parquet(path)
     except AnalysisException as e:
         raise FileNotFoundError(path) from e
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the folder of spark.checkpoint.dir and read back, for what several later steps read.
+
+    A local folder is made only where that setting is missing, as in tests.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
