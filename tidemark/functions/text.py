@@ -107,7 +107,8 @@ def reply_json(reply: Column) -> Column:
 
 def judge_score(value: Column) -> Column:
     """a score from 1 to 5; what is no number counts as 1."""
-    return F.coalesce(F.greatest(F.least(F.rint(value.try_cast("double")), F.lit(5.0)), F.lit(1.0)), F.lit(1.0)).cast("int")
+    score = F.rint(value.try_cast("double"))
+    return F.when(score.isNull(), 1).otherwise(F.greatest(F.least(score, F.lit(5.0)), F.lit(1.0))).cast("int")
 
 
 BREAK = re.compile(r"[ \n.!?]")
@@ -156,15 +157,21 @@ def bullets(value, depth: int = 0) -> str:
     return "\n".join(f"{' ' * depth}- {head}{body}" for head, body in shown if body)
 
 
-@F.pandas_udf("string")
-def json_bullets(values: pd.Series) -> pd.Series:
-    """F47 over JSON text; what isn't JSON is shown as it is."""
-    def one(v: str | None) -> str:
-        try:
-            return bullets(json.loads(v)) if v else ""
-        except ValueError:
-            return v
-    return values.map(one)
+def json_text_bullets(value: str | None) -> str:
+    """F47 of JSON text; what isn't JSON is shown as it is."""
+    try:
+        return bullets(json.loads(value)) if value else ""
+    except ValueError:
+        return value
+
+
+def json_bullets(value: Column) -> Column:
+    """F47 as a pandas UDF."""
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(json_text_bullets)
+
+    return shown(value)
 
 
 def manual_text(item: Column, fields: Sequence[str] | None = None) -> Column:
