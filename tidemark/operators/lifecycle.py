@@ -65,7 +65,7 @@ def placeholders(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items()})
 
 
-def latest(df: DataFrame, key: str | Sequence[str], *order: Column) -> DataFrame:
+def latest(df: DataFrame, key: str | Sequence[str], *order: Column | str) -> DataFrame:
     """The first row of each key in an order, which must end in a tie-breaker."""
     keys = [key] if isinstance(key, str) else list(key)
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")

@@ -51,7 +51,7 @@ def outcomes(spark: SparkSession, d: str, flag: str) -> DataFrame:
         F.col("l_linestatus").alias("approval"), (F.col("l_suppkey") % 5).alias("reason"), (F.col("l_partkey") % 4).alias("method"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-TIES = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")]
+TIES = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
 def latest_outcome(spark: SparkSession, d: str, flag: str) -> DataFrame:
