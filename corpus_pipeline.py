@@ -16,8 +16,9 @@ from tidemark.llm.shared import staged, table
 from tidemark.llm.simhash import keep_one
 from tidemark.llm.toxicity import drop_toxic
 
-#: Bits of 64 in which near-duplicates' fingerprints of five-word shingles may differ.
-NEAR_BITS = 6
+#: Near-duplicates: fingerprints of five-word shingles that differ in at most NEAR_BITS of 64 bits link, none is
+#: missed; up to REACH_BITS (similarity 0.8) those link that meet in a table and have a Jaccard index of 0.8 or more.
+NEAR_BITS, REACH_BITS, SIMILARITY, USED_BITS = 6, 12, 0.8, 48
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    return keep_one(docs, words=5, radius=NEAR_BITS)
+    return keep_one(docs, words=5, radius=NEAR_BITS, reach=REACH_BITS, similarity=SIMILARITY, used=USED_BITS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

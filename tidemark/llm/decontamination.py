@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged, table
+from .shared import map_texts, staged, table
 from .word_arrays import ALNUM, Words, batches, mixed
 
 #: Words of a window, bytes of a shard, and bytes of benchmark text in a block that is sent to all tasks.
@@ -128,7 +128,7 @@ def _search(block: BenchmarkBlock, schema: str, shard_bytes: int, docs: DataFram
                     items[row] = sorted({*items[row], *(block.ids[i] for w in np.unique(window[own]) for i in block.owners[w])})
             yield frame.assign(n_words=n_words, spans=spans, items=items)
 
-    return docs.mapInPandas(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[dict]:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import map_texts, table
 from .word_arrays import NOT_SPACE, Words
 
 #: Hashed inputs for path and words, hidden units a direction, pages of the training sample, rounds over it, pages of a batch.
@@ -308,7 +308,7 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray], key: str = "page_i
                     texts[j] = "\n\n".join(text for (_, text, _), score in zip(parsed[j], p) if score >= 0.5)
             yield frame[others].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    return pages.select(*[F.col(f"`{c}`") for c in others], F.col(page)).mapInPandas(run, schema)
+    return map_texts(pages.select(*[F.col(f"`{c}`") for c in others], F.col(page)), run, schema, rows=256)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import map_texts, table
 from .word_arrays import batches
 
 #: Hash buckets of n-grams, n-gram sizes in bytes, rows of the training sample, gap in loss under which a text is ambiguous.
@@ -123,7 +123,7 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
             order = np.lexsort((x @ np.arange(BUCKETS, dtype=np.float32), frame["y"]))  # the same sums in any order of rows
             yield pd.DataFrame({"w": [fit_bits(x[order], frame["y"].to_numpy()[order], code).astype("<f4").tobytes()]})
 
-    fitted = sample.select("text", "lang").mapInPandas(count, "y int, at binary, x binary").repartition(1).mapInPandas(fit, "w binary").collect()
+    fitted = map_texts(sample.select("text", "lang"), count, "y int, at binary, x binary").repartition(1).mapInPandas(fit, "w binary").collect()
     return (languages, code, np.frombuffer(fitted[0]["w"], "<f4").reshape(BUCKETS + 1, -1)) if fitted else None
 
 
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
                 lang[able], score[able], doubt[able] = np.array(languages, dtype=object)[best], share, gap < ambiguous
             yield pd.DataFrame({key: frame[key], "lang_pred": lang, "score": score, "ambiguous": doubt})
 
-    return docs.select(key, text).mapInPandas(run, schema)
+    return map_texts(docs.select(key, text), run, schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: White space as the contracts mean it: space, and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -48,6 +53,27 @@ def unstage(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType | str, rows: int = 512) -> DataFrame:
+    """mapInPandas in slices of few rows, so that a worker never holds more than these as Python strings.
+
+    Integers stay integers beside nulls.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    fields = to_arrow_schema(schema)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield batch.slice(i, rows).to_pandas(integer_object_nulls=True)
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(sliced(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema=fields, preserve_index=False)
+
+    return df.mapInArrow(arrow, schema)
+
+
 def word_count(text: Column) -> Column:
     """Number of white-space separated words, null counting as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

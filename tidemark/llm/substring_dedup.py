@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import staged, table
+from .shared import map_texts, staged, table
 from .word_arrays import ALNUM, BASE, INVERSE, Words, batches, mixed
 
 #: Words of a shingle, least similarity, words of a window, places of which each run gives a window, least words of a line.
@@ -113,7 +113,7 @@ def units(docs: DataFrame, limit: int = 1 << 20) -> DataFrame:
                     text = words.text[a]
                     yield pd.DataFrame({"h": run_hash(a, b).view(np.int64), "doc": own[text], "pos": (a - words.first[text]).astype(np.int32), "len": (b - a).astype(np.int32), "bands": pd.Series(bands, dtype=object)})
 
-    return docs.mapInPandas(run, UNITS)
+    return map_texts(docs, run, UNITS)
 
 
 def _line_shingles(docs: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _line_shingles(docs: DataFrame) -> DataFrame:
                         found, begin = _shingles(run_hash, a[same], b[same])
                         yield pd.DataFrame({"h": h[same], "shingles": [np.unique(x).view(np.int64) for x in np.split(found, begin[1:])]})
 
-    return docs.mapInPandas(run, "h long, shingles array<long>")
+    return map_texts(docs, run, "h long, shingles array<long>")
 
 
 def _verified(similarity: float):
@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **o
             frame[text] = [v for _, v in kept]
             yield frame.loc[[k for k, _ in kept], names]
 
-    return joined.mapInPandas(run, docs.schema)
+    return map_texts(joined, run, docs.schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

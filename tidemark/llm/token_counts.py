@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, table
+from .shared import fresh_path, map_texts, table
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 #: The public vocabulary that the query counts with.
@@ -58,7 +58,7 @@ def encode_misses(misses: DataFrame, path: str, version: str, batch: int = 64) -
                 counts += count(frame["text"].iloc[i:i + batch].tolist())
             yield pd.DataFrame({"digest": frame["digest"], "version": version, "n_tokens": pd.Series(counts, dtype="int64", index=frame.index)})
 
-    return misses.mapInPandas(run, CACHE_SCHEMA)
+    return map_texts(misses, run, CACHE_SCHEMA)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:

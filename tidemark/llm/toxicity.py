@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import map_texts, table
 from .word_arrays import ALNUM, Words, batches
 
 #: Hash buckets of words and word beginnings, lengths of beginnings in bytes, rows of the training sample, folds.
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, sa
 
     kind = own.schema["__key"].dataType.simpleString()
     schema = f"__key {kind}, " + "".join(f"{c} double, " for c in names) + "found binary"
-    fitted = own.mapInPandas(count, schema).repartition(1).mapInPandas(fit, "model binary").collect()
+    fitted = map_texts(own, count, schema).repartition(1).mapInPandas(fit, "model binary").collect()
     return [Link(*x) for x in pickle.loads(fitted[0]["model"])] if fitted else None
 
 
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: list[Link] | None, chain: tuple[str, ...] = CH
                     p[start:start + size, c] = link.probability(x, p[start:start + size, :c])
             yield frame[others].assign(**{name: p[:, c] for c, name in enumerate(new)})
 
-    return docs.mapInPandas(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, chain: tuple[str, ...] = CHAIN) -> DataFrame:
