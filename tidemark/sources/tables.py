@@ -25,8 +25,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, require
     """A CSV with header and declared types; missing or empty gives an empty table.
 
     A missing required table raises. Codes stay text because nothing is inferred. encoding
-    names the character set of legacy files, such as cp949.
+    names the character set of legacy files, such as cp949; for those Spark's setting that
+    allows all of Java's character sets is switched on in the session.
     """
+    if encoding.lower() not in ("utf-8", "utf-16", "utf-32", "iso-8859-1", "us-ascii"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     if not exists(spark, path):
         if required:
             raise FileNotFoundError(path)
