@@ -204,6 +204,29 @@ def test_unique_sets():
     assert list(ml.unique_sets({"a": ["x", "y", "z"], "b": ["z", "y", "x"], "c": ["x", "y"]})) == ["a"]
 
 
+def life(spark, n=120):
+    rows = [(float(i % 7), float(i % 5), float(i % 3), None if i == 3 else float(i % 2), 10.0 * (i % 7) + i % 5) for i in range(n)]
+    return spark.createDataFrame(rows, "a double, b double, c double, d double, target double")
+
+
+def test_model_is_pruned_saved_and_ranked(spark, tmp_path):
+    df, columns = life(spark), ["a", "b", "c", "d"]
+    forest = ml.life_regressors()["forest"]
+    model = ml.fit_model(df, columns, forest)
+    ranking = ml.importance(model, columns)
+    assert ranking[0][0] == "a" and set(ml.top_sets(ranking, (2, 3, 9))) == {"top_2", "top_3"}
+    assert ml.prune(df, df, columns, forest)[:1] == ["a"]
+    record = ml.metadata(columns, {"rmse": 1.5, "r2": float("nan")}, {"train": 120}, True)
+    ml.save_model(model, str(tmp_path / "m"), record)
+    assert '"r2": null' in spark.read.text(str(tmp_path / "m/record")).first()["value"]
+    assert ml.PipelineModel.load(str(tmp_path / "m/model")).transform(df).count() == 120
+
+
+def test_fit_without_complete_rows(spark):
+    df = life(spark).withColumn("d", F.lit(None).cast("double")).withColumn("c", F.when(F.col("a") > 2, F.col("c")))
+    assert ml.fit_model(df.withColumn("d", F.when(F.col("c").isNull(), 1.0)), ["a", "b", "c", "d"], ml.life_regressors()["boosted"]).transform(life(spark)).count() == 120
+
+
 # --- retrieval ---
 
 def found(spark, rows):

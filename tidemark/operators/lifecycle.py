@@ -96,7 +96,7 @@ def number_large_years(df: DataFrame, date: str, key: Column, prefix: str = "M",
 def validity(history: DataFrame, key: str = "asset_id", at: str = "changed_at") -> DataFrame:
     """valid_from, valid_to (a day before the next change, else 2099-12-31) and is_current. at must be unique in a key."""
     following = F.lead(at).over(Window.partitionBy(key).orderBy(at))
-    return history.withColumns({"valid_from": F.col(at), "valid_to": F.coalesce(following - F.expr("INTERVAL 1 DAY"), F.lit(OPEN_END).cast("timestamp")), "is_current": following.isNull()})
+    return history.withColumns({"valid_from": F.col(at), "valid_to": F.coalesce(following - F.expr("INTERVAL 1 DAY"), F.lit(OPEN_END).cast(history.schema[at].dataType)), "is_current": following.isNull()})
 
 
 def held_on(intervals: DataFrame, days: DataFrame, key: str = "asset_id") -> DataFrame:

@@ -40,9 +40,12 @@ def fit_model(df: DataFrame, columns: Sequence[str], estimator: Estimator) -> Pi
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), estimator]).fit(rows)
 
 
-def ridge(alpha: float, rows: int, features: str = "raw") -> list:
-    """M2: stages of a scaled ridge regression; alpha is divided by the rows, as Spark averages the loss."""
-    return [StandardScaler(inputCol=features, outputCol="features", withMean=True), LinearRegression(featuresCol="features", labelCol="target", elasticNetParam=0.0, regParam=alpha / max(1, rows), standardization=False)]
+def fit_ridge(df: DataFrame, columns: Sequence[str], alpha: float) -> PipelineModel:
+    """M2: scaled ridge regression; alpha is divided by the rows, as Spark averages the loss."""
+    rows = df.na.drop(subset=[*columns, "target"])
+    stages, names = with_imputed(df, columns)
+    regression = LinearRegression(featuresCol="features", labelCol="target", elasticNetParam=0.0, regParam=alpha / max(1, rows.count()), standardization=False)
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), regression]).fit(rows)
 
 
 def score(model, df: DataFrame) -> dict[str, float]:

@@ -29,6 +29,15 @@ def m1_life_model(spark, d):
     return model.transform(df).select("asset_id", "split", "target", "prediction")
 
 
+@query()
+def m2_monthly_ridge(spark, d):
+    """Ridge on lags of all nations' series, fitted on Train and Valid, for the months of Test."""
+    lagged = dm.with_lags(dm.with_trend(dm.dense_calendar(dm.monthly_counts(series(spark, d), "day", ["dept"]), ["dept"]), ["dept"]), ["dept"])
+    df = staged(dm.positional_split(lagged, ["dept"]).withColumn("target", F.col("actual").cast("double")), "lags")
+    model = ml.fit_ridge(df.filter("split in ('Train', 'Valid')"), [*(f"lag_{k}" for k in ml.LAGS), "mean_3", "mean_6", "std_6", "month_sin", "month_cos", "trend"], alpha=10.0)
+    return model.transform(df.filter("split = 'Test'")).select("dept", "month", "actual", F.greatest("prediction", F.lit(0.0)).alias("forecast"))
+
+
 @query()
 def m3_model_search(spark, d):
     """Candidates of the search with their metrics on Test."""
@@ -39,6 +48,14 @@ def m3_model_search(spark, d):
     return spark.createDataFrame([tuple(r[c] for c in ("features", "model", "valid_rmse", "rmse", "mae", "r2")) for r in rows], "features string, model string, valid_rmse double, rmse double, mae double, r2 double")
 
 
+@query()
+def m4_grid_search(spark, d):
+    """Cross-validated RMSE of every point of a small grid of forests."""
+    fitted = ml.grid_search(life_rows(spark, d).filter("split = 'Train'"), COLUMNS, folds=3, depths=(3, 5), trees=(5,))
+    rows = [(str({p.name: v for p, v in m.items()}), float(x)) for m, x in zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics)]
+    return spark.createDataFrame(rows, "point string, rmse double")
+
+
 @query()
 def m5_importance(spark, d):
     """Features of the life model by importance."""
