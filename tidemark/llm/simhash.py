@@ -191,7 +191,8 @@ def simhash_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, key: s
         edges = edges.filter(close).unionByName(far)
     links = connected_components(edges)
     rooted = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a table of its own, so that Spark can split the join at the root of a very large component
+    roots = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     named = staged(rooted.join(roots, "root").select("fp", "component_id"), "components")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(named, "fp").select(key, shown.alias("fingerprint"), "component_id")
