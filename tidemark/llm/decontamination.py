@@ -22,7 +22,7 @@ from .shared import map_texts, staged, table
 from .word_arrays import ALNUM, Words, batches, mixed
 
 #: Words of a window, bytes of a shard, and bytes of benchmark text in a block that is sent to all tasks.
-WINDOW, SHARD_BYTES, BLOCK_BYTES = 10, 1 << 21, 8 << 20
+WINDOW, SHARD_BYTES, BLOCK_BYTES = 10, 1 << 19, 8 << 20
 _TABLE = 1 << 22
 SPANS = "array<struct<first:int,last:int>>"
 

@@ -66,6 +66,8 @@ def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd
         for batch in batches:
             for i in range(0, batch.num_rows, rows):
                 yield batch.slice(i, rows).to_pandas(integer_object_nulls=True)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in run(sliced(batches)):

@@ -92,7 +92,7 @@ def _shingles(run_hash, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray
     return run_hash(at, at + SHINGLE), begin
 
 
-def units(docs: DataFrame, limit: int = 1 << 20) -> DataFrame:
+def units(docs: DataFrame, limit: int = 1 << 19) -> DataFrame:
     """Windows and lines of (doc, text) rows; lines alone have bands."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

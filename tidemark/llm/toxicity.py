@@ -26,7 +26,7 @@ LEAST_Z, MOST_FEATURES = 5.0, 2000
 CHAIN = ("quality", "toxic")
 
 
-def features(texts: list, limit: int = 1 << 20, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def features(texts: list, limit: int = 1 << 19, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For consecutive texts: first number, how many, and the distinct (text, bucket) of words and word beginnings; only wanted buckets, if given."""
     for start, raws in batches(texts, limit):
         words = Words(raws, ALNUM)
