@@ -49,9 +49,9 @@ def faq_matches(questions: DataFrame, faq: DataFrame) -> DataFrame:
     faq (pos, question, answer, keywords) is a small table and is broadcast.
     """
     words = faq.select("pos", F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer").alias("shown"), F.transform("keywords", tx.plain).alias("own"))
-    asked = questions.withColumn("__q", tx.plain(F.col("text")))
-    wants = F.col("__q").rlike("|".join(vocab.LIST_WORDS))
-    hit = asked.join(F.broadcast(words), wants | F.exists("own", lambda k: (k != "") & F.contains(F.col("__q"), k)))
+    asked = questions.select("id", tx.plain(F.col("text")).alias("__q"))
+    asked = asked.withColumn("__wants", F.col("__q").rlike("|".join(vocab.LIST_WORDS)))  # once a question, not once a pair
+    hit = asked.join(F.broadcast(words), F.col("__wants") | F.exists("own", lambda k: (k != "") & F.contains(F.col("__q"), k)))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "shown")))
     return hit.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["shown"]), "\n\n").alias("faq"), F.count("*").alias("n_faq"))
 
