@@ -308,7 +308,7 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray], key: str = "page_i
                     texts[j] = "\n\n".join(text for (_, text, _), score in zip(parsed[j], p) if score >= 0.5)
             yield frame[others].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    return map_texts(pages.select(*[F.col(f"`{c}`") for c in others], F.col(page)), run, schema, rows=256)
+    return map_texts(pages.select(*[F.col(f"`{c}`") for c in others], F.col(page)), run, schema)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows of an Arrow batch of texts, of a slice of it as Python strings.
+BATCH_ROWS, SLICE_ROWS = 1000, 250
+
 #: White space as the contracts mean it: space, and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,11 +56,16 @@ def unstage(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType | str, rows: int = 512) -> DataFrame:
+def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType | str, rows: int = SLICE_ROWS) -> DataFrame:
     """mapInPandas in slices of few rows, so that a worker never holds more than these as Python strings.
 
-    Integers stay integers beside nulls.
+    Integers stay integers beside nulls. Texts are long rows: where the session's Arrow batches
+    are larger than BATCH_ROWS, they are set to that, which bounds what an executor and its
+    workers hold at once.
     """
+    setting, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(setting)) <= BATCH_ROWS:
+        conf.set(setting, str(BATCH_ROWS))
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     fields = to_arrow_schema(schema)
