@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontamination import remove_contaminated
 from tidemark.llm.exact_dedup import drop_copies
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.near_copies import keep_one
 from tidemark.llm.shared import staged, table
-from tidemark.llm.simhash import keep_one
 from tidemark.llm.toxicity import drop_toxic
 
-#: Near-duplicates: fingerprints of five-word shingles that differ in at most NEAR_BITS of 64 bits link, none is
-#: missed; up to REACH_BITS (similarity 0.8) those link that meet in a table and have a Jaccard index of 0.8 or more.
-NEAR_BITS, REACH_BITS, SIMILARITY, USED_BITS = 6, 12, 0.8, 48
+#: Near-duplicates: texts whose five-word shingles have a Jaccard index of SIMILARITY or more link, as do those whose
+#: fingerprints differ in at most NEAR_BITS of 64 bits; none of either is missed.
+NEAR_BITS, SIMILARITY = 6, 0.8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    return keep_one(docs, words=5, radius=NEAR_BITS, reach=REACH_BITS, similarity=SIMILARITY, used=USED_BITS)
+    return keep_one(docs, words=5, radius=NEAR_BITS, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,7 +203,11 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, key: str = "
 
     Of rows that repeat a key one stays. Rows without a key can't be told apart and all stay.
     """
-    groups = staged(simhash_groups(docs, words, radius, key, text, **options), "near-duplicates")
+    return drop_linked(docs, staged(simhash_groups(docs, words, radius, key, text, **options), "near-duplicates"), key)
+
+
+def drop_linked(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """docs without rows whose key is not its component_id in groups (key, component_id); of rows that repeat a key one stays."""
     copies = groups.filter(F.col(key) != F.col("component_id")).select(key).distinct()
     kept = docs.join(copies, key, "left_anti")
     again = groups.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1").select(key)
