@@ -2,19 +2,22 @@
 
 The index is a table bucketed and sorted by digest, so that a new batch meets it by a
 sort-merge anti-join without moving the index. A batch is reduced to one row per digest
-before it meets the index, so copies of one text never gather in a task.
+before it meets the index, so copies of one text never gather in a task. Every digest carries
+the id of the batch that brought it: a batch that is run again finds its own digests and gives
+the same rows as the first time.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, table
+from .shared import SPACES, staged, table
 
-INDEX_SCHEMA = "digest string, keep_id long, n_first long, n_rows long"
+INDEX_SCHEMA = "digest string, keep_id long, n_rows long, batch string, added timestamp"
+NEW = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def normalised(text: Column) -> Column:
@@ -32,70 +35,94 @@ def ensure_index(spark: SparkSession, index: str, buckets: int) -> None:
          .bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index))
 
 
-def batch_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per digest of a batch: smallest key, rows that carry this key, rows in all.
+def batch_groups(digests: DataFrame) -> DataFrame:
+    """One row per digest of (key, digest) rows: smallest key, rows that carry this key, rows in all.
 
     Both steps combine before they shuffle. A null key comes last.
     """
-    by_key = docs.groupBy(text_digest(F.col(text)).alias("digest"), F.col(key).alias("k")).agg(F.count("*").alias("c"))
-    first = F.min(F.struct(F.col("k").isNull().alias("no_key"), "k", "c"))
+    by_key = digests.groupBy("digest", "key").agg(F.count("*").alias("c"))
+    first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "c"))
     return (by_key.groupBy("digest").agg(first.alias("f"), F.sum("c").alias("n_rows"))
-            .select("digest", F.col("f.k").cast("long").alias("keep_id"), F.col("f.c").alias("n_first"), "n_rows"))
+            .select("digest", F.col("f.key").cast("long").alias("keep_id"), F.col("f.c").alias("n_first"), "n_rows"))
 
 
-def append_new(docs: DataFrame, index: str, buckets: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add the batch's unseen digests to the index table; returns the index as plain files.
+def content_id(groups: DataFrame) -> str:
+    """A batch id from what the batch holds: the same rows in any order have the same one."""
+    sign = groups.agg(F.count("*").alias("n"), F.sum(F.xxhash64("digest", "keep_id", "n_first", "n_rows").cast("decimal(38,0)")).alias("h")).first()
+    return f"{sign['n']}-{sign['h'] or 0}"
 
-    Digests that the index has keep the keep_id of their first batch; their n_rows stays that
-    of the first batch.
+
+def append_new(groups: DataFrame, index: str, batch: str, buckets: int) -> DataFrame:
+    """Add the digests of a batch that the index lacks; returns (digest, keep_id, n_rows, batch) of all its digests.
+
+    Of digests that two jobs added at once the earlier counts. A digest keeps the keep_id and
+    n_rows of the batch that brought it.
     """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark = groups.sparkSession
     ensure_index(spark, index, buckets)
-    new = batch_groups(docs, key, text).join(spark.table(index).select("digest").hint("merge"), "digest", "left_anti")
-    (new.write.format("parquet").mode("append").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index))
-    location = spark.sql(f"DESCRIBE TABLE EXTENDED {index}").filter("col_name = 'Location'").first()["data_type"]
-    return spark.read.schema(INDEX_SCHEMA).parquet(location)
+    new = groups.join(spark.table(index).select("digest").hint("merge"), "digest", "left_anti")
+    (new.select("digest", "keep_id", "n_rows", F.lit(batch).alias("batch"), F.current_timestamp().alias("added"))
+     .write.format("parquet").mode("append").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index))
+    held = spark.table(index).groupBy("digest").agg(F.min(F.struct("added", "batch", "keep_id", "n_rows")).alias("i"))
+    return held.join(groups.select("digest", "n_first").hint("merge"), "digest").select("digest", "n_first", "i.keep_id", "i.n_rows", "i.batch")
 
 
-def exact_dedup(docs: DataFrame, index: str | None = None, buckets: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digest_groups(digests: DataFrame, index: str | None, buckets: int | None, batch: str | None) -> DataFrame:
+    """(text_sha256, keep_id, group_size, own, n_first) of every digest of the staged (key, digest) rows."""
+    spark = digests.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = staged(batch_groups(digests), "digest-groups")
+    batch = batch or content_id(groups)
+    name = index or f"digest_index_{uuid.uuid4().hex}"
+    found = append_new(groups, name, batch, buckets).select(F.col("digest").alias("text_sha256"), "keep_id", F.col("n_rows").alias("group_size"), (F.col("batch") == batch).alias("own"), "n_first")
+    found = staged(found, "digests-of-batch")
+    if index is None:
+        spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+def exact_dedup(docs: DataFrame, index: str | None = None, buckets: int | None = None, key: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
     """Every row of docs with keep_id, group_size, kept and text_sha256.
 
     docs: any frame with a key and a text column; other columns pass through, ones named like
-    the four new columns are replaced. index: name of the persistent table; without one a new
-    table is made. Of equal texts the row with the smallest key stays, null keys last; null
-    text counts as empty; of rows that repeat key and text one stays. An empty table gives an
-    empty result. Texts that an earlier batch brought are not kept, and keep_id names the
-    earlier row.
+    the four new columns are replaced. index: name of the persistent table; without one a table
+    is made for this call and dropped. Of equal texts the row with the smallest key stays, null
+    keys last; null text counts as empty, long texts count whole; of rows that repeat key and
+    text one stays. An empty table gives an empty result. batch: a name of this batch, by
+    default one made from its keys and texts; a batch that runs again under its name, as after
+    a failure, gives the same result. Texts that another batch brought before are not kept, and
+    keep_id and group_size are those of that batch.
+    """
+    docs = docs.drop(*NEW)
+    names = [f"`{c}`" for c in docs.columns]
+    digests = staged(docs.select(F.col(key).alias("key"), text_digest(F.col(text)).alias("digest")), "digests")
+    found = digest_groups(digests, index, buckets, batch).withColumnsRenamed({"own": "__own", "n_first": "__n_first"})
+    rows = docs.withColumn("text_sha256", text_digest(F.col(text)))
+    tied = found.filter("__own and __n_first > 1")
+    out = rows.join(found, "text_sha256").withColumn("kept", F.col("__own") & F.col(key).eqNullSafe(F.col("keep_id")))
+    if tied.isEmpty():
+        return out.select(*names, *NEW)
+    # rows that repeat key and text are told apart by a number, written down so that it stays
+    many = staged(out.filter("kept and __n_first > 1").withColumn("__row", F.monotonically_increasing_id()), "repeated-rows")
+    first = many.groupBy("text_sha256").agg(F.min("__row").alias("__first"))
+    chosen = many.join(first.select(F.col("__first").alias("__row"), F.lit(True).alias("__kept")), "__row", "left").withColumn("kept", F.col("__kept").isNotNull())
+    return out.filter("not (kept and __n_first > 1)").select(*names, *NEW).unionByName(chosen.select(*names, *NEW))
+
+
+def drop_copies(docs: DataFrame, index: str | None = None, key: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
+    """The rows that exact_dedup keeps, with the columns of docs.
+
+    Nulls, empty and long texts, ties, repeated rows and batches that run again are as there;
+    columns named like exact_dedup's new ones come back as they were.
     """
-    spark = docs.sparkSession
-    index = index or f"digest_index_{uuid.uuid4().hex}"
-    had_rows = spark.catalog.tableExists(index) and not spark.table(index).isEmpty()
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    # the index's files as they are before this batch is appended
-    old = spark.read.schema("digest string").parquet(*spark.table(index).inputFiles()).select(F.col("digest").alias("seen")) if had_rows else None
-    groups = append_new(docs, index, buckets, key, text).select(F.col("digest").alias("text_sha256"), "keep_id", "n_first", F.col("n_rows").alias("group_size"))
-    out = docs.withColumn("text_sha256", text_digest(F.col(text))).join(groups, "text_sha256")
-    first = F.col(key).eqNullSafe(F.col("keep_id"))
-    if had_rows:
-        out = out.join(old, F.col("text_sha256") == F.col("seen"), "left")
-        first = first & F.col("seen").isNull()
-    out = out.withColumn("kept", first)
-    tied = F.col("kept") & (F.col("n_first") > 1)
-    again = Window.partitionBy("text_sha256", "kept").orderBy(F.lit(0))
-    ties = out.filter(tied).withColumn("kept", F.row_number().over(again) == 1)
-    names = [*docs.columns, "keep_id", "group_size", "kept", "text_sha256"]
-    return out.filter(~tied).select(names).unionByName(ties.select(names))
-
-
-def drop_copies(docs: DataFrame, index: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that exact_dedup keeps, with the columns of docs."""
-    return exact_dedup(docs, index, key=key, text=text).filter("kept").select(docs.columns)
+    clash = {c: f"__held_{c}" for c in NEW if c in docs.columns}
+    kept = exact_dedup(docs.withColumnsRenamed(clash), index, key=key, text=text, batch=batch).filter("kept")
+    return kept.drop(*NEW).withColumnsRenamed({v: k for k, v in clash.items()}).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id of the copy that stays and the size of its group."""
-    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *NEW)
 
 
 OP3_SQL = r"""

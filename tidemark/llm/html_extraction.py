@@ -20,12 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_texts, table
+from .shared import least_hashes, map_texts, table
 from .word_arrays import NOT_SPACE, Words
 
 #: Hashed inputs for path and words, hidden units a direction, pages of the training sample, rounds over it, pages of a batch.
 PATH, WORDS, COUNTS, HIDDEN, SAMPLE_PAGES, ROUNDS, BATCH = 256, 32, 4, 16, 400, 8, 16
 WIDTH = PATH + WORDS + COUNTS
+#: Blocks, padding included, that the network sees at once; longer pages are read in slices, with states carried over.
+CELLS = 1 << 14
+#: Names of a tag path that are kept, from its outer and its inner end, so that deep pages stay linear.
+OUTER, INNER = 8, 56
 
 # Elements of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +56,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     Path elements are tag names, each followed by its class, id and role words as `.word`.
     Character references are decoded once, white space becomes one space, a line break counts
     as white space. Elements that are left open end with what holds them, as browsers do it.
+    Of a path of more than OUTER + INNER elements the middle is left out.
     """
     page, out = page if isinstance(page, str) else "", []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -61,7 +66,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((tuple(x for name, words in stack if name not in INLINE for x in (name, *words)), text, linked[0]))
+            held = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+            out.append((tuple(x for name, words in held if name not in INLINE for x in (name, *words)), text, linked[0]))
         parts.clear()
         linked[0] = 0
 
@@ -139,20 +145,21 @@ def _slot(value: str, size: int) -> int:
     return zlib.crc32(value.encode()) % size
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """One input row for each block."""
-    x = np.zeros((len(page), WIDTH), dtype=np.float32)
-    for i, (path, text, linked) in enumerate(page):
+def vectors(page: list[tuple[tuple[str, ...], str, int]], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """One input row for each block of a page, or of a slice of it."""
+    own = page[start:stop] if start or stop is not None else page
+    x = np.zeros((len(own), WIDTH), dtype=np.float32)
+    for i, (path, text, linked) in enumerate(own):
         for name in set(path):
             x[i, _slot(name, PATH)] = 1
         if path:
             last = next((n for n in reversed(path) if n[0] != "."), "")
             x[i, _slot("last:" + last, PATH)] = 1
-        x[i, -COUNTS:] = 0, linked / max(1, len(text)), i / len(page), text[-1] in ".!?:;\"'"
-    if page:
-        words = Words([text.encode().lower() for _, text, _ in page], NOT_SPACE)
+        x[i, -COUNTS:] = 0, linked / max(1, len(text)), (start + i) / len(page), text[-1] in ".!?:;\"'"
+    if own:
+        words = Words([text.encode().lower() for _, text, _ in own], NOT_SPACE)
         slots = (words.hashes() >> np.uint64(33)).astype(np.int64) % WORDS
-        x[:, PATH:PATH + WORDS] = np.bincount(words.text * WORDS + slots, minlength=len(page) * WORDS).reshape(-1, WORDS) / words.count[:, None]
+        x[:, PATH:PATH + WORDS] = np.bincount(words.text * WORDS + slots, minlength=len(own) * WORDS).reshape(-1, WORDS) / words.count[:, None]
         x[:, -COUNTS] = np.log1p(words.count) / 5
     return x
 
@@ -173,28 +180,46 @@ class Labeller:
         i, f, o = (1 / (1 + np.exp(-np.clip(z[:, k * HIDDEN:(k + 1) * HIDDEN], -30, 30))) for k in range(3))
         return i, f, o, np.tanh(z[:, 3 * HIDDEN:])
 
-    def _one_way(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def _one_way(self, x: np.ndarray, mask: np.ndarray, d: str, state: tuple | None = None, keep: bool = False) -> tuple[np.ndarray, list, tuple]:
+        """Outputs of a direction, what a backward pass needs (if kept), and the state at the end."""
         n, steps = x.shape[0], x.shape[1]
-        h, c = np.zeros((n, HIDDEN), dtype=np.float32), np.zeros((n, HIDDEN), dtype=np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), dtype=np.float32), np.zeros((n, HIDDEN), dtype=np.float32))
         out, kept, fed = np.zeros((n, steps, HIDDEN), dtype=np.float32), [], x @ self.w["x" + d] + self.w["c" + d]
         for t in range(steps) if d == "f" else reversed(range(steps)):
             m = mask[:, t:t + 1]
             i, f, o, g = self._gates(fed[:, t] + h @ self.w["h" + d])
             new = f * c + i * g
-            kept.append((t, h, c, i, f, o, g, np.tanh(new)))
-            h, c = m * (o * np.tanh(new)) + (1 - m) * h, m * new + (1 - m) * c
+            th = np.tanh(new)
+            if keep:
+                kept.append((t, h, c, i, f, o, g, th))
+            h, c = m * (o * th) + (1 - m) * h, m * new + (1 - m) * c
             out[:, t] = h
-        return out, kept
+        return out, kept, (h, c)
+
+    def _main(self, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.concatenate([ahead, back], axis=-1) @ self.w["o"] + self.w["oc"], -30, 30)))
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Probabilities of main text, (pages, blocks)."""
-        both = np.concatenate([self._one_way(x, mask, d)[0] for d in "fb"], axis=2)
-        return 1 / (1 + np.exp(-np.clip(both @ self.w["o"] + self.w["oc"], -30, 30)))
+        return self._main(self._one_way(x, mask, "f")[0], self._one_way(x, mask, "b")[0])
+
+    def page_scores(self, page: list, cells: int = CELLS) -> np.ndarray:
+        """The same for one page of any length: slices forwards, whose outputs are kept, then slices backwards."""
+        n, ahead, p = len(page), np.zeros((len(page), HIDDEN), dtype=np.float32), np.zeros(len(page), dtype=np.float32)
+        slices, state = [(a, min(n, a + cells)) for a in range(0, n, cells)], None
+        for a, b in slices:
+            out, _, state = self._one_way(vectors(page, a, b)[None], np.ones((1, b - a), dtype=np.float32), "f", state)
+            ahead[a:b] = out[0]
+        state = None
+        for a, b in reversed(slices):
+            out, _, state = self._one_way(vectors(page, a, b)[None], np.ones((1, b - a), dtype=np.float32), "b", state)
+            p[a:b] = self._main(ahead[a:b], out[0])
+        return p
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        ways = {d: self._one_way(x, mask, d) for d in "fb"}
+        ways = {d: self._one_way(x, mask, d, keep=True) for d in "fb"}
         both = np.concatenate([ways[d][0] for d in "fb"], axis=2)
-        p = 1 / (1 + np.exp(-np.clip(both @ self.w["o"] + self.w["oc"], -30, 30)))
+        p = self._main(ways["f"][0], ways["b"][0])
         slope = (p - y) * mask / mask.sum()
         grads = {"o": np.einsum("nt,ntk->k", slope, both), "oc": np.array([slope.sum()], dtype=np.float32)}
         for k, d in enumerate("fb"):
@@ -223,6 +248,19 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+def batched(pages: list[list], batch: int, cells: int = CELLS) -> Iterator[list[int]]:
+    """Numbers of pages of about equal length, at most `batch` of them and `cells` blocks with padding; a longer page comes alone."""
+    held: list[int] = []
+    for i in sorted(range(len(pages)), key=lambda i: len(pages[i])):
+        if held and (len(held) == batch or (len(held) + 1) * len(pages[i]) > cells):
+            yield held
+            held = []
+        if pages[i]:
+            held.append(i)
+    if held:
+        yield held
+
+
 #: Layouts of boilerplate that training strews into pages: path elements and whether the words are links.
 STREWN = [(("aside",), 0), (("div", ".sidebar"), 1), (("div", ".cookie", ".notice"), 0), (("div", ".advert"), 0), (("form",), 0), (("form", "p"), 0), (("section", ".comments", "p"), 0),
           (("div", ".comment", "p"), 0), (("ul", ".menu", "li"), 1), (("header",), 1), (("header", "h1"), 0), (("div", ".related", "li"), 1), (("div", ".newsletter", "p"), 0), (("aside", "p"), 0),
@@ -248,13 +286,18 @@ def strewn(page: list, rng: np.random.Generator) -> tuple[list, list[int]]:
     return out, labels
 
 
-def fit(pages: list[str], seed: int = 7) -> Labeller:
-    """A labeller trained on pages; blocks of main text and others count as they come."""
-    rng, net = np.random.default_rng(seed), Labeller()
-    parsed = [p for p in map(blocks, pages) if p]
+def fit(pages: list[str], seed: int = 7) -> Labeller | None:
+    """A labeller trained on pages; blocks of main text and others count as they come. None without a block.
+
+    Pages of more than CELLS / BATCH blocks are learned from in parts of that length.
+    """
+    rng, net, most = np.random.default_rng(seed), Labeller(), CELLS // BATCH
+    parsed = [p[i:i + most] for p in map(blocks, pages) for i in range(0, len(p), most)]
+    if not parsed:
+        return None
     m, v = ({k: np.zeros_like(w) for k, w in net.w.items()} for _ in range(2))
     step = 0
-    for _ in range(ROUNDS if parsed else 0):
+    for _ in range(ROUNDS):
         order = rng.permutation(len(parsed))
         for i in range(0, len(order), BATCH):
             made = [strewn(parsed[j], rng) for j in order[i:i + BATCH]]
@@ -271,14 +314,16 @@ def fit(pages: list[str], seed: int = 7) -> Labeller:
 
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, page: str = "html") -> dict[str, np.ndarray]:
-    """Weights from a sample of about sample_pages pages, drawn by a hash of the page; one task fits on it."""
-    n = pages.count()
-    part = int(min(1, sample_pages / max(1, n)) * 1_000_000)
-    sample = pages.filter(F.pmod(F.xxhash64(F.coalesce(page, F.lit(""))), F.lit(1_000_000)) < part).select(F.coalesce(F.col(page), F.lit("")).alias("page"))
+    """Weights from the sample_pages different pages with the smallest hashes; one task fits on them.
+
+    Copies of a page count once, null pages not at all; other columns are ignored. Empty without
+    a page that has a block, as in an empty table.
+    """
+    sample = least_hashes(pages, page, sample_pages).select("text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = sorted(p for frame in frames for p in frame["page"])
-        for name, w in fit(found).w.items():
+        net = fit(sorted(p for frame in frames for p in frame["text"]))
+        for name, w in net.w.items() if net else ():
             yield pd.DataFrame({"name": [name], "shape": [list(w.shape)], "w": [w.astype("<f4").tobytes()]})
 
     rows = sample.repartition(1).mapInPandas(run, "name string, shape array<int>, w binary").collect()
@@ -289,23 +334,37 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray], key: str = "page_i
     """(key, text, n_chars) and the other columns of pages, without the page itself.
 
     text holds the blocks labelled main, in page order, joined by an empty line; it is empty for
-    null and empty pages and pages without main text. Pages are read whole. Columns named text
-    or n_chars are replaced. Rows repeat as in pages; no rows give no rows.
+    null and empty pages and pages without main text. Pages are read whole, long ones in slices
+    with states carried over. Columns named text or n_chars are replaced. Rows repeat as in
+    pages; no rows give no rows. A page with blocks needs weights: without them the job fails.
     """
     others = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     schema = pages.select(*[F.col(f"`{c}`") for c in others], F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = Labeller(weights)
+        net = Labeller(weights) if weights else None
         for frame in frames:
-            texts = [""] * len(frame)
-            parsed = [blocks(p) for p in frame[page]]
-            order = [i for i in sorted(range(len(parsed)), key=lambda i: len(parsed[i])) if parsed[i]]
-            for i in range(0, len(order), batch):
-                own = order[i:i + batch]
-                x, mask = padded([vectors(parsed[j]) for j in own])
-                for j, p in zip(own, net.scores(x, mask)):
-                    texts[j] = "\n\n".join(text for (_, text, _), score in zip(parsed[j], p) if score >= 0.5)
+            texts, held, size = [], [], 0
+
+            def label(held: list) -> list[str]:
+                found = [""] * len(held)
+                for own in batched(held, batch):
+                    if net is None:
+                        raise ValueError("pages with blocks need trained weights")
+                    if len(held[own[-1]]) > CELLS:
+                        scored = [net.page_scores(held[own[0]])]
+                    else:
+                        scored = net.scores(*padded([vectors(held[j]) for j in own]))
+                    for j, p in zip(own, scored):
+                        found[j] = "\n\n".join(text for (_, text, _), score in zip(held[j], p) if score >= 0.5)
+                return found
+
+            for value in frame[page]:
+                held.append(blocks(value))
+                size += len(held[-1])
+                if size > 2 * CELLS:
+                    texts, held, size = texts + label(held), [], 0
+            texts += label(held)
             yield frame[others].assign(text=texts, n_chars=[len(t) for t in texts])
 
     return map_texts(pages.select(*[F.col(f"`{c}`") for c in others], F.col(page)), run, schema)

@@ -8,21 +8,22 @@ a small gap to the runner-up flags the text as ambiguous.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_texts, table
+from .shared import least_hashes, map_texts, table
 from .word_arrays import batches
 
 #: Hash buckets of n-grams, n-gram sizes in bytes, rows of the training sample, gap in loss under which a text is ambiguous.
 BUCKETS, SIZES, SAMPLE_ROWS, AMBIGUOUS = 1 << 13, (2, 3), 3000, 0.5
-MOST_LANGUAGES = 1000
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages that are learned, the most frequent first, and texts of each at least.
+MOST_LANGUAGES, LEAST_TEXTS = 1000, 2
+LETTER = regex.compile(r"\p{L}")
 _KEEP = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint32)
 
 
@@ -34,7 +35,7 @@ def code_words(classes: int, seed: int = 5) -> np.ndarray:
         cols = [(1,) + c for c in itertools.product((1, -1), repeat=classes - 1) if -1 in c]
         return np.array(cols, dtype=float).T
     rng, bits, best, most = np.random.default_rng(seed), 15 + 5 * int(np.ceil(np.log2(classes))), None, -1
-    for _ in range(50):
+    for _ in range(50 if classes <= 256 else 5):
         code = rng.choice([-1.0, 1.0], size=(classes, bits))
         apart = ((bits - code @ code.T) / 2 + bits * np.eye(classes)).min()
         if apart > most and (abs(code.sum(axis=0)) < classes).all():
@@ -79,8 +80,11 @@ def fit_bits(x: np.ndarray, y: np.ndarray, code: np.ndarray, steps: int = 150, d
 
 
 def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, score between 0 and 1, and gap in loss to the second class, by logistic loss over all bits."""
-    loss = np.logaddexp(0, -margins[:, None, :] * code[None, :, :]).sum(axis=2)
+    """Class, score between 0 and 1, and gap in loss to the second class, by logistic loss over all bits.
+
+    log(1 + exp(-c m)) is log(1 + exp(m)) less m where c is 1, so one product gives all losses.
+    """
+    loss = np.logaddexp(0, margins).sum(axis=1, keepdims=True) - margins @ ((code.T + 1) / 2)
     order = np.sort(loss, axis=1)
     shares = np.exp(order[:, :1] - loss)
     gap = order[:, 1] - order[:, 0] if loss.shape[1] > 1 else np.full(len(loss), np.inf)
@@ -92,21 +96,21 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray] | None:
-    """(languages, code, weights) from (text, lang) rows; None without usable rows.
+def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+    """(languages, code, weights) from (text, lang) rows; None where no row has both a language and a letter.
 
-    A sample of about sample_rows rows, of equal size for each language, is drawn by a hash of
-    the text. Its n-grams are counted where the rows are; one task fits on them.
+    The sample holds sample_rows different texts, of equal number for each language, but at least
+    LEAST_TEXTS of each; a language with fewer gives all it has. Copies of a text count once. Its
+    n-grams are counted where the rows are; one task fits on them. Where `lang` has more than
+    most_languages values (junk, say), the most frequent are learned, ties by name, and texts of
+    the others are predicted as one of these. Long texts count whole; repeated rows change nothing.
     """
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
+    languages = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
+    if not languages:
         return None
-    languages, each = sorted(r["lang"] for r in counts), sample_rows / len(counts)
-    part = F.create_map(*[v for r in counts for v in (F.lit(r["lang"]), F.lit(int(min(1, each / r["count"]) * 1_000_000)))])
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(part, F.col("lang")))
+    known = rows if len(languages) < most_languages else rows.join(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in languages], "lang string")), "lang", "left_semi")
+    sample = least_hashes(known, "text", max(LEAST_TEXTS, sample_rows // len(languages)), "lang").withColumnRenamed("kind", "lang")
     code, number = code_words(len(languages)), {lang: i for i, lang in enumerate(languages)}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,8 +119,9 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
             yield pd.DataFrame({"y": frame["lang"].map(number), "at": [np.flatnonzero(r).astype("<i4").tobytes() for r in rows], "x": [r[r > 0].astype("<f4").tobytes() for r in rows]})
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames), ignore_index=True)
-        if len(frame):
+        parts = list(frames)
+        if parts:
+            frame = pd.concat(parts, ignore_index=True)
             x = np.zeros((len(frame), BUCKETS), dtype=np.float32)
             for i, (at, v) in enumerate(zip(frame["at"], frame["x"])):
                 x[i, np.frombuffer(at, "<i4")] = np.frombuffer(v, "<f4")
@@ -124,14 +129,18 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
             yield pd.DataFrame({"w": [fit_bits(x[order], frame["y"].to_numpy()[order], code).astype("<f4").tobytes()]})
 
     fitted = map_texts(sample.select("text", "lang"), count, "y int, at binary, x binary").repartition(1).mapInPandas(fit, "w binary").collect()
-    return (languages, code, np.frombuffer(fitted[0]["w"], "<f4").reshape(BUCKETS + 1, -1)) if fitted else None
+    if not fitted:
+        raise RuntimeError("the sample of labelled texts is empty")
+    return languages, code, np.frombuffer(fitted[0]["w"], "<f4").reshape(BUCKETS + 1, -1)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None, key: str = "doc_id", text: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
     """(key, lang_pred, score, ambiguous) of every row, from its whole text alone.
 
-    `und` with score 0 where the text is null, empty or has no letter, or without a model. Rows
-    repeat as in docs; an empty table gives an empty result; other columns are ignored.
+    `und` with score 0 where the text is null, empty or has no letter (Unicode category L), or
+    without a model. Of equal losses the language first in code-point order is taken. Long texts
+    count whole. Rows repeat as in docs, null keys too; an empty table gives an empty result;
+    other columns, whatever their names, are ignored.
     """
     schema = docs.select(key, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous")).schema
 

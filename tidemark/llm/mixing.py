@@ -1,20 +1,20 @@
 """Mixing sources to target weights with exact budgets in words.
 
-Rows get hash-random keys; each source's keys are cut into equal ranges of the hash space.
-Sums per range, and their running sums, tell in which range a source's budget ends; only that
-range is sorted row by row. What leaves is one cut per source, so texts never move.
+Rows get hash-random keys. Their sizes, not their texts, are range-sorted by source and key;
+distributed prefix sums tell at which key each source's budget ends. What leaves is one cut
+per source. Sources themselves may be many: their turns and targets come from prefix sums too.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged, table, word_count
+from .shared import running_sums, staged, table, word_count
 
-#: Hash keys have so many bits; ranges are their leading bits.
+#: Bits of a hash key.
 KEY_BITS = 62
 
 
@@ -32,96 +32,64 @@ def source_targets(sizes: DataFrame, share: float, max_epochs: int, weights: tup
     sum(min(weight x L, cap)) = total: sources reach their cap in the order of cap / weight, so
     running sums in that order give L directly. One row per source takes part.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    per = (sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-           .withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
-           .withColumn("cap", F.col("source_size") * float(max_epochs)))
-    everyone = Window.partitionBy()
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    per = (per.withColumn("total", F.sum("source_size").over(everyone) * float(share))
-           .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-           .withColumn("open_weight", F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-           .withColumn("level", (F.col("total") - F.col("capped")) / F.col("open_weight"))
-           .withColumn("held", F.col("level") * F.col("weight") <= F.col("cap"))
-           .withColumn("final", F.max(F.when(F.col("held"), F.col("level"))).over(everyone)))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumns({"last": F.col("source").isNull(), "one": F.lit(1).cast("long")})
+    turned = running_sums(per, ["last", "source"], {"turn": "one"})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("turn") - 1) % len(weights) + 1).cast("int"))
+    per = turned.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs)).withColumn("full_at", F.col("cap") / F.col("weight"))
+    sums = running_sums(per, ["full_at", "last", "source"], {"caps": "cap", "weights": "weight"})
+    every = sums.agg((F.sum("source_size") * float(share)).alias("total"), F.sum("weight").alias("all_weights"))
+    level = (F.col("total") - (F.col("caps") - F.col("cap"))) / (F.col("all_weights") - (F.col("weights") - F.col("weight")))
+    final = sums.join(F.broadcast(every)).select(F.when(level * F.col("weight") <= F.col("cap"), level).alias("level")).agg(F.max("level").alias("final"))
     target = F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("final")))
-    return per.select("source", "source_size", "weight", target.alias("target"))
+    return sums.join(F.broadcast(final)).select("source", "source_size", "weight", target.alias("target"))
 
 
-def source_cuts(sized: DataFrame, targets: DataFrame, rows: int, rows_per_range: int) -> DataFrame:
+def source_cuts(sized: DataFrame, targets: DataFrame, ranges: int | None = None) -> DataFrame:
     """Per source: whole epochs, the key at which the rest of the budget ends, words and rows of that key.
 
-    sized: (source, size, mix_key). Ranges get finer as rows grow.
+    sized: (source, size, mix_key). Rows that share a source and a key count as one.
     """
-    bits = max(4, min(KEY_BITS - 2, math.ceil(math.log2(max(1, rows) / rows_per_range + 1))))
-    place = F.shiftrightunsigned("mix_key", KEY_BITS - bits)
-    plan = targets.select(
-        "source", "source_size", "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
-    plan = plan.withColumn("rest", (F.floor("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    runs = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = (sized.groupBy("source", place.alias("place")).agg(F.sum("size").alias("words"))
-              .withColumn("until", F.sum("words").over(runs)))
-    r, p = ranges.alias("r"), plan.alias("p")
-    cut = (p.join(r, F.col("p.source").eqNullSafe(F.col("r.source")))
-           .filter((F.col("until") > F.col("rest")) & (F.col("until") - F.col("words") <= F.col("rest")))
-           .select("p.source", "place", (F.col("rest") - F.col("until") + F.col("words")).alias("left")))
-    c, s = cut.alias("c"), sized.withColumn("place", place).alias("s")
-    inside = (s.join(c, F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.place") == F.col("c.place")))
-              .groupBy("c.source", "left", "mix_key").agg(F.sum("size").alias("words"), F.count("*").alias("n")))
-    keys = Window.partitionBy("source").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = (inside.withColumn("until", F.sum("words").over(keys))
-            .filter((F.col("until") > F.col("left")) & (F.col("until") - F.col("words") <= F.col("left")))
-            .select(F.col("source").alias("cut_source"), F.col("mix_key").alias("cut_key"), F.floor((F.col("left") - F.col("until") + F.col("words")) / F.col("n")).alias("cut_words")))
-    return (plan.join(ends, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-            .select("source", "source_size", "target", "epochs", "cut_key", "cut_words"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = targets.select("source", "source_size", "target", whole.alias("epochs"))
+    plan = staged(plan.withColumn("rest", (F.floor("target") - F.col("epochs") * F.col("source_size")).cast("long")), "mix-plan")
+    keys = sized.groupBy("source", "mix_key").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    until = running_sums(keys, ["mix_key"], {"until": "words"}, "source", ranges)
+    k, p = until.alias("k"), plan.select(F.col("source").alias("cut_source"), F.col("rest").alias("cut_rest")).alias("p")
+    left = F.col("cut_rest") - F.col("until") + F.col("words")
+    ends = (k.join(p, F.col("source").eqNullSafe(F.col("cut_source"))).filter((F.col("until") > F.col("cut_rest")) & (left >= 0))
+            .select("cut_source", F.col("mix_key").alias("cut_key"), F.floor(left / F.col("n")).alias("cut_words")))
+    return plan.join(ends, F.col("source").eqNullSafe(F.col("cut_source")), "left").select("source", "source_size", "target", "epochs", "cut_key", "cut_words")
 
 
 def mix_sources(docs: DataFrame, share: float = 1.0, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17,
-                rows_per_range: int = 4096, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+                rows_per_range: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Every row of docs with size, source_size, target, taken: the words that the mix takes of it.
 
     Every source's rows stand in the order of a seeded hash of key and text. The mix takes each
     row `epochs` times whole; of the last, partial epoch it takes rows in that order and ends
     inside the row at which the source's budget is used up. Rows that repeat key and text share
     a hash: a cut through them takes an equal part of each. Null or empty texts have size 0,
-    null sources are one source, an empty table gives an empty result. Columns of docs named
-    like the new ones are replaced. The order depends on rows and seed alone, so reruns agree.
+    long ones count whole, null sources are one source, an empty table gives an empty result.
+    Columns of docs named like the new ones are replaced, others pass through. The order depends
+    on rows and seed alone, so reruns agree. rows_per_range: rows of a range of the sort, by
+    default what Spark's number of shuffle partitions gives.
     """
     new = ["size", "source_size", "target", "taken"]
     docs = docs.drop(*new)
+    names = [f"`{c}`" for c in docs.columns]
     keyed = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), mix_key(F.col(key), F.col(text), seed).alias("mix_key"))
     sized = staged(keyed, "mix-sized")
-    targets = source_targets(sized, share, max_epochs, weights)
-    cuts = staged(source_cuts(sized, targets, sized.count(), rows_per_range), "mix-cuts")
-    cuts = cuts.withColumnRenamed("source", "cut_source")
+    ranges = math.ceil(sized.count() / rows_per_range) or None if rows_per_range else None
+    cuts = staged(source_cuts(sized, source_targets(sized, share, max_epochs, weights), ranges), "mix-cuts")
+    cuts = cuts.select(F.col("source").alias("__source"), "source_size", "target", F.col("epochs").alias("__epochs"), F.col("cut_key").alias("__cut"), F.col("cut_words").alias("__words"))
     out = (docs.withColumn("size", word_count(F.col(text))).withColumn("__key", mix_key(F.col(key), F.col(text), seed))
-           .join(cuts, F.col(source).eqNullSafe(F.col("cut_source")), "left"))
-    part = (F.when(F.col("cut_key").isNull(), 0).when(F.col("__key") < F.col("cut_key"), F.col("size"))
-            .when(F.col("__key") == F.col("cut_key"), F.least("size", "cut_words")).otherwise(0))
-    out = out.withColumn("taken", (F.col("size") * F.col("epochs") + part).cast("long"))
-    return out.select(*docs.columns, *new)
+           .join(cuts, F.col(source).eqNullSafe(F.col("__source")), "left"))
+    part = (F.when(F.col("__cut").isNull(), 0).when(F.col("__key") < F.col("__cut"), F.col("size"))
+            .when(F.col("__key") == F.col("__cut"), F.least("size", "__words")).otherwise(0))
+    out = out.withColumn("taken", (F.col("size") * F.col("__epochs") + part).cast("long"))
+    return out.select(*names, *new)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 by source, at most three epochs each."""
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
-
-
-OP6_TARGET_SQL = r"""
-WITH RECURSIVE s AS (
-  SELECT source, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0))::DOUBLE AS cap1,
-    (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM documents GROUP BY source),
-t AS (SELECT source, cap1, weight::DOUBLE AS weight, 3 * cap1 AS cap, sum(cap1) OVER () AS total FROM s),
-r AS (
-  SELECT source, cap1, weight, cap, total, 0 AS step, least(cap, 1e300) * 0 AS held, false AS full_ FROM t
-  UNION ALL
-  SELECT source, cap1, weight, cap, total, step + 1, held, full_ OR
-    (total - coalesce(sum(CASE WHEN full_ THEN cap END) OVER (), 0)) * weight / sum(CASE WHEN NOT full_ THEN weight ELSE 0 END) OVER () > cap
-  FROM r WHERE step < 40)
-SELECT source, cap1::BIGINT AS source_size, CASE WHEN full_ THEN cap ELSE
-  (total - coalesce(sum(CASE WHEN full_ THEN cap END) OVER (), 0)) * weight / sum(CASE WHEN NOT full_ THEN weight ELSE 0 END) OVER () END AS target
-FROM r WHERE step = 40
-"""

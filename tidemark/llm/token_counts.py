@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, map_texts, table
+from .shared import fresh_path, map_texts, staged, table
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 #: The public vocabulary that the query counts with.
@@ -50,10 +50,13 @@ def counter(path: str):
 
 
 def encode_misses(misses: DataFrame, path: str, version: str, batch: int = 64) -> DataFrame:
+    """(digest, version, n_tokens) of (digest, text) rows; a text that follows itself is encoded once."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = counter(path)
+        count, last = counter(path), None
         for frame in frames:
-            counts = []
+            frame = frame[frame["digest"] != frame["digest"].shift(fill_value=last)]
+            counts, last = [], frame["digest"].iloc[-1] if len(frame) else last
             for i in range(0, len(frame), batch):
                 counts += count(frame["text"].iloc[i:i + batch].tolist())
             yield pd.DataFrame({"digest": frame["digest"], "version": version, "n_tokens": pd.Series(counts, dtype="int64", index=frame.index)})
@@ -61,27 +64,35 @@ def encode_misses(misses: DataFrame, path: str, version: str, batch: int = 64) -
     return map_texts(misses, run, CACHE_SCHEMA)
 
 
+def cached(spark: SparkSession, cache: str, version: str) -> DataFrame:
+    """(digest, n_tokens) of a version, one row a digest, however often jobs have appended it."""
+    rows = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("version") == version)
+    return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's key with n_bytes, n_tokens and over_limit (more than `limit` tokens).
 
     tokenizer: path of a .model (sentencepiece) or .json (tokenizers) file, present on every
     machine. cache: Parquet folder of earlier counts; without one a new folder is made in the
-    shared folder. Null text counts as empty and has no tokens; equal texts are encoded once;
-    long texts are encoded whole; rows repeat as they repeat in docs; an empty table gives an
-    empty result; other columns of docs are left out.
+    shared folder. Null text counts as empty and has no tokens; of equal texts that of the
+    smallest key is encoded; long texts are encoded whole; rows repeat as they repeat in docs,
+    null keys too; an empty table gives an empty result; other columns of docs, whatever their
+    names, are left out. A job that runs again, or beside another, may append a digest twice;
+    it is read once.
     """
     spark, version = docs.sparkSession, file_version(tokenizer)
     cache = cache or fresh_path(spark, "token-cache")
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("version") == version)
-    texts = docs.select(content_digest(F.col(text)).alias("digest"), content(F.col(text)).alias("text"))
-    # first one row per text and task, then one per text: copies of one text never gather
-    misses = texts.dropDuplicates(["digest"]).join(known.select("digest"), "digest", "left_anti")
-    encode_misses(misses, tokenizer, version).write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("version") == version).select("digest", "n_tokens")
-    return (docs.select(F.col(key), content_digest(F.col(text)).alias("digest"), F.octet_length(content(F.col(text))).cast("long").alias("n_bytes"))
-            .join(counts, "digest")
-            .select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
+    docs = docs.select(F.col(key).alias("key"), content(F.col(text)).alias("text")).withColumn("digest", content_digest(F.col("text")))
+    rows = staged(docs.select("key", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "text-digests")
+    # digests meet the cache without their texts; then one text comes for each miss
+    distinct = staged(rows.groupBy("digest").agg(F.min("key").alias("key")), "distinct-digests")
+    misses = staged(distinct.join(cached(spark, cache, version), "digest", "left_anti"), "misses")
+    found = docs.alias("d").join(misses.alias("m"), (F.col("d.digest") == F.col("m.digest")) & F.col("d.key").eqNullSafe(F.col("m.key")), "left_semi")
+    encode_misses(found.select("digest", "text"), tokenizer, version).write.mode("append").parquet(cache)
+    counts = staged(distinct.select("digest").join(cached(spark, cache, version), "digest"), "counts")
+    return rows.join(counts, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

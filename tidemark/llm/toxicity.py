@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_texts, table
+from .shared import least_hashes, map_texts, table
 from .word_arrays import ALNUM, Words, batches
 
 #: Hash buckets of words and word beginnings, lengths of beginnings in bytes, rows of the training sample, folds.
@@ -112,18 +112,23 @@ def fit_chain(texts_features: list[np.ndarray], labels: np.ndarray, folds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> list[Link] | None:
-    """The chain's models from a sample of about sample_rows labelled keys, drawn by a hash of the key.
+    """The chain's models from a sample of labelled documents: those whose keys have the sample_rows smallest hashes.
 
     The sample's bounded size lets it be broadcast to the documents, and one task fit on it.
-    Keys labelled more than once take the largest label. None without labelled documents.
+    Keys labelled more than once take the largest label; of documents that share a sampled key
+    the text with the smallest hash is learned from. Null keys take no part, null labels leave a
+    document out of that link, null and empty texts have no words, long texts count whole. None
+    where no document is labelled.
     """
-    n = labels.count()
-    if not n:
+    marks = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(*[F.max(c).cast("double").alias(f"y{i}") for i, c in enumerate(chain)])
+    own = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
+    able = marks.select("__key").join(own.select("__key"), "__key", "left_semi")
+    sampled = least_hashes(able, "__key", sample_rows).select(F.col("text").alias("__key"))
+    sample = marks.join(F.broadcast(sampled), "__key", "left_semi")
+    if sample.isEmpty():
         return None
-    part = int(min(1, sample_rows / n) * 1_000_000)
-    sample = (labels.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1_000_000)) < part))
-              .groupBy(F.col(key).alias("__key")).agg(*[F.max(c).cast("double").alias(f"y{i}") for i, c in enumerate(chain)]))
-    own = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(sample), "__key")
+    one = own.join(F.broadcast(sampled), "__key", "left_semi").groupBy("__key").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    own = one.join(F.broadcast(sample), "__key")
     names = [f"y{i}" for i in range(len(chain))]
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,8 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, sa
             yield frame[["__key", *names]].assign(found=found)
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames), ignore_index=True)
-        if len(frame):
+        parts = list(frames)
+        if parts:
+            frame = pd.concat(parts, ignore_index=True)
             frame = frame.sort_values(["__key", "found"], kind="stable")
             links = fit_chain([np.frombuffer(x, "<i4").astype(np.int64) for x in frame["found"]], frame[names].to_numpy(dtype=float))
             yield pd.DataFrame({"model": [pickle.dumps([(x.buckets, x.weights, x.earlier, x.bias) for x in links])]})
@@ -143,14 +149,17 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, sa
     kind = own.schema["__key"].dataType.simpleString()
     schema = f"__key {kind}, " + "".join(f"{c} double, " for c in names) + "found binary"
     fitted = map_texts(own, count, schema).repartition(1).mapInPandas(fit, "model binary").collect()
-    return [Link(*x) for x in pickle.loads(fitted[0]["model"])] if fitted else None
+    if not fitted:
+        raise RuntimeError("the sample of labelled documents is empty")
+    return [Link(*x) for x in pickle.loads(fitted[0]["model"])]
 
 
 def score(docs: DataFrame, model: list[Link] | None, chain: tuple[str, ...] = CHAIN, text: str = "text", drop_text: bool = False) -> DataFrame:
     """docs with p_<category> for each category of the chain.
 
-    Columns of these names are replaced. Whole texts count; null and empty ones have no words
-    and get the models' base rates; without a model all probabilities are 0.
+    Columns of these names are replaced; all others pass through, whatever their names. Whole
+    texts count; null and empty ones have no words and get the models' base rates; without a
+    model all probabilities are 0. Rows repeat as in docs; no rows give no rows.
     """
     new = [f"p_{c}" for c in chain]
     docs = docs.drop(*new)
@@ -173,8 +182,16 @@ def score(docs: DataFrame, model: list[Link] | None, chain: tuple[str, ...] = CH
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, chain: tuple[str, ...] = CHAIN) -> DataFrame:
-    """The rows of docs whose last category stays under the threshold, with the columns of docs."""
-    return score(docs, train(docs, labels, chain), chain).filter(F.col(f"p_{chain[-1]}") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose last category stays under the threshold, with the columns of docs.
+
+    Without a labelled document nothing is known and all rows stay. Null, empty and long texts,
+    repeated rows, null keys and empty tables are as in train and score; docs may have columns
+    named like the new ones, which come back as they were.
+    """
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("text"))
+    kept = score(packed, train(docs, labels, chain), chain, drop_text=True).filter(F.col(f"p_{chain[-1]}") < threshold)
+    return kept.select("__row.*")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
