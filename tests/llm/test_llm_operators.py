@@ -317,6 +317,75 @@ def test_substring_dedup_finds_every_long_passage(spark):
     assert len(near) <= 5  # lines of similarity 0.8 or more without a common window
 
 
+def test_passages_equal_brute_force(spark):
+    """Every word that lies in a run of 50 words shared with another document is reported, and no other; later places go, first ones stay."""
+    folder = "/root/testdata/sf0.01"
+    docs = {i: bag(t) for i, t in load(spark, folder, "documents")[["doc_id", "text"]].itertuples(index=False)}
+    places = {}
+    for i, w in docs.items():
+        for k in range(len(w) - 49):
+            places.setdefault(tuple(w[k:k + 50]), []).append((i, k))
+    want = {}
+    for found in places.values():
+        if len({i for i, _ in found}) > 1:
+            for i, k in found:
+                want.setdefault(i, set()).update(range(k, k + 50))
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("doc"), "text")
+    windows = substring_dedup.units(rows).filter("bands is null").select("h", "doc", "pos")
+    got, gone = {}, {}
+    for r in substring_dedup.passage_spans(windows, rows).collect():
+        got.setdefault(r["doc"], set()).update(range(r["pos"], r["pos"] + r["len"]))
+        if not r["stays"]:
+            gone.setdefault(r["doc"], set()).update(range(r["pos"], r["pos"] + r["len"]))
+    assert got == want
+    left = {w for i, ws in docs.items() for k, w in enumerate(ws) if k not in gone.get(i, ())}
+    assert gone and all(w in left for ws in docs.values() for w in ws)  # what goes stays in an earlier place
+
+
+def test_passages_of_three_documents_and_large_buckets(spark):
+    """A passage whose windows come first in different documents is still found whole; lines of one large bucket link as in small ones."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    lone = lambda n: [word() for _ in range(n)]
+    passage = lone(53)
+    rows = [(1, " ".join(lone(40) + passage[:40] + lone(40))), (2, " ".join(lone(30) + passage + lone(30))), (3, " ".join(lone(20) + passage + lone(50))), (4, " ".join(lone(20) + passage[10:] + lone(20)))]
+    df = documents(spark, rows)
+    found = {r["doc"]: (r["n_repeated"], r["removed"]) for r in substring_dedup.repeat_report(substring_dedup.repeated_spans(df)).collect()}
+    assert found == {2: (53, ""), 3: (53, "20-72")}
+    base = lone(40)
+    lines = [" ".join(w if rng.random() > 0.02 else word() for w in base) for _ in range(60)] + [" ".join(base[:20] + lone(20)) for _ in range(5)]
+    df = documents(spark, [(i, t) for i, t in enumerate(lines)])
+    whole = {(r["doc"], r["pos"], r["first_doc"]) for r in substring_dedup.repeated_spans(df).collect()}
+    assert len(whole) > 20 and {(r["doc"], r["pos"], r["first_doc"]) for r in substring_dedup.repeated_spans(df, block=3).collect()} == whole
+    with pytest.raises(ValueError):
+        substring_dedup.repeated_spans(df, passage=40)
+
+
+def test_line_recall(spark):
+    """Of all pairs of similar lines, by brute force, at least 99 % end in one cluster."""
+    folder = "/root/testdata/sf0.01"
+    docs = load(spark, folder, "documents")
+    lines = {}
+    for i, t in zip(docs["doc_id"], docs["text"]):
+        at = 0
+        for line in (t or "").split("\n"):
+            w = bag(line)
+            if len(w) >= substring_dedup.LEAST:
+                lines[i, at] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+            at += len(w)
+    held = {}
+    for key, s in lines.items():
+        for g in s:
+            held.setdefault(g, []).append(key)
+    pairs = {(a, b) for keys in held.values() for n, a in enumerate(keys) for b in keys[n + 1:] if a[0] != b[0]}
+    near = [(a, b) for a, b in pairs if len(lines[a] & lines[b]) >= 0.8 * len(lines[a] | lines[b]) - 1e-9]
+    spans = substring_dedup.repeated_spans(spark.read.parquet(f"{folder}/documents.parquet"))
+    cluster = {}
+    for r in spans.collect():
+        cluster.setdefault((r["doc"], r["pos"]), set()).add(r["cluster"])
+    assert len(near) > 20 and sum(bool(cluster.get(a, set()) & cluster.get(b, set())) for a, b in near) >= 0.99 * len(near)
+
+
 def test_substring_dedup_lines_and_edges(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import least_hashes, map_texts, table
+from .shared import least_hashes, map_texts, staged, table
 from .word_arrays import ALNUM, Words, batches
 
 #: Hash buckets of words and word beginnings, lengths of beginnings in bytes, rows of the training sample, folds.
@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, sa
     where no document is labelled.
     """
     marks = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(*[F.max(c).cast("double").alias(f"y{i}") for i, c in enumerate(chain)])
+    marks = staged(marks, "labels")
     own = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
     able = marks.select("__key").join(own.select("__key"), "__key", "left_semi")
     sampled = least_hashes(able, "__key", sample_rows).select(F.col("text").alias("__key"))
@@ -189,9 +190,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, chain
     named like the new ones, which come back as they were.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("text"))
-    kept = score(packed, train(docs, labels, chain), chain, drop_text=True).filter(F.col(f"p_{chain[-1]}") < threshold)
-    return kept.select("__row.*")
+    own = docs.toDF(*[f"__{i}" for i in range(len(names))])
+    kept = score(own, train(docs, labels, chain), chain, text=f"__{names.index('text')}").filter(F.col(f"p_{chain[-1]}") < threshold)
+    return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
