@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +45,41 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = sign
     raise RuntimeError(f"components did not settle in {most} rounds")
+
+
+def linked_in_groups(similarity: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas over groups (members: array of (h, shingles)): edges (a, b) that connect what pairs of some Jaccard index connect.
+
+    A group gives at most one edge fewer than it has members; a member is held against all that
+    are still open at once.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            a, b = [], []
+            for members in frame["members"]:
+                sets = {m["h"]: np.asarray(m["shingles"]) for m in members}
+                h = np.array(list(sets), dtype=np.int64)
+                size = np.array([len(s) for s in sets.values()])
+                owner = np.repeat(np.arange(len(h)), size)
+                _, shingle = np.unique(np.concatenate(list(sets.values())), return_inverse=True)
+                begin, open_ = np.cumsum(size) - size, np.ones(len(h), dtype=bool)
+                mark = np.zeros(shingle.max() + 1, dtype=np.int64)
+                for first in range(len(h)):
+                    if not open_[first]:
+                        continue
+                    open_[first], todo = False, [first]
+                    while todo and open_.any():
+                        i = todo.pop()
+                        mine = shingle[begin[i]:begin[i] + size[i]]
+                        mark[mine] = 1
+                        both = np.bincount(owner, weights=mark[shingle], minlength=len(h))
+                        mark[mine] = 0
+                        new = np.flatnonzero(open_ & (both >= similarity * (size + size[i] - both) - 1e-9))
+                        open_[new] = False
+                        a += [h[i]] * len(new)
+                        b += h[new].tolist()
+                        todo += new.tolist()
+            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    return run

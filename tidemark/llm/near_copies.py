@@ -1,15 +1,19 @@
-"""Near-copies by the exact Jaccard index of word shingles: every pair of some similarity is found.
-
-Shingles of a text are put into one order that is the same for all texts. Two sets of n and m
-shingles with a Jaccard index of at least s share at least s * n and s * m of them, so they have a
-shingle in common among the first n - ceil(s * n) + 1 of the one and m - ceil(s * m) + 1 of the
-other (prefix filter). Any order will do; shingles that are common in a sample come last, so that
-few texts meet by them. Texts that meet are candidates unless their sizes, or the places of the
-shingle in both, rule the similarity out; candidates are checked exactly.
-
-In a large group of near-copies all pairs meet. Texts that fingerprints link already need no
-check; those that are left are held against one text of each shingle first, and only texts that
-are still in different groups then are compared pair by pair.
+"""Near-copies by the exact Jaccard index of word shingles: no pair of some similarity is missed.
+
+SimHash finds most: fingerprints within a small radius, through covering tables. A similarity of
+0.8 can lie 14 of 64 bits apart, where no covering is small enough, so the rest comes from an
+exact filter on the shingles themselves:
+
+Shingles are put into one order, that of their hashes. Two sets of n and m shingles with a Jaccard
+index of at least s share at least s * n and s * m of them, so they share at least k of the first
+n - ceil(s * n) + k of the one and of the first m - ceil(s * m) + k of the other (a prefix filter).
+k is a share of the size. A text of whose prefix fewer shingles stand in other prefixes has no
+partner; of the others, all but the k - 1 most common shingles of the prefix must hold one that
+partners share. Most texts fall out here, unless a good part of them stands elsewhere.
+
+Texts that share such a shingle form families around a centre, the least of their digests. Each
+text is held against its centre; only texts that are unlike it are held against the family, in
+groups of bounded size.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, linked_in_groups
 from .shared import map_texts, staged
-from .simhash import drop_linked, fingerprint, near_edges, shingle_hashes
+from .simhash import RADIUS, fingerprint, keep_first, near_edges, shingle_hashes
 
-#: Texts of the sample that shows common shingles, and how many of these are kept, at most.
-SAMPLE, COMMON = 20_000, 100_000
+#: Share of a set by which its prefix is longer than it must be; rounds in which centres spread; shingles of a group's half, about.
+EXTRA, ROUNDS, GROUP_SHINGLES = 0.1, 2, 1 << 17
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -35,58 +39,52 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def common_shingles(docs: DataFrame, words: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that more than two texts of a sample hold, sorted, and how many do."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"shingle": np.concatenate([shingle_hashes(t, words) for t in frame[text]] or [np.zeros(0, dtype=np.int64)])})
-
-    n = docs.count()
-    part = docs.select(text) if n <= SAMPLE else docs.select(text).filter(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / n))
-    found = map_texts(part, run, "shingle long").groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
-    return found["shingle"].to_numpy(dtype=np.int64), found["count"].to_numpy(dtype=np.int64)
+def prefix_size(n: int, similarity: float, extra: float) -> int:
+    """Shingles of a set's prefix."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + max(1, int(np.floor(extra * n + 1e-9)))
 
 
-def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of all texts, as many as a set of that similarity can't avoid."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    held = np.zeros(n, dtype=np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        held = np.where(common[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, held))][:n - int(np.ceil(similarity * n - 1e-9)) + 1]
+def least_shared(n: Column, similarity: float, extra: float) -> Column:
+    """How many shingles of its prefix a set shares with a partner's prefix at least, however small the partner is."""
+    return F.greatest(F.lit(1), F.floor(extra * F.ceil(similarity * n - 1e-9) + 1e-9)).cast("int")
 
 
-def prefixes(docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+def prefixes(docs: DataFrame, words: int, similarity: float, key: str, text: str, extra: float = EXTRA) -> DataFrame:
     """(key, fp, node, size, prefix): fingerprint, digest and size of the shingle set, and its prefix."""
     schema = docs.select(key, F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("size"), F.array(F.lit(0).cast("long")).alias("prefix")).schema
-    common, counts = common_shingles(docs, words, text)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             own = [shingle_hashes(t, words) for t in frame[text]]
             yield pd.DataFrame({key: frame[key], "fp": np.array([fingerprint(t, words) for t in frame[text]], dtype=np.uint64).view(np.int64), "node": [set_id(s) for s in own],
-                                "size": [len(s) for s in own], "prefix": [prefix(s, similarity, common, counts) for s in own]})
+                                "size": [len(s) for s in own], "prefix": [s[:prefix_size(len(s), similarity, extra)] for s in own]})
 
     return map_texts(docs.select(key, text), run, schema)
 
 
-def _possible(x: str, y: str, similarity: float) -> Column:
-    """Whether sets that share a shingle at these places, and none before, can have the similarity."""
-    rest = F.least(F.col(f"{x}.size") - F.col(f"{x}.pos"), F.col(f"{y}.size") - F.col(f"{y}.pos"))
-    return rest * (1 + similarity) >= similarity * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-6
+def candidate_keys(rows: DataFrame, similarity: float, extra: float = EXTRA) -> DataFrame:
+    """(node, size, shingle): shingles that partners must share one of, of sets that can have partners; rows: (node, size, prefix)."""
+    counts = rows.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    each = rows.select("node", "size", F.explode("prefix").alias("shingle")).join(staged(counts, "shared-shingles"), "shingle")
+    held = each.groupBy("node", "size").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("shared"))
+    keys = F.size("shared") - least_shared(F.col("size"), similarity, extra) + 1
+    own = staged(held.filter(keys > 0).select("node", "size", F.explode(F.slice("shared", F.lit(1), keys)).alias("s")).select("node", "size", "s.shingle"), "keys")
+    met = own.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("shingle")
+    return staged(own.join(staged(met, "keys-that-meet"), "shingle"), "met")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose shingle sets have a Jaccard index of at least `similarity`.
+def families(met: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(node, centre): the least node among those that share a key, and after more rounds those that share one with them."""
+    now = met.select("node", F.col("node").alias("centre")).distinct()
+    for _ in range(rounds):
+        least = staged(met.join(now, "node").groupBy("shingle").agg(F.min("centre").alias("centre")), "least-of-key")
+        now = staged(met.select("node", "shingle").join(least, "shingle").groupBy("node").agg(F.min("centre").alias("centre")), "families")
+    return now
 
-    sets: (node, key), the key of one text for each; docs: (key, text).
-    """
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = sets.select("node", "key").join(ends, "node", "left_semi")
+
+def shingle_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, own) of some nodes: their shingles, from the text of one key each. sets: (node, key); docs: (key, text)."""
+    wanted = sets.select("node", "key").join(nodes, "node", "left_semi")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -94,10 +92,14 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, simi
             same = [set_id(s) == n for s, n in zip(own, frame["node"])]  # rows may share a key
             yield pd.DataFrame({"node": frame["node"], "own": own})[same]
 
-    texts = staged(map_texts(docs.join(wanted, "key").select("node", "text"), run, "node long, own array<long>").dropDuplicates(["node"]), "shingles")
-    both = F.size(F.array_intersect("x", "y"))
+    return staged(map_texts(docs.join(wanted, "key").select("node", "text"), run, "node long, own array<long>").dropDuplicates(["node"]), "shingles")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes whose shingle sets have a Jaccard index of at least `similarity`."""
     held = pairs.join(texts.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return held.withColumn("both", both).filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
+    held = held.withColumn("both", F.size(F.array_intersect("x", "y")))
+    return held.filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def _merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -107,46 +109,70 @@ def _merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(roots.join(links.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
 
 
-def near_copy_groups(docs: DataFrame, words: int = 5, radius: int = 6, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _fingerprint_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """Pairs of nodes that link what fingerprints within the radius link: nodes of one fingerprint to the least of them, and these along the edges."""
+    least = staged(sets.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    edges = near_edges(least.select("fp"), radius).distinct().withColumnsRenamed({"a": "p", "b": "q"})
+    ends = edges.join(least.select(F.col("fp").alias("p"), F.col("first").alias("a")), "p").join(least.select(F.col("fp").alias("q"), F.col("first").alias("b")), "q").select("a", "b")
+    return staged(ends.unionByName(sets.join(least, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))), "fingerprint-pairs")
+
+
+def _groups(met: DataFrame, homes: DataFrame, roots: DataFrame, group_shingles: int) -> DataFrame:
+    """(node, f, g, i, j): groups (f, g, i, j) in which all pairs of nodes that share a key and have different roots meet.
+
+    f and g are centres of the nodes of a key, i and j blocks. What has the most frequent root
+    of (f, g) stands in i alone, whatever has another in i and j.
+    """
+    placed = staged(met.join(roots, "node").join(homes, "node"), "placed")
+    several = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
+    left = staged(placed.join(staged(several, "keys-of-several"), "shingle"), "open-keys")
+    centres = left.select("shingle", "centre").distinct()
+    both = centres.select("shingle", F.col("centre").alias("f")).join(centres.select("shingle", F.col("centre").alias("g")), "shingle").filter("f <= g")
+    own = left.join(staged(both, "centres-of-keys"), "shingle").filter("centre = f or centre = g").select("f", "g", "node", "root", "size").distinct()
+    own = staged(own, "family-members")
+    total = own.groupBy("f", "g", "root").agg(F.sum("size").alias("part")).groupBy("f", "g").agg(F.max(F.struct("part", "root")).alias("main"), F.sum("part").alias("all"), F.count("*").alias("n")).filter("n > 1")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / group_shingles)).cast("long")
+    total = staged(total.select("f", "g", F.col("main.root").alias("main"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("main.part")).alias("parts")), "family-sizes")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
+    held = own.join(total, ["f", "g"])
+    rows = held.select("node", "f", "g", F.pmod("node", "blocks").alias("i"), upto(F.col("parts")).alias("j"))
+    others = held.filter("root <> main and blocks > 1").select("node", "f", "g", upto(F.col("blocks")).alias("i"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("j"))
+    return rows.unionByName(others)
+
+
+def near_copy_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity: float = 0.8, key: str = "doc_id", text: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(key, component_id) of every row with a key: the smallest key that links reach.
 
     Two texts link if the Jaccard index of their word shingles is at least `similarity`, without
-    a miss, or if their fingerprints differ in at most `radius` bits. A text with fewer words is
-    one shingle; texts without words link to each other. Rows without a key take no part.
+    a miss and checked exactly, or if their fingerprints differ in at most `radius` bits, as in
+    the SimHash operator. A text with fewer words is one shingle; null, empty and blank texts have none and link to each other.
+    Long texts count whole. Rows without a key take no part; rows that repeat a key are one node
+    of the links for each text they have. Other columns, whatever their names, are ignored; no
+    rows give no rows.
     """
-    docs = docs.filter(F.col(key).isNotNull())
-    rows = staged(prefixes(docs, words, similarity, key, text), "prefixes")
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sets = staged(rows.groupBy("node").agg(F.min(key).alias("key"), F.min("fp").alias("fp"), F.min("size").alias("size")), "shingle-sets")
-    # equal sets have equal nodes; their fingerprints differ where shingles repeat
-    twins = rows.select("node", F.col("fp").alias("b")).join(sets.select("node", F.col("fp").alias("a")), "node").filter("a <> b").select("a", "b")
-    links = staged(connected_components(near_edges(rows.select("fp").distinct(), radius).unionByName(twins)), "links").select(F.col("node").alias("fp"), "root")
-    roots = staged(sets.select("node", "fp").join(links, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), "roots")
-
-    each = rows.select("node", F.posexplode("prefix").alias("pos", "shingle"))
-    shared = each.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("shingle")
-    met = staged(each.join(shared, "shingle").distinct().join(sets.select("node", "size"), "node"), "met")
-
-    def placed() -> DataFrame:
-        return met.join(roots, "node").select("shingle", "root", F.struct("node", "size", "pos").alias("one"))
-
-    one = placed().groupBy("shingle").agg(F.min(F.struct("root", "one")).alias("least"), F.max("root").alias("last")).filter("least.root < last").select("shingle", F.col("least.root").alias("top"), F.col("least.one").alias("other"))
-    pair = (F.least("one.node", "other.node").alias("a"), F.greatest("one.node", "other.node").alias("b"))
-    tried = staged(placed().join(one, "shingle").filter(F.col("root") != F.col("top")).filter(_possible("one", "other", similarity)).select(*pair).distinct(), "star-pairs")
-    roots = _merged(roots, similar(tried, sets, source, words, similarity))
-
-    groups = placed().groupBy("shingle", "root").agg(F.collect_list("one").alias("ones"))
-    several = groups.groupBy("shingle").count().filter("count > 1").select("shingle")
-    groups = staged(groups.join(several, "shingle", "left_semi"), "groups-that-meet")
-    meet = groups.join(groups.select("shingle", F.col("root").alias("top"), F.col("ones").alias("others")), "shingle").filter("root < top")
-    pairs = meet.select("others", F.explode("ones").alias("one")).select("one", F.explode("others").alias("other")).filter(_possible("one", "other", similarity)).select(*pair).distinct()
-    roots = _merged(roots, similar(staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, source, words, similarity))
+    docs = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = staged(prefixes(docs, words, similarity, "key", "text"), "prefixes")
+    sets = staged(rows.groupBy("node").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.min("size").alias("size")), "shingle-sets")
+    one = rows if rows.count() == sets.count() else rows.join(sets.select("node", "key"), ["node", "key"], "left_semi")
+    met = candidate_keys(one, similarity)
+    homes, close = families(met), _fingerprint_pairs(sets, radius)
+    texts = shingle_sets(homes.select("node"), sets, docs, words)
+
+    roots = _merged(staged(sets.select("node", F.col("node").alias("root")), "roots"), close)
+    star = homes.join(roots, "node").join(roots.select(F.col("node").alias("centre"), F.col("root").alias("top")), "centre").filter("root <> top")
+    roots = _merged(roots, similar(star.select(F.col("node").alias("a"), F.col("centre").alias("b")), texts, similarity))
+    groups = _groups(met, homes, roots, group_shingles).join(texts, "node").groupBy("f", "g", "i", "j").agg(F.collect_list(F.struct(F.col("node").alias("h"), F.col("own").alias("shingles"))).alias("members"))
+    roots = _merged(roots, groups.select("members").mapInPandas(linked_in_groups(similarity), "a long, b long"))
 
     # a table of its own, so that Spark can split the join at the root of a very large component
     least = staged(roots.join(sets.select("node", "key"), "node").groupBy("root").agg(F.min("key").alias("component_id")), "least-keys")
-    return rows.select(key, "node").join(staged(roots.join(least, "root").select("node", "component_id"), "components"), "node").select(key, "component_id")
+    return rows.select(F.col("key").alias(key), "node").join(staged(roots.join(least, "root").select("node", "component_id"), "components"), "node").select(key, "component_id")
+
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs whose key is the smallest of their group, with the columns of docs, whatever their names.
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose key is the smallest of their group, with the columns of docs; rows without a key all stay."""
-    return drop_linked(docs, staged(near_copy_groups(docs, key=key, **options), "near-copies"), key)
+    Nulls, empty and long texts and empty tables are as in near_copy_groups; rows without a key
+    all stay, and where keys repeat each row is judged by its own text.
+    """
+    return keep_first(docs, lambda own, k, t: near_copy_groups(own, key=k, text=t, **options), key, text)

@@ -13,7 +13,7 @@ larger radius some of the last tables keep fewer bits and more can share a bucke
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import map_texts, staged, table
+from .shared import map_texts, running_sums, staged, table
 from .word_arrays import NOT_SPACE, Words
 
 RADIUS, SEED, BUCKET = 3, 42, 256
@@ -201,19 +201,28 @@ def simhash_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, key: s
 def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs whose key is the smallest of their near-duplicate group, with the columns of docs.
 
-    Of rows that repeat a key one stays. Rows without a key can't be told apart and all stay.
+    Nulls, empty and long texts and empty tables are as in simhash_groups, repeated keys as in keep_first.
     """
-    return drop_linked(docs, staged(simhash_groups(docs, words, radius, key, text, **options), "near-duplicates"), key)
+    return keep_first(docs, lambda own, k, t: simhash_groups(own, words, radius, k, t, **options), key, text)
 
 
-def drop_linked(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """docs without rows whose key is not its component_id in groups (key, component_id); of rows that repeat a key one stays."""
-    copies = groups.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.join(copies, key, "left_anti")
-    again = groups.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1").select(key)
-    if again.isEmpty():
-        return kept.select(docs.columns)
-    return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key])).select(docs.columns)
+def keep_first(docs: DataFrame, groups: Callable[[DataFrame, str, str], DataFrame], key: str, text: str) -> DataFrame:
+    """The rows of docs that are first in their group, with the columns of docs, whatever their names.
+
+    groups: from a frame and the names of its key and text to (key, component_id), the smallest
+    key of the row's group. Rows without a key can't be told apart and all stay. Where keys
+    repeat, rows are numbered in the order of key and text first, so that each row is judged by
+    its own text; of rows that repeat key and text one stays.
+    """
+    names = docs.columns
+    own = docs.toDF(*[f"__{i}" for i in range(len(names))])
+    at, body = f"__{names.index(key)}", f"__{names.index(text)}"
+    if not own.filter(F.col(at).isNotNull()).groupBy(at).count().filter("count > 1").isEmpty():
+        own = running_sums(own.withColumns({"__h": F.xxhash64(body), "__one": F.lit(1).cast("long")}), [at, "__h"], {"__id": "__one"})
+        own, at = own.withColumn("__id", F.when(F.col(at).isNotNull(), F.col("__id"))), "__id"
+    found = staged(groups(own.select(at, body), at, body), "groups")
+    copies = found.filter(F.col(at) != F.col("component_id")).select(at)
+    return own.join(copies, at, "left_anti").select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

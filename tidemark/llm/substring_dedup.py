@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, linked_in_groups
 from .shared import map_texts, staged, table
 from .word_arrays import ALNUM, BASE, INVERSE, Words, batches, mixed
 
@@ -139,40 +139,6 @@ def _line_shingles(docs: DataFrame) -> DataFrame:
     return map_texts(docs, run, "h long, shingles array<long>")
 
 
-def _verified(similarity: float):
-    """Edges that connect what lines of a bucket connect, at most one fewer than it has lines."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            a, b = [], []
-            for members in frame["members"]:
-                lines = {m["h"]: np.asarray(m["shingles"]) for m in members}
-                h = np.array(list(lines), dtype=np.int64)
-                size = np.array([len(s) for s in lines.values()])
-                line = np.repeat(np.arange(len(h)), size)
-                _, shingle = np.unique(np.concatenate(list(lines.values())), return_inverse=True)
-                begin, open_ = np.cumsum(size) - size, np.ones(len(h), dtype=bool)
-                mark = np.zeros(shingle.max() + 1, dtype=np.int64)
-                for first in range(len(h)):
-                    if not open_[first]:
-                        continue
-                    open_[first], todo = False, [first]
-                    while todo and open_.any():
-                        i = todo.pop()
-                        mine = shingle[begin[i]:begin[i] + size[i]]
-                        mark[mine] = 1
-                        both = np.bincount(line, weights=mark[shingle], minlength=len(h))
-                        mark[mine] = 0
-                        new = np.flatnonzero(open_ & (both >= similarity * (size + size[i] - both) - 1e-9))
-                        open_[new] = False
-                        a += [h[i]] * len(new)
-                        b += h[new].tolist()
-                        todo += new.tolist()
-            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
-
-    return run
-
-
 def _near(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of lines whose shingles have a Jaccard index of at least `similarity`."""
     held = pairs.join(texts.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
@@ -207,7 +173,7 @@ def line_links(distinct: DataFrame, docs: DataFrame, similarity: float, block: i
         few = unlike.join(parts, "band").select("h", "band", upto(blocks).alias("i"), F.pmod(F.xxhash64("h"), F.col("parts")).alias("j"))
         placed = placed.unionByName(all_of).unionByName(few)
     groups = placed.join(texts, "h").groupBy("band", "i", "j").agg(F.collect_list(F.struct("h", "shingles")).alias("members"))
-    found = groups.select("members").mapInPandas(_verified(similarity), "a long, b long").distinct()
+    found = groups.select("members").mapInPandas(linked_in_groups(similarity), "a long, b long").distinct()
     return found if star is None else found.unionByName(star)
 
 
