@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,6 +15,7 @@ from tidemark.operators import features as fe
 from tidemark.operators import knowledge as kb
 from tidemark.operators import lifecycle as lc
 from tidemark.operators import models as ml
+from tidemark.operators import ordering as od
 from tidemark.operators import procurement as pr
 from tidemark.operators import retrieval as rt
 from tidemark.sources import tables as tb
@@ -129,6 +131,36 @@ def test_calendar_window(spark):
     assert pick("2026-02-09", "2026-02-10") == dt.date(2026, 2, 9)
 
 
+def test_default_words_and_windows(spark):
+    day = lambda x: F.lit(x).cast("date")
+    assert one(spark, lc.next_window(day("2025-03-01"), day("2026-02-10"))) == dt.date(2025, 8, 10)
+    assert [one(spark, fe.severity(F.lit(x))) for x in ("컴퓨터공학과", "과학실", "총무과")] == [1.3, 1.2, 1.0]
+    assert [one(spark, fe.physical_reason(F.lit(x))) for x in ("성능저하", "잉여물품", None)] == [True, False, False]
+    no = F.lit(False)
+    assert one(spark, lc.usage_intensity(F.lit("노트북"), F.lit("전산과"), F.lit("HIGH"), F.lit(140.0), no, no)) == pytest.approx(1.34, abs=0.011)
+
+
+def test_ids_of_large_years_are_those_of_the_window(spark):
+    rows = [(i, dt.date(2019 + i % 3, 1 + i % 12, 1 + i % 28) if i % 50 else None, i * 37 % 101 if i % 9 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, d date, x long")
+    order = [F.col("x"), F.col("id")]
+    a = {r["id"]: r["asset_id"] for r in lc.number_assets(df, "d", *order).collect()}
+    assert {r["id"]: r["asset_id"] for r in lc.number_large_years(df, "d", *order, ranges=7).collect()} == a
+
+
+def test_quantiles_equal_percentiles(spark):
+    df = spark.createDataFrame([(float(i * i % 97) if i % 7 else None,) for i in range(500)], "v double")
+    got = od.quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0]).first()["q"]
+    assert got == pytest.approx(df.agg(F.percentile("v", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.9, 1.0)])).alias("q")).first()["q"])
+    assert od.quantiles(df.limit(0), "v", [0.5]).first()["q"] is None
+    assert od.quantiles(df.filter("v = 1").limit(1), "v", [0.25, 0.75]).first()["q"] == [1.0, 1.0]
+
+
+def test_small_tables_are_broadcast_and_large_ones_not(spark):
+    plan = lambda most: spark.range(5).join(od.small(spark.range(3).withColumnRenamed("id", "b"), most), F.col("id") > F.col("b"))._jdf.queryExecution().toString()
+    assert "strategy=broadcast" in plan(3) and "strategy=broadcast" not in plan(2)
+
+
 # --- features ---
 
 def test_split_sizes(spark):
@@ -257,6 +289,17 @@ def test_top_k_blocks_give_the_same(spark):
     assert rt.top_k(v.limit(0), v, 5).count() == 0
 
 
+def test_nearest_by_category_equals_all_pairs(spark):
+    rows = [(i, "abc"[i % 3] if i != 59 else "alone", [float((i * 7 + j * 3) % 11 - 5) for j in range(4)]) for i in range(60)] + [(99, "a", [])]
+    got = {r["q"]: (r["same"], r["other"]) for r in rt.nearest_by_category(spark.createDataFrame(rows, "id long, category string, embedding array<float>"), block=7).collect()}
+    own = {i: (c, np.array(v) / (np.linalg.norm(v) or 1)) for i, c, v in rows[:60]}
+    for i, (c, v) in own.items():
+        far = {k: [1 - v @ w for j, (d, w) in own.items() if j != i and (d == c) == k] for k in (True, False)}
+        for value, want in zip(got[i], (far[True], far[False])):
+            assert value == (pytest.approx(min(want), abs=1e-9) if want else None)
+    assert set(got) == set(own)
+
+
 # --- sources ---
 
 def test_csv_reads(spark, tmp_path):

@@ -73,6 +73,12 @@ def buttons(question: Column, answer: Column, rules: Sequence[tuple[str, Sequenc
     return F.array_distinct(F.array_compact(F.array(*[F.when(both.rlike(_any(words)), name) for name, words in rules or vocab.BUTTONS])))
 
 
+def button_links(question: Column, answer: Column) -> Column:
+    """Buttons as an array of (label, url), one for each label."""
+    links = F.create_map(*[x for name, link in vocab.BUTTON_LINKS.items() for x in (F.lit(name), F.struct(F.lit(link[0]).alias("label"), F.lit(link[1]).alias("url")))])
+    return F.transform(buttons(question, answer), lambda name: F.element_at(links, name))
+
+
 def refined_query(reply: Column, original: Column, most: int = 500) -> Column:
     """a rewritten query without code fences: its first line that isn't blank, else the original."""
     lines = F.filter(F.transform(F.split(F.trim(F.replace(reply, F.lit("```"), F.lit(""))), "\n"), F.trim), lambda x: x != "")

@@ -1,4 +1,7 @@
-"""Words that rules look for, as arguments' defaults. Fixed values of the asset-management domain."""
+"""Words that rules look for, as arguments' defaults. Fixed values of the asset-management domain.
+
+A word that holds another one of its list is left out, as the shorter one finds it too.
+"""
 
 #: Category of a document by the first list with a word in it.
 CATEGORY_RULES = [
@@ -32,6 +35,18 @@ BUTTONS = [
     ("forecast", ["사용주기", "AI예측", "AI 예측"]),
 ]
 
+#: Label and address of each button.
+BUTTON_LINKS = {
+    "return": ("물품 반납 관리 바로가기", "/return-management"),
+    "disposal": ("불용/처분 관리 바로가기", "/disposal-management"),
+    "acquisition": ("자산 취득 등록 바로가기", "/acquisition-management"),
+    "status": ("보유현황조회 바로가기", "/status-inquiry"),
+    "forecast": ("사용주기 AI 예측 바로가기", "/ai-forecast"),
+}
+
+#: Text of the service level of each risk level.
+SERVICE_LEVELS = {"Low": "50% 수준", "Medium": "90% 수준", "High": "95% 이상 안정"}
+
 COMPARISON_WORDS = ["차이", "비교", "구분", "다른", "vs", "VS"]
 LIST_WORDS = ["faq", "자주묻는", "질문리스트", "질문목록"]
 DOC_TYPE_ORDER = {"manual_chunk": 0, "faq": 1, "domain_guide": 2, "qa": 3}

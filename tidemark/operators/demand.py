@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,15 @@ def moving_average(history: DataFrame, keys: Sequence[str] = (), w: int = 6) ->
     return last_months(history, keys, w).groupBy(*keys).agg(F.avg("actual").alias("forecast"))
 
 
+def baselines(history: DataFrame, future: DataFrame, keys: Sequence[str], windows: Sequence[int] = (3, 6, 12)) -> DataFrame:
+    """M8: forecasts of each future month of a series by the baselines (keys, month, actual, model, forecast), not under 0: seasonal naive, moving averages."""
+    keys, parts = list(keys), []
+    parts.append(seasonal_naive(history, future, keys).select(*keys, "month", "actual", F.lit("SeasonalNaive").alias("model"), F.col("naive").alias("forecast")))
+    for w in windows:
+        parts.append(future.join(moving_average(history, keys, w), keys, "left").select(*keys, "month", "actual", F.lit(f"MovingAverage{w}").alias("model"), "forecast"))
+    return reduce(DataFrame.unionByName, parts).withColumn("forecast", F.greatest("forecast", F.lit(0.0)))
+
+
 def regression_metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """RMSE, MAE, R2; R2 is null for a constant target."""
     e = F.col(y) - F.col(p)
@@ -115,3 +125,13 @@ def ranked(df: DataFrame, metric: str, tie: str, n: int | None = None) -> DataFr
     """Candidates by a metric, the best n. One row per candidate takes part."""
     out = df.withColumn("place", F.row_number().over(Window.orderBy(metric, tie)))
     return out.filter(F.col("place") <= n) if n else out
+
+
+def promote(candidates: DataFrame, current: DataFrame, metric: str, tie: str) -> DataFrame:
+    """The best candidate, the metric of the model in use (null if there is none) and whether the candidate takes its place.
+
+    current: (metric) of the stored record of the model in use, at most one row.
+    """
+    best = ranked(candidates, metric, tie, 1).drop("place")
+    held = current.agg(F.min(metric).alias("current"))
+    return best.join(F.broadcast(held)).withColumn("promote", F.col("current").isNull() | (F.col(metric) < F.col("current")))

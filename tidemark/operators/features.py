@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocab
+from .ordering import quantiles
+
 
 def rounded(c: Column, digits: int) -> Column:
     """Half-even rounding of the scaled value."""
@@ -54,7 +57,7 @@ def price_features(price: Column) -> dict[str, Column]:
     return {"sensitivity": sense, "lead_grade": grade, "importance": rounded(sense * 0.7 + grade * 0.5 * 0.3, 2)}
 
 
-def severity(dept: Column, high: str, middle: str) -> Column:
+def severity(dept: Column, high: str = vocab.SEVERITY_HIGH, middle: str = vocab.SEVERITY_MIDDLE) -> Column:
     """1.3, 1.2 or 1.0 by ordered word patterns; null is 1.0."""
     return F.when(dept.rlike(high), 1.3).when(dept.rlike(middle), 1.2).otherwise(1.0)
 
@@ -65,6 +68,11 @@ def end_of_life(disposal_confirmed: Column, disuse_confirmed: Column, scrapped:
     return F.when(sure(physical) & (sure(disposal_confirmed) & sure(scrapped) | sure(disuse_confirmed) & sure(sold)), "Y").otherwise("N")
 
 
+def physical_reason(reason: Column) -> Column:
+    """whether a reason is a physical one; null is none."""
+    return F.coalesce(reason.isin(*vocab.PHYSICAL_REASONS), F.lit(False))
+
+
 def is_repair(kind: Column, result: Column, kinds: Sequence[str], results: Sequence[str]) -> Column:
     """a repair by type or by result; nulls are none."""
     return F.coalesce(kind.isin(*kinds), F.lit(False)) | F.coalesce(result.isin(*results), F.lit(False))
@@ -83,7 +91,7 @@ def budget_code(grade: Column) -> Column:
 
 def fill_price(df: DataFrame, price: str = "acq_amount", default: float = 1_000_000.0) -> DataFrame:
     """Null and zero prices become the median of the positive ones."""
-    middle = df.filter(F.col(price) > 0).agg(F.coalesce(F.median(price), F.lit(default)).alias("__median"))
+    middle = quantiles(df.filter(F.col(price) > 0), price, [0.5]).select(F.coalesce(F.col("q")[0], F.lit(default)).alias("__median"))
     return df.join(F.broadcast(middle)).withColumn(price, F.coalesce(F.nullif(F.col(price), F.lit(0.0)), F.col("__median"))).drop("__median")
 
 
@@ -95,7 +103,7 @@ def fill_mode(df: DataFrame, column: str, default: int = 5) -> DataFrame:
 
 def quartile_bounds(df: DataFrame, column: str, reach: float = 2.0) -> DataFrame:
     """One row: q1, q3 (linear interpolation) and bounds `reach` interquartile ranges beyond them."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = quantiles(df, column, [0.25, 0.75]).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     return q.withColumns({"low": F.col("q1") - reach * (F.col("q3") - F.col("q1")), "high": F.col("q3") + reach * (F.col("q3") - F.col("q1"))})
 
 
@@ -198,8 +206,9 @@ def guard_leaks(columns: Sequence[str], features: Sequence[str], leaks: Sequence
 def impute_medians(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None) -> DataFrame:
     """Nulls become the median of the rows it is fitted on, else 0."""
     rows = df.filter(fit_on) if fit_on is not None else df
-    middle = rows.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"__{c}") for c in columns])
-    return df.join(F.broadcast(middle)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
+    for c in columns:
+        df = df.join(F.broadcast(quantiles(rows, c, [0.5]).select(F.coalesce(F.col("q")[0], F.lit(0.0)).alias(f"__{c}"))))
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
 def model_input(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -207,6 +216,15 @@ def model_input(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return impute_medians(df.withColumns({c: F.lit(0.0) for c in order if c not in df.columns}), order).select(*order)
 
 
+def outlier_statistics(outliers: DataFrame, value: str, item: str, top: int = 3) -> DataFrame:
+    """Rows, least, greatest and most frequent value of outliers, and the `top` most frequent items with their counts, ties by name."""
+    first = lambda c, n: F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), F.col(c).alias("v")))), 1, n)
+    values = outliers.filter(F.col(value).isNotNull()).groupBy(value).count().orderBy(F.desc("count"), value).limit(1).agg(F.first(value).alias("most_frequent"))
+    items = outliers.filter(F.col(item).isNotNull()).groupBy(item).count().orderBy(F.desc("count"), item).limit(top).agg(first(item, top).alias("t"))
+    shown = F.array_join(F.transform("t", lambda x: F.concat_ws(":", x["v"], (-x["n"]).cast("string"))), ", ")
+    return outliers.agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).join(F.broadcast(values)).join(F.broadcast(items)).select("n", "lo", "hi", "most_frequent", shown.alias("top_items"))
+
+
 def in_months(years: Column) -> Column:
     """Years as months."""
     return years.cast("double") * 12

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
+from .ordering import row_numbers, small
 
 COLUMNS = ["doc_type", "source", "title", "chapter", "category", "doc_id", "page_content"]
 
@@ -25,9 +26,8 @@ def with_answers(df: DataFrame, *columns: str, least: int = 1) -> DataFrame:
 
 
 def numbered(df: DataFrame, prefix: str, digits: int, *order: str) -> DataFrame:
-    """Ids prefix + number from 0 in a declared order. One global order: for tables of a manual's size."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn("doc_id", F.format_string(f"{prefix}%0{digits}d", n))
+    """Ids prefix + number from 0 in a declared order."""
+    return row_numbers(df, "__n", order).withColumn("doc_id", F.format_string(f"{prefix}%0{digits}d", F.col("__n") - 1)).drop("__n")
 
 
 def chunk_documents(df: DataFrame, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
@@ -46,12 +46,12 @@ def qa_documents(df: DataFrame) -> DataFrame:
 def faq_matches(questions: DataFrame, faq: DataFrame) -> DataFrame:
     """Per question, the FAQ rows with a keyword inside it, or all for a request of the list, in FAQ order.
 
-    faq (pos, question, answer, keywords) is a small table and is broadcast.
+    faq (pos, question, answer, keywords) is broadcast where it is small.
     """
     words = faq.select("pos", F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer").alias("shown"), F.transform("keywords", tx.plain).alias("own"))
     asked = questions.select("id", tx.plain(F.col("text")).alias("__q"))
     asked = asked.withColumn("__wants", F.col("__q").rlike("|".join(vocab.LIST_WORDS)))  # once a question, not once a pair
-    hit = asked.join(F.broadcast(words), F.col("__wants") | F.exists("own", lambda k: (k != "") & F.contains(F.col("__q"), k)))
+    hit = asked.join(small(words), F.col("__wants") | F.exists("own", lambda k: (k != "") & F.contains(F.col("__q"), k)))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "shown")))
     return hit.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["shown"]), "\n\n").alias("faq"), F.count("*").alias("n_faq"))
 
@@ -59,7 +59,7 @@ def faq_matches(questions: DataFrame, faq: DataFrame) -> DataFrame:
 def standard_names(df: DataFrame, synonyms: DataFrame, word: str, to: str) -> DataFrame:
     """The standard name of a word, lower-cased and trimmed; unknown words stay. synonyms: (word, standard), one row a word."""
     s = synonyms.select(F.col("word").alias("__w"), F.col("standard").alias("__s"))
-    return df.join(F.broadcast(s), F.lower(F.trim(F.col(word))) == F.col("__w"), "left").withColumn(to, F.coalesce("__s", word)).drop("__w", "__s")
+    return df.join(s, F.lower(F.trim(F.col(word))) == F.col("__w"), "left").withColumn(to, F.coalesce("__s", word)).drop("__w", "__s")
 
 
 def correct_arguments(df: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def correct_arguments(df: DataFrame, synonyms: DataFrame) -> DataFrame:
     out = df.withColumn("error", F.when(F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("name", "id_val", "id_num")]).isNull(), "no argument"))
     for field in ("id_val", "id_num"):
         known = F.col("__w").isNotNull()
-        out = out.join(F.broadcast(words), F.lower(F.trim(F.col(field))) == F.col("__w"), "left")
+        out = out.join(words, F.lower(F.trim(F.col(field))) == F.col("__w"), "left")
         out = out.withColumn("name", F.when(known & (F.coalesce(F.trim("name"), F.lit("")) == ""), F.col(field)).otherwise(F.col("name"))).withColumn(field, F.when(~known, F.col(field))).drop("__w", "__s")
     return standard_names(out, synonyms, "name", "name")
 
@@ -79,7 +79,7 @@ def correct_arguments(df: DataFrame, synonyms: DataFrame) -> DataFrame:
 def predictability(items: DataFrame, metadata: DataFrame, key: str = "item_name") -> DataFrame:
     """Code and lifespan of items that the forecast knows, as one struct; null for others."""
     m = metadata.select(key, F.struct("code", "lifespan").alias("prediction"))
-    return items.join(F.broadcast(m), key, "left").withColumn("is_predictable", F.col("prediction").isNotNull())
+    return items.join(m, key, "left").withColumn("is_predictable", F.col("prediction").isNotNull())
 
 
 def search_messages(messages: DataFrame, word: str | None) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocab
+from .ordering import row_numbers, small
+
 OPEN_END = "2099-12-31"
 
 
@@ -78,19 +81,13 @@ def number_assets(df: DataFrame, date: str, *order: Column, prefix: str = "M") -
     return df.withColumn("asset_id", F.concat(F.lit(prefix), year.cast("string"), F.when(F.length(n) < 5, F.lpad(n, 5, "0")).otherwise(n)))
 
 
-def number_large_years(df: DataFrame, date: str, key: Column, prefix: str = "M", ranges: int = 64) -> DataFrame:
-    """W5 for years that are too large for one task: numbers by ranges of a hash of the row.
-
-    The order within a year is that of a 64-bit hash of `key`, ties broken by key itself; each
-    range is numbered alone and shifted by the rows of the ranges before it.
-    """
-    h = F.xxhash64(key)
-    placed = df.withColumns({"__y": F.year(date), "__h": h, "__r": F.floor((h.cast("double") / 2.0**64 + 0.5) * ranges).cast("int"), "__k": key})
-    counts = placed.groupBy("__y", "__r").agg(F.count("*").alias("__c"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.partitionBy("__y").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    n = (F.row_number().over(Window.partitionBy("__y", "__r").orderBy("__h", "__k")) + F.col("__before")).cast("string")
-    return (placed.join(before, ["__y", "__r"]).withColumn("asset_id", F.concat(F.lit(prefix), F.col("__y").cast("string"), F.when(F.length(n) < 5, F.lpad(n, 5, "0")).otherwise(n)))
-            .select(*df.columns, "asset_id"))
+def number_large_years(df: DataFrame, date: str, *order: Column, prefix: str = "M", ranges: int | None = None) -> DataFrame:
+    """W5 for years that are too large for one task: the same ids, numbered by ranges of the order."""
+    names = [f"__o{i}" for i in range(len(order))]
+    placed = df.withColumns({"__y": F.year(date), **dict(zip(names, order))})
+    n = F.col("__k").cast("string")
+    out = row_numbers(placed, "__k", names, ["__y"], ranges)
+    return out.withColumn("asset_id", F.concat(F.lit(prefix), F.col("__y").cast("string"), F.when(F.length(n) < 5, F.lpad(n, 5, "0")).otherwise(n))).select(*df.columns, "asset_id")
 
 
 def validity(history: DataFrame, key: str = "asset_id", at: str = "changed_at") -> DataFrame:
@@ -101,7 +98,7 @@ def validity(history: DataFrame, key: str = "asset_id", at: str = "changed_at")
 
 def held_on(intervals: DataFrame, days: DataFrame, key: str = "asset_id") -> DataFrame:
     """Intervals that hold on each of a few days; empty intervals never do."""
-    return intervals.join(F.broadcast(days), (F.col("valid_from") <= F.col("day")) & (F.col("valid_to") >= F.col("day")))
+    return intervals.join(small(days), (F.col("valid_from") <= F.col("day")) & (F.col("valid_to") >= F.col("day")))
 
 
 def in_stock(assets: DataFrame, day: Column, gone: str = "D") -> DataFrame:
@@ -135,11 +132,11 @@ def restore_columns(df: DataFrame, origin: DataFrame, keys: Sequence[str]) -> Da
 def longest_match(df: DataFrame, rules: DataFrame, text: str, defaults: dict[str, float]) -> DataFrame:
     """Parameters of the longest keyword inside a text; rules (keyword, ...) is a small table.
 
-    The rules are tried for each distinct text, by a broadcast of the rules.
+    The rules are tried for each distinct text, by a broadcast of the rules where these are few.
     """
     names = [c for c in rules.columns if c != "keyword"]
     best = F.max(F.struct(F.length("keyword").alias("__n"), "keyword", *names)).alias("__best")
-    found = df.select(text).distinct().join(F.broadcast(rules), F.col(text).contains(F.col("keyword")), "left").groupBy(text).agg(best)
+    found = df.select(text).distinct().join(small(rules), F.col(text).contains(F.col("keyword")), "left").groupBy(text).agg(best)
     return df.join(found, text, "left").withColumns({c: F.coalesce(F.col("__best")[c], F.lit(defaults[c])) for c in names}).drop("__best")
 
 
@@ -167,8 +164,8 @@ def normal_timestamp(text: Column) -> Column:
     return F.coalesce(F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd HH:mm:ss"), F.lit(""))
 
 
-def next_window(day: Column, as_of: Column, windows: Sequence[tuple[int, int, int]], ahead: int = 180) -> Column:
-    """first day of the nearest calendar window (month, first, last) that a day can wait for.
+def next_window(day: Column, as_of: Column, windows: Sequence[tuple[int, int, int]] = vocab.DISPOSAL_WINDOWS, ahead: int = 180) -> Column:
+    """first day of the nearest calendar window (month, first, last), of disposals by default, that a day can wait for.
 
     Inside a window that is the day itself. Windows that start after as_of or more than `ahead`
     days on don't count; without one the day stays; from as_of on it is as_of.
@@ -199,7 +196,7 @@ def adjusted_life_days(mean: Column, severity: Column, usage: Column, price: Col
     return (F.greatest(years, F.lit(1.0)) * 365).cast("int")
 
 
-def usage_intensity(item: Column, dept: Column, budget: Column, hours: Column, shared: Column, in_class: Column, words: dict[str, str]) -> Column:
+def usage_intensity(item: Column, dept: Column, budget: Column, hours: Column, shared: Column, in_class: Column, words: dict[str, str] = vocab.USAGE_WORDS) -> Column:
     """usage by kind of item and department, budget, sharing and hours; between 0.8 and 1.35.
 
     words: patterns for infra, it and furniture (items), lab and support (departments).

@@ -8,6 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocab
+
 #: Terms and the months that they plan for; lead days by grade; service factors by risk.
 TERM_MONTHS = {"1학기": 3, "여름계절학기": 6, "2학기": 9, "겨울계절학기": 12}
 LEAD_DAYS = {0: 7, 1: 20, 2: 38}
@@ -117,6 +119,14 @@ def risk_z(level: Column) -> Column:
     return F.when(level.isin("Low", "LOW"), RISK_Z["LOW"]).when(level.isin("High", "HIGH"), RISK_Z["HIGH"]).otherwise(RISK_Z["MEDIUM"])
 
 
+def service_level(level: Column) -> Column:
+    """the text of a risk level's service level; that of Medium for an unknown or null level."""
+    out = F.lit(vocab.SERVICE_LEVELS["Medium"])
+    for name, text in vocab.SERVICE_LEVELS.items():
+        out = F.when(level == name, text).otherwise(out)
+    return out
+
+
 def intent_z(text: Column, urgent: str, relaxed: str) -> Column:
     """service factor by intent words, 1.28 without any."""
     return F.when(text.rlike(urgent), RISK_Z["HIGH"]).when(text.rlike(relaxed), RISK_Z["LOW"]).otherwise(RISK_Z["MEDIUM"])

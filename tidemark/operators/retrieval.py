@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import cut_block
+from .ordering import small
 
 FOUND = "q long, doc long, score double"
 
@@ -28,42 +29,71 @@ def _matrix(vectors: list) -> np.ndarray:
     return m / np.where(size == 0, 1, size)
 
 
+def _packed(rows: DataFrame, block: int, side: str) -> tuple[DataFrame, int]:
+    """(<side>_block, <side>_ids, <side>_flat, <side>_kinds): about `block` vectors a row, and the number of blocks."""
+    blocks = max(1, math.ceil(rows.count() / block))
+    kind = F.col("category").cast("string") if "category" in rows.columns else F.lit(None).cast("string")
+    one = F.struct(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), kind.alias("k"))
+    own = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(f"{side}_block")).agg(F.collect_list(one).alias("x"))
+    parts = {"ids": F.transform("x", lambda e: e["id"]), "flat": F.flatten(F.transform("x", lambda e: e["v"])), "kinds": F.transform("x", lambda e: e["k"])}
+    return own.select(f"{side}_block", *[c.alias(f"{side}_{n}") for n, c in parts.items()]), blocks
+
+
+def _block_pairs(queries: DataFrame, docs: DataFrame, block: int) -> DataFrame:
+    """Every block of queries beside every block of docs, by a join on the number of the docs' block. Empty vectors are left out."""
+    able = lambda df: df.filter(F.size("embedding") > 0)
+    q, _ = _packed(able(queries), block, "q")
+    d, n = _packed(able(docs), block, "d")
+    return q.withColumn("d_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(d, "d_block")
+
+
+def _cosines(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a block pair's queries and docs, and their cosines."""
+    q_ids, d_ids = np.asarray(row.q_ids, dtype=np.int64), np.asarray(row.d_ids, dtype=np.int64)
+    return q_ids, d_ids, _matrix(np.asarray(row.q_flat).reshape(len(q_ids), -1)) @ _matrix(np.asarray(row.d_flat).reshape(len(d_ids), -1)).T
+
+
 def top_k(queries: DataFrame, docs: DataFrame, k: int, skip_self: bool = False, block: int = 4096) -> DataFrame:
     """(q, rank, doc, score) of the k documents of highest cosine for each query, ties by doc.
 
-    queries, docs: (id, embedding). Queries are taken in blocks of about `block` rows; each
-    block is sent to all tasks, which keep their own best k, so what moves is k rows a query
-    and task. Exact: every document is compared.
+    queries, docs: (id, embedding). Both are packed into blocks of about `block` vectors; each
+    pair of blocks is one row of a join and keeps its own best k, so what moves on is k rows a
+    query and block. Exact: every document is compared. Nothing passes through the driver.
     """
-    blocks, found = max(1, math.ceil(queries.count() / block)), None
-    for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "embedding").collect()
-        if not own:
-            continue
-        ids, q = np.array([r["id"] for r in own]), _matrix([r["embedding"] for r in own])
-
-        def run(frames: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            doc, score = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
-            for frame in frames:
-                new = frame["id"].to_numpy()
-                s = q @ _matrix(frame["embedding"].tolist()).T
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                ids, new, s = _cosines(row)
                 if skip_self:
                     s = np.where(ids[:, None] == new[None, :], -np.inf, s)
-                doc, score = np.hstack([doc, np.broadcast_to(new, s.shape)]), np.hstack([score, s])
-                best = np.lexsort((doc, -score), axis=1)[:, :k]
-                doc, score = np.take_along_axis(doc, best, 1), np.take_along_axis(score, best, 1)
-            if doc.size:
-                out = pd.DataFrame({"q": np.repeat(ids, doc.shape[1]), "doc": doc.ravel(), "score": score.ravel()})
+                best = np.lexsort((np.broadcast_to(new, s.shape), -s), axis=1)[:, :k]
+                out = pd.DataFrame({"q": np.repeat(ids, best.shape[1]), "doc": new[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
                 yield out[np.isfinite(out["score"])]
 
-        part = docs.select("id", "embedding").mapInPandas(run, FOUND)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "q long, rank int, doc long, score double")
+    found = _block_pairs(queries.select("id", "embedding"), docs.select("id", "embedding"), block).mapInPandas(run, FOUND)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "rank", "doc", "score")
 
 
+def nearest_by_category(vectors: DataFrame, block: int = 4096) -> DataFrame:
+    """(q, same, other): cosine distance to the nearest other vector of the same category and to the nearest of another one; null where there is none.
+
+    vectors: (id, category, embedding). Exact, by the same pairs of blocks as top_k.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                ids, new, s = _cosines(row)
+                alike = np.asarray(row.q_kinds, dtype=object)[:, None] == np.asarray(row.d_kinds, dtype=object)[None, :]
+                s = np.where(ids[:, None] == new[None, :], -np.inf, s)
+                same, other = (np.where(mask, s, -np.inf).max(axis=1) for mask in (alike, ~alike))
+                yield pd.DataFrame({"q": ids, "same": np.where(np.isfinite(same), 1 - same, np.nan), "other": np.where(np.isfinite(other), 1 - other, np.nan)})
+
+    own = vectors.select("id", "category", "embedding")
+    found = _block_pairs(own, own, block).mapInPandas(run, "q long, same double, other double")
+    return found.groupBy("q").agg(*[F.min(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("same", "other")])
+
+
 def merge_results(refined: DataFrame, original: DataFrame, k: int) -> DataFrame:
     """Best (lowest) score of each document of two result sets, the k best; of the original at most max(5, k / 2)."""
     both = refined.select("q", "doc", "score").unionByName(original.filter(F.col("rank") <= max(5, k // 2)).select("q", "doc", "score"))
@@ -178,7 +208,7 @@ def silhouette(vectors: DataFrame) -> DataFrame:
     sums = (parts.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("total"))
             .join(own.groupBy("category").agg(F.count("*").alias("n")).filter("n > 1"), "category"))
     dot = F.aggregate(F.zip_with("x", "total", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    pairs = own.join(sums.select("category"), "category", "left_semi").join(F.broadcast(sums.withColumnRenamed("category", "other")))
+    pairs = own.join(sums.select("category"), "category", "left_semi").join(small(sums.withColumnRenamed("category", "other")))
     same = F.col("category") == F.col("other")
     far = F.when(same, (F.col("n") - dot) / (F.col("n") - 1) - 0.0).otherwise(1 - dot / F.col("n"))
     # within the own category the vector itself adds distance 0: (n - dot) is the sum of distances
@@ -212,12 +242,19 @@ def score_histogram(rows: DataFrame, columns: tuple[str, ...] = ("faithfulness",
     return grid.join(long.groupBy("measure", "score").agg(F.count("*").alias("n")), ["measure", "score"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-def funnel(retrieved: DataFrame, filtered: DataFrame, final: DataFrame) -> DataFrame:
-    """Per query, documents retrieved, filtered and final, and the final categories and scores in order."""
+def funnel(retrieved: DataFrame, filtered: DataFrame, final: DataFrame, top: int = 10) -> DataFrame:
+    """Per query, documents retrieved, filtered and final, final categories and document types in order, and the scores of the first `top` retrieved.
+
+    Documents without a type are `unknown`, those without a category have an empty one.
+    """
     n = lambda df, name: df.groupBy("q").agg(F.count("*").alias(name))
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "category", "score")))
-    last = final.groupBy("q").agg(F.count("*").alias("n_final"), F.array_join(F.transform(ordered, lambda x: x["category"].cast("string")), "|").alias("categories"))
-    out = n(retrieved, "n_retrieved").join(n(filtered, "n_filtered"), "q", "left").join(last, "q", "left")
+    kind = F.coalesce(F.col("doc_type"), F.lit("unknown")) if "doc_type" in final.columns else F.lit("unknown")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", F.coalesce(F.col("category").cast("string"), F.lit("")).alias("category"), kind.alias("kind"))))
+    joined = lambda name: F.array_join(F.transform(ordered, lambda x: x[name]), "|")
+    last = final.groupBy("q").agg(F.count("*").alias("n_final"), joined("category").alias("categories"), joined("kind").alias("doc_types"))
+    scores = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc", "score"))), lambda x: F.concat_ws(":", x["doc"].cast("string"), F.format_number(x["score"], 6))), "|")
+    first = retrieved.filter(F.col("rank") <= top).groupBy("q").agg(scores.alias("scores"))
+    out = n(retrieved, "n_retrieved").join(n(filtered, "n_filtered"), "q", "left").join(last, "q", "left").join(first, "q", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_filtered", "n_final")})
 
 

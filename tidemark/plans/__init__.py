@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from . import bindings, demand, features, knowledge, lifecycle, models  # noqa: F401
+    from . import bindings, demand, features, knowledge, lifecycle, models, sources  # noqa: F401
 
     return bindings
 

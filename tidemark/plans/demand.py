@@ -101,6 +101,17 @@ def m8_baselines(spark, d):
     return both.select("dept", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "smape")])
 
 
+@query(f"""WITH {NAIVE}, h AS (SELECT dept, actual, row_number() OVER (PARTITION BY dept ORDER BY month DESC) AS k FROM split WHERE split <> 'Test'),
+w AS (SELECT dept, w, avg(actual) AS f FROM h, (VALUES (3), (6), (12)) t(w) WHERE k <= w GROUP BY ALL),
+every AS (SELECT dept, 'SeasonalNaive' AS model, actual, naive AS f FROM naive UNION ALL SELECT s.dept, 'MovingAverage' || w::VARCHAR, s.actual, f FROM split s JOIN w USING (dept) WHERE s.split = 'Test')
+SELECT dept, model, round(sqrt(avg((actual - f) ** 2)), 6) AS rmse, round(avg(abs(actual - f)), 6) AS mae, round(avg(CASE WHEN abs(actual) + abs(f) > 0 THEN 2 * abs(f - actual) / (abs(actual) + abs(f)) END) * 100, 6) AS smape FROM every GROUP BY ALL""")
+def m8_all_baselines(spark, d):
+    split = dm.positional_split(dense(spark, d), ["dept"])
+    out = dm.baselines(split.filter("split <> 'Test'"), split.filter("split = 'Test'"), ["dept"])
+    both = dm.regression_metrics(out, "actual", "forecast", ["dept", "model"]).join(dm.smape(out, "actual", "forecast", ["dept", "model"]), ["dept", "model"])
+    return both.select("dept", "model", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "smape")])
+
+
 FIT = "fit AS (SELECT l_returnflag AS flag, l_extendedprice / 1000 AS y, l_quantity * 2 AS p FROM lineitem)"
 
 
@@ -162,6 +173,13 @@ def t11_best_model(spark, d):
     return dm.ranked(candidates(spark, d), "rmse", "model", 1).select("model", "rmse", (F.col("rmse") < 30.0).alias("promote"))
 
 
+@query(f"WITH {CANDIDATES}, held AS (SELECT rmse AS current FROM b ORDER BY model LIMIT 1) SELECT model, rmse, current, rmse < current AS promote FROM b, held ORDER BY rmse, model LIMIT 1")
+def t11_promotion(spark, d):
+    """The model in use is the first by name; its stored metric is what the best one has to beat."""
+    every = candidates(spark, d)
+    return dm.promote(every, every.join(every.agg(F.min("model").alias("model")), "model", "left_semi").select("rmse"), "rmse", "model").select("model", "rmse", "current", "promote")
+
+
 @query(f"WITH {CANDIDATES} SELECT model, rmse, round(rmse - min(rmse) OVER (), 6) AS delta FROM b")
 def a20_delta_to_best(spark, d):
     return pr.delta_to_best(candidates(spark, d), "rmse").withColumn("delta", F.round("delta", 6))
@@ -274,6 +292,12 @@ def f28_risk_factors(spark, d):
     return read(spark, d, "events").select("event_id", pr.risk_z(level).alias("z_risk"), pr.intent_z(F.col("event_type"), "err|sign", "view").alias("z_intent"))
 
 
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN '50% 수준' WHEN 'error' THEN '95% 이상 안정' ELSE '90% 수준' END AS service_level FROM events")
+def f28_service_levels(spark, d):
+    level = F.when(F.col("event_type") == "click", "Low").when(F.col("event_type") == "error", "High").when(F.col("event_type") == "view", "Medium")
+    return read(spark, d, "events").select("event_id", pr.service_level(level).alias("service_level"))
+
+
 META = f"""meta AS (SELECT item_name, max(lead_grade)::BIGINT AS lead_grade, avg(acq_amount) AS unit_price, max(lead_grade) + 1 AS lead_months, ceil({Z95!r}::DOUBLE * 2.0::DOUBLE * sqrt(max(lead_grade) + 1))::BIGINT AS safety_stock FROM (
   SELECT dept_code || class_name AS item_name, acq_amount, (asset_id % 3)::INT AS lead_grade FROM due) GROUP BY 1)"""
 

@@ -108,6 +108,13 @@ def a9_outlier_statistics(spark, d):
     return out.agg(F.count("*").alias("n"), F.min("age").alias("lo"), F.max("age").alias("hi"), F.mode("item_name", True).alias("top_item"))
 
 
+@query(f"""WITH {TRIMMED}, o AS (SELECT * FROM base WHERE label = 'Y' AND asset_id NOT IN (SELECT asset_id FROM trimmed)), t AS (SELECT item_name, count(*) AS c FROM o GROUP BY 1 ORDER BY c DESC, item_name LIMIT 3)
+SELECT count(*) AS n, min(age) AS lo, max(age) AS hi, (SELECT age FROM o GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS most_frequent, coalesce((SELECT string_agg(item_name || ':' || c::VARCHAR, ', ' ORDER BY c DESC, item_name) FROM t), '') AS top_items FROM o""")
+def a9_outlier_items(spark, d):
+    b = base(spark, d).filter("label = 'Y'")
+    return fe.outlier_statistics(b.join(F.broadcast(fe.quartile_bounds(b, "age"))).filter("age < low OR age > high"), "age", "item_name")
+
+
 @query(f"WITH {BASE} SELECT asset_id, count(*) OVER (PARTITION BY batch_id) AS batch_size, round_even(round(avg(age) OVER (PARTITION BY batch_id), 9) * 100, 0) / 100 AS batch_age FROM base")
 def a3_batch_features(spark, d):
     df = base(spark, d)
@@ -184,13 +191,13 @@ def w6_time_split_large(spark, d):
 c AS (SELECT dept_code, avg(age) AS m, count(age) AS n FROM split WHERE split = 'Train' GROUP BY 1)
 SELECT asset_id, round(coalesce((m * n + g * 10) / (n + 10), g), 6) AS dept_code_te FROM split LEFT JOIN c USING (dept_code), g""")
 def a10_target_encoding(spark, d):
-    df = fe.time_split(base(spark, d), "item_name", "ref_date", "asset_id")
+    df = fe.time_split_large(base(spark, d), "item_name", "ref_date", "asset_id")
     return fe.target_encodings(df, ["dept_code"], "age").select("asset_id", F.round("dept_code_te", 6).alias("dept_code_te"))
 
 
 @query(f"WITH {BASE}, {split_sql('base', 'item_name')} SELECT split, label, count(*) AS n, round(avg(age), 6) AS mean_age FROM split GROUP BY ALL")
 def p10_split_rows(spark, d):
-    df = fe.time_split(base(spark, d), "item_name", "ref_date", "asset_id")
+    df = fe.time_split_large(base(spark, d), "item_name", "ref_date", "asset_id")
     return df.groupBy("split", "label").agg(F.count("*").alias("n"), F.round(F.avg("age"), 6).alias("mean_age"))
 
 
@@ -230,6 +237,6 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
     df = fe.drop_outliers(staged(base(spark, d), "assets"), "age")
     per = fe.batch_features(df)
     out = fe.with_maintenance(per, found_maintenance(spark, d, df)).withColumns({"life_left": fe.wear_features(F.col("life_years"), F.col("age"), F.lit(1.0))["life_left"], "acq_month": F.month("acq_date").cast("long")})
-    out = staged(fe.time_split(out, "item_name", "ref_date", "asset_id"), "features")
+    out = staged(fe.time_split_large(out, "item_name", "ref_date", "asset_id"), "features")
     out = fe.target_encodings(out, TE, "age")
     return out.select("asset_id", "label", "split", "age", "ref_date", "batch_size", "n_events", "n_repairs", "n_1y", "months_since", "life_left", "acq_month", *[F.round(f"{c}_te", 6).alias(f"{c}_te") for c in TE])

@@ -32,9 +32,18 @@ def f32_category(spark, d):
     return read(spark, d, "benchmark").select("item_id", text.alias("text"), tx.category(text).alias("category"))
 
 
-@query("SELECT doc_id, CASE WHEN x = '' THEN 'doc' ELSE x END AS clean FROM (SELECT doc_id, trim(regexp_replace(trim(CASE WHEN doc_id % 50 = 0 THEN '?!' ELSE left(text, 40) END, ' '), '[^0-9a-zA-Z가-힣_.-]+', '_', 'g'), '_') AS x FROM documents)")
+MARKED = "CASE doc_id % 7 WHEN 1 THEN '반납 ' WHEN 2 THEN '불용 ' WHEN 3 THEN '매각 ' WHEN 4 THEN 'G2B ' WHEN 5 THEN '현황 ' WHEN 6 THEN '예측 ' ELSE '' END || text"
+
+
+@query(f"SELECT doc_id, {_rules_sql(MARKED, vocab.CATEGORY_RULES, vocab.DEFAULT_CATEGORY)} AS category FROM documents")
+def f32_document_category(spark, d):
+    mark = F.element_at(F.array(*[F.lit(w) for w in ("", "반납 ", "불용 ", "매각 ", "G2B ", "현황 ", "예측 ")]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", tx.category(F.concat(mark, F.col("text"))).alias("category"))
+
+
+@query("SELECT doc_id, CASE WHEN x = '' THEN 'doc' ELSE x END AS clean FROM (SELECT doc_id, trim(regexp_replace(trim(CASE WHEN doc_id % 50 = 0 THEN '?!' ELSE text END, ' '), '[^0-9a-zA-Z가-힣_.-]+', '_', 'g'), '_') AS x FROM documents)")
 def f33_document_ids(spark, d):
-    return read(spark, d, "documents").select("doc_id", tx.doc_id(F.when(F.col("doc_id") % 50 == 0, "?!").otherwise(F.substring("text", 1, 40))).alias("clean"))
+    return read(spark, d, "documents").select("doc_id", tx.doc_id(F.when(F.col("doc_id") % 50 == 0, "?!").otherwise(F.col("text"))).alias("clean"))
 
 
 @query("SELECT doc_id, lower(regexp_replace(text, '[^a-zA-Z0-9가-힣]', '', 'g')) AS plain FROM documents")
@@ -70,13 +79,34 @@ def f36_f37_chunks(spark, d):
     return kb.chunk_documents(docs(spark, d).withColumn("pos", F.col("doc_id").cast("long")), "page_content").select("source", "pos", "chunk_index", "doc_id", "page_content")
 
 
-ROUTED = "CASE conv_id % 4 WHEN 0 THEN '반 납 사유' WHEN 1 THEN '처분 일자' WHEN 2 THEN '보유 현황' ELSE '' END || left(text, 30)"
+ROUTED = "CASE conv_id % 4 WHEN 0 THEN '반 납 사유' WHEN 1 THEN '처분 일자' WHEN 2 THEN '보유 현황' ELSE '' END || text"
 
 
-@query(f"SELECT conv_id, turn, " + _rules_sql(f"replace({ROUTED}, ' ', '')", vocab.MANUAL_ROUTES, None) + f""" AS manual, array_to_string(list_filter([{', '.join("CASE WHEN " + ' OR '.join(f"contains({ROUTED} || ' ' || left(text, 200), '{w}')" for w in words) + f" THEN '{name}' END" for name, words in vocab.BUTTONS)}], lambda x: x IS NOT NULL), ',') AS buttons FROM conversations""")
+@query(f"SELECT conv_id, turn, " + _rules_sql(f"replace({ROUTED}, ' ', '')", vocab.MANUAL_ROUTES, None) + f""" AS manual, array_to_string(list_filter([{', '.join("CASE WHEN " + ' OR '.join(f"contains({ROUTED} || ' ' || text, '{w}')" for w in words) + f" THEN '{name}' END" for name, words in vocab.BUTTONS)}], lambda x: x IS NOT NULL), ',') AS buttons FROM conversations""")
 def f41_u5_routes_and_buttons(spark, d):
-    question = F.concat(F.when(F.col("conv_id") % 4 == 0, "반 납 사유").when(F.col("conv_id") % 4 == 1, "처분 일자").when(F.col("conv_id") % 4 == 2, "보유 현황").otherwise(""), F.substring("text", 1, 30))
-    return read(spark, d, "conversations").select("conv_id", "turn", tx.route(question).alias("manual"), F.array_join(tx.buttons(question, F.substring("text", 1, 200)), ",").alias("buttons"))
+    question = F.concat(F.when(F.col("conv_id") % 4 == 0, "반 납 사유").when(F.col("conv_id") % 4 == 1, "처분 일자").when(F.col("conv_id") % 4 == 2, "보유 현황").otherwise(""), F.col("text"))
+    return read(spark, d, "conversations").select("conv_id", "turn", tx.route(question).alias("manual"), F.array_join(tx.buttons(question, F.col("text")), ",").alias("buttons"))
+
+
+LINKS = " UNION ALL ".join(f"SELECT conv_id, turn, '{vocab.BUTTON_LINKS[name][0]}' AS label, '{vocab.BUTTON_LINKS[name][1]}' AS url FROM conversations WHERE " + " OR ".join(f"contains({ROUTED}, '{w}')" for w in words) for name, words in vocab.BUTTONS)
+
+
+@query(LINKS)
+def f41_button_links(spark, d):
+    question = F.when(F.col("conv_id") % 4 == 0, "반 납 사유").when(F.col("conv_id") % 4 == 1, "처분 일자").when(F.col("conv_id") % 4 == 2, "보유 현황").otherwise("")
+    return read(spark, d, "conversations").select("conv_id", "turn", F.explode(tx.button_links(question, F.col("text"))).alias("x")).select("conv_id", "turn", "x.label", "x.url")
+
+
+@query("SELECT event_id, '- k: ' || (props::JSON ->> '$.k') AS shown FROM events")
+def f47_bullets(spark, d):
+    return read(spark, d, "events").select("event_id", tx.json_bullets(F.col("props")).alias("shown"))
+
+
+@query("""SELECT p_partkey, '문서 유형: 원문 매뉴얼' || chr(10) || chr(10) || '장/절: ' || p_brand || chr(10) || chr(10) || '제목: ' || p_name || chr(10) || chr(10) || '키워드: ' || p_type || ', ' || p_brand || chr(10) || chr(10) ||
+  'summary:' || chr(10) || p_type || chr(10) || chr(10) || 'process_steps:' || chr(10) || '- ' || p_brand || chr(10) || '- ' || p_name AS page_content FROM part""")
+def f48_manual_texts(spark, d):
+    item = F.to_json(F.struct(F.col("p_brand").alias("chapter"), F.col("p_name").alias("title"), F.array("p_type", "p_brand").alias("keywords"), F.col("p_type").alias("summary"), F.array("p_brand", "p_name").alias("process_steps"), F.lit("").alias("notes")))
+    return read(spark, d, "part").select("p_partkey", F.parse_json(item).alias("item")).select("p_partkey", tx.manual_text(F.col("item")).alias("page_content"))
 
 
 @query("""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(trim(replace('```' || text, '```', '')), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM conversations)
@@ -91,9 +121,10 @@ def f43_needs_search(spark, d):
     return read(spark, d, "events").select("event_id", tx.needs_search(reply).alias("decision"))
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, turn, left(regexp_replace(regexp_replace(trim('<b>' || text || '</b>', ' '), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '<[^>]+>', '', 'g'), 500) AS own FROM conversations)
+SELECT conv_id, turn, CASE WHEN own = '' THEN 'http://front/prediction' ELSE 'http://front/prediction?init_prompt=' || replace(replace(replace(url_encode(own), '%20', '+'), '%2A', '*'), '~', '%7E') END AS url FROM t""")
 def f44_page_urls(spark, d):
-    """Addresses that hold the question; checked in tests, as DuckDB encodes spaces otherwise."""
+    """Addresses that hold the question, in the encoding of forms."""
     return read(spark, d, "conversations").select("conv_id", "turn", tx.page_url("http://front/prediction", F.concat(F.lit("<b>"), F.col("text"), F.lit("</b>"))).alias("url"))
 
 
@@ -134,12 +165,12 @@ def w11_numbered_ids(spark, d):
 FAQ = "faq AS (SELECT item_id AS pos, 'q' || item_id::VARCHAR AS question, 'a' || item_id::VARCHAR AS answer, list_transform(string_split(text, ' ')[1:2], lambda k: lower(regexp_replace(k, '[^a-zA-Z0-9가-힣]', '', 'g'))) AS own FROM benchmark)"
 
 
-@query(f"""WITH {FAQ}, asked AS (SELECT doc_id AS id, lower(regexp_replace(CASE WHEN doc_id % 40 = 0 THEN 'FAQ ' ELSE '' END || left(text, 400), '[^a-zA-Z0-9가-힣]', '', 'g')) AS q FROM documents)
+@query(f"""WITH {FAQ}, asked AS (SELECT doc_id AS id, lower(regexp_replace(CASE WHEN doc_id % 40 = 0 THEN 'FAQ ' ELSE '' END || text, '[^a-zA-Z0-9가-힣]', '', 'g')) AS q FROM documents)
 SELECT id, string_agg('Q: ' || question || chr(10) || 'A: ' || answer, chr(10) || chr(10) ORDER BY pos) AS faq, count(*) AS n_faq FROM asked JOIN faq
 ON regexp_matches(q, 'faq|자주묻는|질문리스트|질문목록') OR len(list_filter(own, lambda k: k <> '' AND contains(q, k))) > 0 GROUP BY id""")
 def j13_faq_matches(spark, d):
     faq = read(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("question"), F.concat(F.lit("a"), F.col("item_id").cast("string")).alias("answer"), F.slice(F.split("text", " "), 1, 2).alias("keywords"))
-    asked = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 40 == 0, "FAQ ").otherwise(""), F.substring("text", 1, 400)).alias("text"))
+    asked = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 40 == 0, "FAQ ").otherwise(""), F.col("text")).alias("text"))
     return kb.faq_matches(asked, faq)
 
 
@@ -302,7 +333,14 @@ def f53_fixed_answers(spark, d):
 SELECT q, (SELECT count(*) FROM found f WHERE f.q = d.q) AS n_retrieved, coalesce(any_value(fl.n), 0) AS n_filtered, count(*) AS n_final, string_agg(category, '|' ORDER BY rank) AS categories FROM diverse d LEFT JOIN fl USING (q) GROUP BY q""")
 def a34_funnel(spark, d):
     f = found(spark, d)
-    return rt.funnel(f, f.filter("score <= 0.5"), rt.diverse(f, 6, ("source", "category")))
+    return rt.funnel(f, f.filter("score <= 0.5"), rt.diverse(f, 6, ("source", "category"))).drop("doc_types", "scores")
+
+
+@query(f"""WITH {SIM}, {DIVERSE}, s AS (SELECT q, string_agg(doc::VARCHAR || ':' || format('{{:.6f}}', score), '|' ORDER BY rank) AS scores FROM found WHERE rank <= 10 GROUP BY q)
+SELECT q, string_agg(doc_type, '|' ORDER BY rank) AS doc_types, any_value(scores) AS scores FROM diverse JOIN s USING (q) GROUP BY q""")
+def a34_diagnostics(spark, d):
+    f = found(spark, d)
+    return rt.funnel(f, f.filter("score <= 0.5"), rt.diverse(f, 6, ("source", "category"))).select("q", "doc_types", "scores")
 
 
 HITS = "flags AS (SELECT nn.q, nn.rank, l.label, CASE l.label WHEN 'category' THEN a.category = b.category WHEN 'source' THEN a.source = b.source ELSE a.chapter = b.chapter END::INT AS same FROM nn JOIN unit a ON a.id = nn.q JOIN unit b ON b.id = nn.doc, (VALUES ('category'), ('chapter'), ('source')) l(label))"
@@ -330,14 +368,25 @@ def a26_silhouette(spark, d):
     return rt.silhouette(df).withColumn("silhouette", F.round("silhouette", 6))
 
 
-@query(f"""WITH {SIM}, near AS (SELECT nn.q, min(round(1 - list_cosine_similarity(a.e, b.e), 9)) AS d FROM nn JOIN unit a ON a.id = nn.q JOIN unit b ON b.id = nn.doc WHERE a.category = b.category GROUP BY nn.q)
-SELECT b AS bin, count(q) AS n FROM range(1, 23) t(b) LEFT JOIN near ON b = least(greatest(floor(d / (1.1::DOUBLE / 22)) + 1, 1), 22) GROUP BY b""")
+NEAREST = "near AS (SELECT a.id AS q, min(CASE WHEN a.category = b.category THEN round(1 - list_cosine_similarity(a.e, b.e), 9) END) AS same, min(CASE WHEN a.category <> b.category THEN round(1 - list_cosine_similarity(a.e, b.e), 9) END) AS other FROM unit a JOIN unit b ON a.id <> b.id GROUP BY a.id)"
+
+
+def nearest(spark, d):
+    df = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category"), "embedding")
+    return rt.nearest_by_category(df).withColumns({c: F.round(c, 9) for c in ("same", "other")})
+
+
+@query(f"WITH {SIM}, {NEAREST} SELECT q, round(same, 6) AS same, round(other, 6) AS other FROM near")
+def a27_nearest_distances(spark, d):
+    return nearest(spark, d).withColumns({c: F.round(c, 6) for c in ("same", "other")})
+
+
+@query(f"""WITH {SIM}, {NEAREST} SELECT b AS bin, (SELECT count(*) FROM near WHERE b = least(greatest(floor(same / (1.1::DOUBLE / 22)) + 1, 1), 22)) AS n,
+  (SELECT count(*) FROM near WHERE b = least(greatest(floor(other / (1.1::DOUBLE / 22)) + 1, 1), 22)) AS n_other FROM range(1, 23) t(b)""")
 def a27_distance_histogram(spark, d):
-    v, own = vectors(spark, d), labelled(spark, d)
-    nn = rt.top_k(v, v, 25, skip_self=True)
-    pairs = nn.join(own.select(F.col("id").alias("q"), F.col("category").alias("own")), "q").join(own.select(F.col("id").alias("doc"), "category"), "doc")
-    near = pairs.filter("own = category").groupBy("q").agg(F.round(1 - F.max("score"), 9).alias("d"))
-    return rt.distance_histogram(near, "d", 22, 0.0, 1.1)
+    near = nearest(spark, d)
+    other = rt.distance_histogram(near, "other", 22, 0.0, 1.1).withColumnRenamed("n", "n_other")
+    return rt.distance_histogram(near, "same", 22, 0.0, 1.1).join(other, "bin")
 
 
 @query("SELECT lang AS category, count(*) AS n_docs, count(DISTINCT source) AS n_sources FROM documents GROUP BY 1")

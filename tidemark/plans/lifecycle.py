@@ -110,7 +110,7 @@ def w4_keep_last(spark, d):
 @query(f"""WITH {BATCHES}, n AS (SELECT *, row_number() OVER (PARTITION BY year(acq_date) ORDER BY {', '.join(BATCH_ORDER)}) AS n FROM batch WHERE approval = 'F')
 SELECT 'M' || year(acq_date)::VARCHAR || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 5, '0') ELSE n::VARCHAR END AS asset_id, g2b_no, l_orderkey, l_linenumber FROM n""")
 def w5_asset_ids(spark, d):
-    df = lc.number_assets(lc.confirmed(batches(spark, d), value="F"), "acq_date", *[F.col(c) for c in BATCH_ORDER])
+    df = lc.number_large_years(lc.confirmed(batches(spark, d), value="F"), "acq_date", *[F.col(c) for c in BATCH_ORDER])
     return df.select("asset_id", "g2b_no", "l_orderkey", "l_linenumber")
 
 

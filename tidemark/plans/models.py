@@ -17,7 +17,7 @@ COLUMNS = ["life_years", "acq_amount", "acq_month", "batch_size"]
 def life_rows(spark, d):
     """Labelled assets with features and target; the target is the age at the end of life in months."""
     df = fe.batch_features(base(spark, d)).withColumns({"acq_month": F.month("acq_date").cast("double"), "target": fe.in_months(F.col("age"))})
-    df = fe.time_split(df, "item_name", "ref_date", "asset_id")
+    df = fe.time_split_large(df, "item_name", "ref_date", "asset_id")
     return staged(df.select("asset_id", "split", "target", *[F.col(c).cast("double").alias(c) for c in COLUMNS]), "life")
 
 
@@ -44,7 +44,7 @@ def m3_model_search(spark, d):
     df = life_rows(spark, d)
     parts = [df.filter(F.col("split") == s) for s in ("Train", "Valid", "Test")]
     sets = {"all": COLUMNS, "same": COLUMNS[::-1], "three": COLUMNS[:3]}
-    rows = ml.search(*parts, sets, {"forest": RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=5, maxDepth=4, seed=1)})
+    rows = ml.search(*parts, sets, {**ml.life_regressors(), "small": RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=5, maxDepth=4, seed=1)})
     return spark.createDataFrame([tuple(r[c] for c in ("features", "model", "valid_rmse", "rmse", "mae", "r2")) for r in rows], "features string, model string, valid_rmse double, rmse double, mae double, r2 double")
 
 
@@ -64,6 +64,14 @@ def m5_importance(spark, d):
     return spark.createDataFrame(ml.importance(model, COLUMNS), "feature string, importance double")
 
 
+@query()
+def m7_incomplete_rows(spark, d):
+    """Predictions of a model fitted on complete rows, also where features are missing."""
+    df = life_rows(spark, d).withColumn("acq_amount", F.when(F.col("asset_id") % 5 != 0, F.col("acq_amount")))
+    model = ml.fit_model(df.filter("split = 'Train'"), COLUMNS, ml.life_regressors()["boosted"])
+    return model.transform(df).select("asset_id", "split", "prediction")
+
+
 @query()
 def m6_recursive_forecast(spark, d):
     """Twelve months ahead for every nation."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(at)
 
 
+def allow_all_characters(spark: SparkSession) -> None:
+    """Let Spark read and write all of Java's character sets in this session."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, required: bool = False, encoding: str = "utf-8", **options) -> DataFrame:
     """A CSV with header and declared types; missing or empty gives an empty table.
 
@@ -29,7 +35,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, require
     allows all of Java's character sets is switched on in the session.
     """
     if encoding.lower() not in ("utf-8", "utf-16", "utf-32", "iso-8859-1", "us-ascii"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        allow_all_characters(spark)
     if not exists(spark, path):
         if required:
             raise FileNotFoundError(path)
@@ -122,16 +128,23 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(path) from e
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the folder of spark.checkpoint.dir and read back, for what several later steps read.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir.
 
-    A local folder is made only where that setting is missing, as in tests.
+    A local folder is made only where that setting is missing and driver and executors are one
+    process, as in tests.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read back, for what several later steps read."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
