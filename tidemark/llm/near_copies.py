@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, linked_in_groups
-from .shared import map_texts, staged
+from .shared import map_texts, staged, unstage
 from .simhash import RADIUS, fingerprint, keep_first, near_edges, shingle_hashes
 
 #: Share of a set by which its prefix is longer than it must be; rounds in which centres spread; shingles of a group's half, about.
@@ -155,6 +155,8 @@ def near_copy_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, simi
     sets = staged(rows.groupBy("node").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.min("size").alias("size")), "shingle-sets")
     one = rows if rows.count() == sets.count() else rows.join(sets.select("node", "key"), ["node", "key"], "left_semi")
     met = candidate_keys(one, similarity)
+    ids = staged(rows.select("key", "node"), "nodes")
+    unstage(rows)
     homes, close = families(met), _fingerprint_pairs(sets, radius)
     texts = shingle_sets(homes.select("node"), sets, docs, words)
 
@@ -166,7 +168,7 @@ def near_copy_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, simi
 
     # a table of its own, so that Spark can split the join at the root of a very large component
     least = staged(roots.join(sets.select("node", "key"), "node").groupBy("root").agg(F.min("key").alias("component_id")), "least-keys")
-    return rows.select(F.col("key").alias(key), "node").join(staged(roots.join(least, "root").select("node", "component_id"), "components"), "node").select(key, "component_id")
+    return ids.select(F.col("key").alias(key), "node").join(staged(roots.join(least, "root").select("node", "component_id"), "components"), "node").select(key, "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

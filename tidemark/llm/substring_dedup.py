@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, linked_in_groups
-from .shared import map_texts, staged, table
+from .shared import map_texts, staged, table, unstage
 from .word_arrays import ALNUM, BASE, INVERSE, Words, batches, mixed
 
 #: Words of a shingle, least similarity of lines, least words of a line, least words of a passage inside lines.
@@ -251,9 +251,10 @@ def repeated_spans(docs: DataFrame, similarity: float = SIMILARITY, block: int =
         raise ValueError(f"passages have at least {LENGTH + REACH - 1} words, lines {SHINGLE}")
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     own = staged(units(rows, least), "paragraphs")
+    found = staged(own.filter("bands is not null").withColumn("band", F.col("bands")[0]), "lines")
     runs = passage_spans(own.filter("bands is null").select("h", "doc", "pos"), rows, passage)
+    unstage(own)
 
-    found = own.filter("bands is not null").withColumn("band", F.col("bands")[0])
     place = F.struct("doc", "pos", "len")
     per = staged(found.groupBy("h", "len", "band").agg(F.min(place).alias("first"), F.max("doc").alias("last_doc"), F.first("bands").alias("bands")), "distinct-lines")
     roots = connected_components(line_links(per.dropDuplicates(["h"]), rows, similarity, block)).withColumnsRenamed({"node": "h"})
