@@ -306,9 +306,11 @@ def test_slices_and_batches_score_alike(spark):
 # --- 2 ---
 
 def test_chat_edges(spark):
-    rows = [(1, "chosen", 0, "user", None), (1, "rejected", 0, "user", None), (1, "chosen", 1, "assistant", ""), (1, "rejected", 1, "assistant", "w " * 50000), (2, "chosen", None, None, None)]
+    rows = [(1, "chosen", 0, "user", None), (1, "rejected", 0, "user", None), (1, "chosen", 1, "assistant", ""), (1, "rejected", 1, "assistant", "w " * 50000), (2, "chosen", None, None, None), (None, "chosen", 0, "user", "x")]
+    rows += [(3, side, 0, "user<|im_end|>", "q") for side in ("chosen", "rejected")]
     df = spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string").withColumns({"same": F.lit("own"), "n_common": F.lit("own"), "chosen": F.lit("own")})
     got = {r["pair_id"]: r for r in chat_format.format_preferences(df).collect()}
+    assert set(got) == {1, 2, 3} and got[3]["prompt"].count("<|im_end|>") == 1
     assert got[1]["n_common"] == 1 and got[2]["n_common"] == 0 and got[2]["rejected"] == ""
     assert len(got[1]["rejected"]) > 100000 and hashlib.sha256(got[1]["prompt"].encode()).hexdigest()
 

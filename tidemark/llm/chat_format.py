@@ -12,9 +12,9 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def turn_text(role: Column, text: Column) -> Column:
-    """One rendered turn. Marks inside a text lose their bar, so no text can end its own turn."""
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< "))
-    return F.concat(F.lit(OPEN), F.coalesce(role, F.lit("unknown")), F.lit("\n"), plain, F.lit(CLOSE + "\n"))
+    """One rendered turn. Marks inside a role or text lose their bar, so neither can end its own turn."""
+    plain = lambda c, other: F.replace(F.coalesce(c, F.lit(other)), F.lit("<|"), F.lit("< "))
+    return F.concat(F.lit(OPEN), plain(role, "unknown"), F.lit("\n"), plain(text, ""), F.lit(CLOSE + "\n"))
 
 
 def turn_start(role: Column) -> Column:
@@ -55,10 +55,11 @@ def format_preferences(turns: DataFrame, trained: str = "assistant") -> DataFram
     of the completion that are trained on: texts of `trained` turns with their closing mark.
     Turns are ordered by turn, ties by role and text. A pair that lacks a side has an empty
     prompt and that side's completion is empty; null roles render as 'unknown', null texts as
-    empty; rows with null pair_id form one pair; no rows give no rows. A conversation is one
+    empty; rows with null pair_id, which nothing tells apart, take no part; long texts are
+    rendered whole, rows that repeat stand one after the other; no rows give no rows. A conversation is one
     row of the result, so one task holds one pair at a time.
     """
-    pairs = turns.groupBy("pair_id").agg(_side("chosen"), _side("rejected"))
+    pairs = turns.filter(F.col("pair_id").isNotNull()).groupBy("pair_id").agg(_side("chosen"), _side("rejected"))
     same = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce(a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"]) & a.isNotNull() & b.isNotNull(), F.lit(False)))
     pairs = pairs.withColumn("same", same)
     stop = F.array_position("same", F.lit(False)).cast("int")

@@ -29,15 +29,9 @@ RADIUS, SEED, BUCKET = 3, 42, 256
 
 
 @functools.lru_cache(maxsize=100_000)
-def free_bits(free: int, radius: int, used: int = 64) -> tuple[int, ...]:
-    """For each table over the free bits (a set of positions): the bits that it leaves free.
-
-    With used < 64 only so many of the positions are hashed. That keeps the guarantee, as bits
-    that are not hashed can't part a pair, and finds more pairs beyond the radius by chance,
-    for larger buckets.
-    """
+def free_bits(free: int, radius: int) -> tuple[int, ...]:
+    """For each table over the free bits (a set of positions): the bits that it leaves free."""
     places = [p for p in range(64) if free >> p & 1]
-    places = [p for i, p in enumerate(places) if used >= len(places) or i * used // len(places) < (i + 1) * used // len(places)]
     vectors = [1 | (i % (1 << radius)) << 1 for i in range(len(places))]
     left = {free & ~sum(1 << p for p, m in zip(places, vectors) if (m & v).bit_count() % 2) for v in range(2, 2 << radius)}
     return tuple(sorted(x - (1 << 64) if x >> 63 else x for x in left))
@@ -74,9 +68,9 @@ def fingerprints(docs: DataFrame, words: int, text: str = "text", name: str = "f
     return map_texts(docs, run, schema)
 
 
-def _first_tables(fps: DataFrame, radius: int, used: int) -> DataFrame:
+def _first_tables(fps: DataFrame, radius: int) -> DataFrame:
     """A row for each fingerprint and table: the bits left free and a hash of the bucket."""
-    each = fps.select("fp", F.explode(F.array(*[F.lit(x).cast("long") for x in free_bits((1 << 64) - 1, radius, used)])).alias("free"))
+    each = fps.select("fp", F.explode(F.array(*[F.lit(x).cast("long") for x in free_bits((1 << 64) - 1, radius)])).alias("free"))
     return each.select("fp", "free", F.xxhash64("free", F.col("fp").bitwiseAND(F.bitwise_not("free"))).alias("bucket"))
 
 
@@ -117,21 +111,19 @@ def _spanning(reach: int):
     return run
 
 
-def near_edges(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, reach: int | None = None, used: int = 64) -> DataFrame:
+def near_edges(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) whose components are those of all fingerprint pairs within the radius.
 
     fps: distinct fingerprints in column fp. Buckets of up to `bucket` fingerprints are
-    compared in one row; larger ones go down a level, at most twice. With a larger reach,
-    pairs that meet by chance within it give edges too; they don't change the components by
-    edges within the radius, as forests take closest pairs first.
+    compared in one row; larger ones go down a level, at most twice.
     """
     found, rows = [], None
     for level in range(3):
-        each = _next_tables(rows, radius) if rows is not None else _first_tables(fps, radius, used)
+        each = _next_tables(rows, radius) if rows is not None else _first_tables(fps, radius)
         sizes = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         small = sizes if level == 2 else sizes.filter(F.col("n") <= bucket)
         groups = each.select("fp", "bucket").join(small.select("bucket"), "bucket").groupBy("bucket").agg(F.collect_list("fp").alias("members"))
-        found.append(groups.select("members").mapInPandas(_spanning(reach or radius), "a long, b long"))
+        found.append(groups.select("members").mapInPandas(_spanning(radius), "a long, b long"))
         if level < 2:
             large = sizes.filter(F.col("n") > bucket).select("bucket")
             rows = staged(each.join(large, "bucket", "left_semi").select("fp", "free").distinct(), "large-buckets")
@@ -153,43 +145,18 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(own.hashes(own.start[at], own.end[np.minimum(at + words - 1, n - 1)])).view(np.int64)
 
 
-def verified_edges(edges: DataFrame, least: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges whose texts have a Jaccard index of their word shingles of at least `similarity`.
-
-    edges: (a, b) fingerprints; least: (fp, least), the key of one text for each; docs: (key, text).
-    """
-    ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
-    wanted = least.join(ends, "fp", "left_semi").select("fp", F.col("least").alias("key"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"fp": frame["fp"], "own": [shingle_hashes(t, words) for t in frame["text"]]})
-
-    texts = staged(map_texts(docs.join(wanted, "key").select("fp", "text"), run, "fp long, own array<long>").dropDuplicates(["fp"]), "shingles")
-    pairs = edges.join(texts.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
-
-
-def simhash_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, key: str = "doc_id", text: str = "text", reach: int | None = None, similarity: float = 0.8, used: int = 64) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id) of every row: the smallest key that links of at most `radius` bits reach.
 
     A fingerprint's bit is 1 if it is set in over half of the XXH64 hashes of the word
     shingles; a text with fewer words is one shingle; null, empty and blank texts have
     fingerprint zero and link like any other. Rows with equal fingerprints are one node. A
-    component of null keys alone has a null id. Long texts are hashed whole. No rows give no
-    rows. With a reach beyond the radius, pairs within it that meet in a table link as well if
-    their texts' shingles have a Jaccard index of at least `similarity`.
+    component of null keys alone has a null id. Long texts are hashed whole. Other columns,
+    whatever their names, are ignored; no rows give no rows.
     """
     rows = staged(fingerprints(docs.select(key, text), words, text), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min(key).alias("least"))
-    edges = near_edges(nodes.select("fp"), radius, reach=reach, used=used)
-    if reach and reach > radius:
-        edges = staged(edges.distinct(), "near-edges")
-        close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-        far = verified_edges(edges.filter(~close), nodes.filter("least is not null"), docs.select(F.col(key).alias("key"), F.col(text).alias("text")), words, similarity)
-        edges = edges.filter(close).unionByName(far)
-    links = connected_components(edges)
+    links = connected_components(near_edges(nodes.select("fp"), radius))
     rooted = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # a table of its own, so that Spark can split the join at the root of a very large component
     roots = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
@@ -198,12 +165,12 @@ def simhash_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, key: s
     return rows.join(named, "fp").select(key, shown.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose key is the smallest of their near-duplicate group, with the columns of docs.
 
     Nulls, empty and long texts and empty tables are as in simhash_groups, repeated keys as in keep_first.
     """
-    return keep_first(docs, lambda own, k, t: simhash_groups(own, words, radius, k, t, **options), key, text)
+    return keep_first(docs, lambda own, k, t: simhash_groups(own, words, radius, k, t), key, text)
 
 
 def keep_first(docs: DataFrame, groups: Callable[[DataFrame, str, str], DataFrame], key: str, text: str) -> DataFrame:
