@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from .ordering import quantiles
+from .ordering import quantiles, row_numbers
 
 
 def rounded(c: Column, digits: int) -> Column:
@@ -80,7 +80,7 @@ def is_repair(kind: Column, result: Column, kinds: Sequence[str], results: Seque
 
 def category_codes(df: DataFrame, column: str, to: str) -> DataFrame:
     """rank of the label among all labels, from 0; null is -1. Labels are ranked apart from the rows."""
-    codes = df.select(column).distinct().filter(F.col(column).isNotNull()).withColumn(to, F.row_number().over(Window.orderBy(column)) - 1)
+    codes = row_numbers(df.select(column).distinct().filter(F.col(column).isNotNull()), to, [column]).withColumn(to, F.col(to) - 1)
     return df.join(codes, column, "left").withColumn(to, F.coalesce(F.col(to), F.lit(-1)))
 
 
