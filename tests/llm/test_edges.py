@@ -303,6 +303,20 @@ def test_slices_and_batches_score_alike(spark):
     assert len(deep) == 2001 and max(len(path) for path, _, _ in deep) <= 2 * (html_extraction.OUTER + html_extraction.INNER)
 
 
+def test_layouts_whose_names_training_never_saw():
+    """Trained on half of the pages; in the other half every name that tells a block's role is replaced by one without meaning."""
+    pages = pd.read_parquet(f"{SF}/pages.parquet")["html"].tolist()
+    net, right, said, there = html_extraction.fit(sorted(pages[:125])), 0, 0, 0
+    for page in pages[125:]:
+        odd = page.replace('class="ad"', 'class="zq4"')
+        for tag, name in (("nav", "zq1"), ("article", "zq2"), ("footer", "zq3")):
+            odd = odd.replace(f"<{tag}>", f'<div class="{name}">').replace(f"</{tag}>", "</div>")
+        want = np.array([html_extraction.markup_label(path) == 1 for path, _, _ in html_extraction.blocks(page)])
+        got = net.page_scores(html_extraction.blocks(odd)) >= 0.5
+        right, said, there = right + (got & want).sum(), said + got.sum(), there + want.sum()
+    assert right >= 0.95 * there and right >= 0.99 * said
+
+
 # --- 2 ---
 
 def test_chat_edges(spark):
