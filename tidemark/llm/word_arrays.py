@@ -17,11 +17,12 @@ ALNUM = np.array([(48 <= b <= 57) or (97 <= b <= 122) or b >= 128 for b in range
 NOT_SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 
 
-def batches(texts: Sequence[str | None], limit: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive texts as lower-cased (A-Z) bytes, about `limit` bytes at a time; a long text stays whole."""
+def batches(texts: Sequence[str | None], limit: int, lower: bool = True) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts as bytes, A-Z lower-cased unless told not to, about `limit` bytes at a time; a long text stays whole."""
     start, size, held = 0, 0, []
     for i, text in enumerate(texts):
-        raw = text.encode().lower() if isinstance(text, str) else b""
+        raw = text.encode() if isinstance(text, str) else b""
+        raw = raw.lower() if lower else raw
         if held and size + len(raw) > limit:
             yield start, held
             start, size, held = i, 0, []
