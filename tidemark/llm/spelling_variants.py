@@ -22,8 +22,8 @@ from .shared import map_texts, staged, table, unstage
 #: Runs of letters; code points and occurrences that a word has at least; times a form's count exceeds that of its variant.
 LETTERS = r"[A-Za-zÀ-ÿ]+"
 LEAST_LENGTH, LEAST_COUNT, RATIO = 5, 3, 2
-#: Words of a bucket above which it is divided again, pairs of a tile.
-BUCKET, TILE = 512, 1 << 17
+#: Words of a bucket above which it is divided again, code points of a tile's pairs and of a matrix.
+BUCKET, TILE, CELLS = 512, 1 << 21, 1 << 22
 NEAR = "word string, n_near long, best_n long, best string"
 
 
@@ -121,7 +121,7 @@ def near_in_buckets(bucket: np.ndarray, word: list[str], n: np.ndarray, m: np.nd
     starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     count = np.diff(np.append(starts, len(bucket)))
     a, b = [], []
-    for i, j in _tile_pairs(count, tile):
+    for i, j in _tile_pairs(count, max(1, tile // front.shape[1])):
         short, long = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         able = (short == m[i]) & (long - short <= 1)
         i, j, short, long = i[able], j[able], short[able], long[able]
@@ -146,16 +146,26 @@ def near_words(words: DataFrame, bucket: int = BUCKET, tile: int = TILE) -> Data
             rest = frame if rest is None or rest.empty else pd.concat([rest, frame], ignore_index=True)
             last = int((rest["bucket"] == rest["bucket"].iloc[-1]).to_numpy().argmax())  # the last bucket may go on in the next batch
             whole, rest = rest.iloc[:last], rest.iloc[last:].reset_index(drop=True)
-            yield found(whole)
+            yield from found(whole)
         if rest is not None:
-            yield found(rest)
-
-    def found(own: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame({"word": [], "n_near": [], "best_n": [], "best": []})
+            yield from found(rest)
+
+    def found(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole buckets, which come by length, in matrices of bounded size."""
+        bucket, m = own["bucket"].to_numpy(dtype=object), own["m"].to_numpy(dtype=np.int64)
+        starts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(own)) if len(own) else np.zeros(1, dtype=np.int64)
+        first = 0
+        for at, until in zip(starts[:-1], starts[1:]):
+            if at > first and (until - first) * (m[at] + 1) > CELLS:
+                yield one(own.iloc[first:at])
+                first = at
+        if len(own):
+            yield one(own.iloc[first:])
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
         return near_in_buckets(own["bucket"].to_numpy(dtype=object), own["word"].tolist(), *(own[c].to_numpy(dtype=np.int64) for c in ("n", "m", "top")), tile)
 
-    parts = [map_texts(b.repartition("bucket").sortWithinPartitions("bucket"), run, NEAR, rows=1 << 14) for b in _buckets(words, bucket)]
+    parts = [map_texts(b.repartition("bucket").sortWithinPartitions("m", "bucket"), run, NEAR, rows=1 << 14) for b in _buckets(words, bucket)]
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)
