@@ -74,7 +74,8 @@ def segments(raw: np.ndarray, length: int, gram: int, level: int = 0, rounds: in
         placed = (mixed(h ^ np.uint64(level)) & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         at = (_sliding_least(placed, width) & _PLACE).astype(np.int64)
     least = h[at]
-    start = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+    parted = (least[1:] != least[:-1]) | (level >= rounds)  # strings that stand for themselves stand alone
+    start = np.concatenate(([0], np.flatnonzero(parted) + 1))
     stop = np.append(start[1:], n)
     parts = -(-(stop - start) // width)
     if parts.max() > 1:  # text that repeats itself
@@ -245,7 +246,7 @@ def _repeated(pieces: DataFrame, docs: DataFrame, length: int, gram: int, level:
     unstage(each)
     spans = staged(_expanded(classes.filter(F.col("c") <= bucket), docs, length, shard_bytes), "spans")
     large = classes.filter(F.col("c") > bucket)
-    if level == rounds or large.isEmpty():  # strings that stand for themselves are alone with their hash
+    if level == rounds or large.isEmpty():  # strings that stand for themselves are one segment a hash
         return spans
     wanted = large.groupBy(F.col("at.id").alias("id"), F.col("at.k").alias("k")).agg(F.collect_list(F.struct("a", "s", "size", "n", "at.pos")).alias("wanted"))
     inner = _pieces(docs.join(wanted, ["id", "k"]), length, gram, level + 1, rounds).dropDuplicates(["pa", "ps", "off"])
