@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
-from .ordering import row_numbers, small
+from .keywords import keyword_hits
+from .ordering import row_numbers
 
 COLUMNS = ["doc_type", "source", "title", "chapter", "category", "doc_id", "page_content"]
 
@@ -46,14 +47,20 @@ def qa_documents(df: DataFrame) -> DataFrame:
 def faq_matches(questions: DataFrame, faq: DataFrame) -> DataFrame:
     """Per question, the FAQ rows with a keyword inside it, or all for a request of the list, in FAQ order.
 
-    faq (pos, question, answer, keywords) is broadcast where it is small.
+    faq: (pos, question, answer, keywords), pos being unique. Keywords are found by one scan of
+    each question; the whole list is put together once.
     """
-    words = faq.select("pos", F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer").alias("shown"), F.transform("keywords", tx.plain).alias("own"))
-    asked = questions.select("id", tx.plain(F.col("text")).alias("__q"))
-    asked = asked.withColumn("__wants", F.col("__q").rlike("|".join(vocab.LIST_WORDS)))  # once a question, not once a pair
-    hit = asked.join(small(words), F.col("__wants") | F.exists("own", lambda k: (k != "") & F.contains(F.col("__q"), k)))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "shown")))
-    return hit.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["shown"]), "\n\n").alias("faq"), F.count("*").alias("n_faq"))
+    shown = F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer").alias("shown")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]), "\n\n").alias("faq")
+    words = faq.select("pos", F.explode("keywords").alias("k")).select("pos", tx.plain(F.col("k")).alias("keyword")).filter("keyword <> ''").distinct()
+    asked = questions.select("id", tx.plain(F.col("text")).alias("text"))
+    wants = F.col("text").rlike("|".join(vocab.LIST_WORDS))
+    some = keyword_hits(asked.filter(~wants), words).join(words, "keyword").select("id", "pos").distinct()
+    found = some.join(faq.select("pos", shown), "pos").groupBy("id").agg(text, F.count("*").alias("n_faq"))
+    # one row, whose text every request of the list gets
+    whole = faq.select("pos", shown).agg(F.struct(text, F.count("*").alias("n_faq")).alias("x")).filter("x.n_faq > 0")
+    every = asked.filter(wants).select("id").distinct().withColumn("x", whole.scalar()).filter("x is not null").select("id", "x.*")
+    return found.unionByName(every)
 
 
 def standard_names(df: DataFrame, synonyms: DataFrame, word: str, to: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from .ordering import row_numbers, small
+from .keywords import keyword_hits
+from .ordering import row_numbers, running_totals
 
 OPEN_END = "2099-12-31"
 
@@ -96,9 +97,56 @@ def validity(history: DataFrame, key: str = "asset_id", at: str = "changed_at")
     return history.withColumns({"valid_from": F.col(at), "valid_to": F.coalesce(following - F.expr("INTERVAL 1 DAY"), F.lit(OPEN_END).cast(history.schema[at].dataType)), "is_current": following.isNull()})
 
 
-def held_on(intervals: DataFrame, days: DataFrame, key: str = "asset_id") -> DataFrame:
-    """Intervals that hold on each of a few days; empty intervals never do."""
-    return intervals.join(small(days), (F.col("valid_from") <= F.col("day")) & (F.col("valid_to") >= F.col("day")))
+#: Days that share a bin of the interval join, on average.
+DAYS_A_BIN = 16
+
+
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def held_on(intervals: DataFrame, days: DataFrame) -> DataFrame:
+    """Intervals that hold on each of some days, of any number; empty intervals never do.
+
+    Intervals have valid_from and valid_to, both inclusive, days a column day; null ends and
+    days hold nothing. Time between the first and last day is cut into bins; an interval goes to
+    the bins that it touches and meets the days of its bin by an equal key, so what is compared
+    is about what is found.
+    """
+    span = days.agg(F.min(_micros("day")).alias("low"), F.max(_micros("day")).alias("high"), F.count("day").alias("n")).first()
+    low, high = span["low"] or 0, span["high"] or 0
+    width = max(1, -(-(high - low + 1) // max(1, span["n"] // DAYS_A_BIN)))
+    place = lambda t: F.floor((F.greatest(F.least(t, F.lit(high)), F.lit(low)) - low) / width)
+    able = intervals.filter((_micros("valid_from") <= high) & (_micros("valid_to") >= low) & (F.col("valid_from") <= F.col("valid_to")))
+    binned = able.withColumn("__bin", F.explode(F.sequence(place(_micros("valid_from")), place(_micros("valid_to")))))
+    dated = days.filter("day is not null").withColumn("__bin", place(_micros("day")))
+    return binned.join(dated, "__bin").filter((F.col("valid_from") <= F.col("day")) & (F.col("valid_to") >= F.col("day"))).drop("__bin")
+
+
+def held_counts(intervals: DataFrame, days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, day, qty): how many intervals hold on each day, without any pair of interval and day.
+
+    Intervals and days are as in held_on; days with none are left out, days that repeat count
+    once. An interval adds one on the first day that is not before its start and takes one away
+    on the first day after its end; sums of these per group and day, added up in the order of the
+    days, are the counts. Null groups are groups.
+    """
+    by = list(by)
+    once = row_numbers(days.filter("day is not null").select(_micros("day").alias("__t"), "day").dropDuplicates(["__t"]), "__i", ["__t"]).withColumn("__i", F.col("__i") - 1)
+    able = intervals.filter(F.col("valid_from") <= F.col("valid_to"))
+    # at one time a start comes before the day, an end after it
+    ends = F.explode(F.array(F.struct(_micros("valid_from").alias("__t"), F.lit(0).alias("__kind"), F.lit(1).alias("__d")), F.struct(_micros("valid_to").alias("__t"), F.lit(2).alias("__kind"), F.lit(-1).alias("__d"))))
+    changes = able.select(*by, ends.alias("x")).select(*by, "x.*").groupBy(*by, "__t", "__kind").agg(F.sum("__d").alias("__d"))
+    times = changes.select("__t", "__kind").distinct().withColumn("__n", F.lit(0)).unionByName(once.select("__t", F.lit(1).alias("__kind"), F.lit(1).alias("__n")))
+    placed = running_totals(times, "__at", "__n", ["__t", "__kind"]).filter("__kind <> 1").select("__t", "__kind", "__at")
+    sums = changes.join(placed, ["__t", "__kind"]).groupBy(*by, "__at").agg(F.sum("__d").alias("__d"))
+    along = Window.partitionBy(*by).orderBy("__at")  # as many rows as there are days
+    runs = sums.select(*by, "__at", F.sum("__d").over(along).alias("qty"), F.lead("__at").over(along).alias("__next"))
+    last = once.agg(F.max("__i").alias("m")).first()["m"]
+    if last is None:
+        return runs.select(*by, F.lit(None).cast(days.schema["day"].dataType).alias("day"), "qty").limit(0)
+    each = runs.filter(f"qty > 0 and __at <= {last}").select(*by, "qty", F.explode(F.sequence(F.col("__at"), F.coalesce(F.col("__next") - 1, F.lit(last)).cast("long"))).alias("__i")).filter(f"__i <= {last}")
+    return each.join(once.select("__i", "day"), "__i").select(*by, "day", "qty")
 
 
 def in_stock(assets: DataFrame, day: Column, gone: str = "D") -> DataFrame:
@@ -130,13 +178,15 @@ def restore_columns(df: DataFrame, origin: DataFrame, keys: Sequence[str]) -> Da
 
 
 def longest_match(df: DataFrame, rules: DataFrame, text: str, defaults: dict[str, float]) -> DataFrame:
-    """Parameters of the longest keyword inside a text; rules (keyword, ...) is a small table.
+    """Parameters of the longest keyword inside a text, the last of equals; defaults without one.
 
-    The rules are tried for each distinct text, by a broadcast of the rules where these are few.
+    rules: (keyword, ...), of any number; empty keywords are none. Each distinct text is scanned
+    once for all keywords.
     """
     names = [c for c in rules.columns if c != "keyword"]
     best = F.max(F.struct(F.length("keyword").alias("__n"), "keyword", *names)).alias("__best")
-    found = df.select(text).distinct().join(small(rules), F.col(text).contains(F.col("keyword")), "left").groupBy(text).agg(best)
+    texts = df.select(F.col(text).alias("id"), F.col(text).alias("text")).distinct()
+    found = keyword_hits(texts, rules).join(rules, "keyword").groupBy(F.col("id").alias(text)).agg(best)
     return df.join(found, text, "left").withColumns({c: F.coalesce(F.col("__best")[c], F.lit(defaults[c])) for c in names}).drop("__best")
 
 

@@ -32,6 +32,20 @@ def row_numbers(df: DataFrame, to: str, order: Sequence[str], within: Sequence[s
     return own.join(shift, same).select(*df.columns, (F.col("__n") + F.col("__before")).alias(to))
 
 
+def running_totals(df: DataFrame, to: str, value: str, order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """df with the sum of a column up to and with each row, in an order over the whole table.
+
+    Ranges as in row_numbers: each is added up alone and shifted by the sums before it. Nulls
+    come first; order must name a row.
+    """
+    placed = staged(df.repartitionByRange(*([ranges] if ranges else []), *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shift = placed.groupBy("__part").agg(F.sum(value).alias("__s")).select(F.col("__part").alias("__p"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = placed.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return own.join(shift, F.col("__part") == F.col("__p")).select(*df.columns, (F.col("__own") + F.col("__before")).alias(to))
+
+
 def quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
     """One row with q, the quantiles of a column by linear interpolation, nulls left out; q is null without values.
 

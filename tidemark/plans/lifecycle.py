@@ -191,6 +191,20 @@ def j18_held_on_days(spark, d):
     return lc.held_on(lc.validity(history(spark, d)), days).groupBy(F.to_date("day").alias("day"), "new_status").agg(F.count("*").alias("qty"))
 
 
+EVERY_DAY = """days AS (SELECT unnest(generate_series((SELECT min(changed_at)::DATE FROM history), (SELECT max(changed_at)::DATE + 30 FROM history), INTERVAL 1 DAY)) AS day)"""
+
+
+@query(f"""WITH {HISTORY}, v AS (SELECT *, changed_at AS valid_from, coalesce(lead(changed_at) OVER (PARTITION BY asset_id ORDER BY changed_at) - INTERVAL 1 DAY, TIMESTAMP '2099-12-31') AS valid_to FROM history),
+{EVERY_DAY}
+SELECT day::DATE AS day, new_status, count(*) AS qty FROM v JOIN days ON valid_from <= day AND valid_to >= day GROUP BY ALL""")
+def j18_held_every_day(spark, d):
+    """Every day of the calendar and all assets, by sums of changes."""
+    own = history(spark, d)
+    limits = own.agg(F.to_date(F.min("changed_at")).alias("a"), F.date_add(F.to_date(F.max("changed_at")), 30).alias("b"))
+    days = limits.select(F.explode(F.sequence("a", "b")).alias("day"))
+    return lc.held_counts(lc.validity(own), days, ["new_status"]).select("day", "new_status", "qty")
+
+
 @query(f"""WITH {ASSETS}, {OUTCOMES}, c AS (SELECT a.*, p.event_date AS clear_date FROM asset a LEFT JOIN disposal_last p USING (asset_id))
 SELECT dept_code, count(*) AS qty FROM c WHERE acq_date <= DATE '1998-06-30' AND (clear_date >= DATE '1998-06-30' OR clear_date IS NULL AND status <> 'F') GROUP BY 1""")
 def j18_stock_on_day(spark, d):
