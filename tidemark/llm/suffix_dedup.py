@@ -31,10 +31,11 @@ from .word_arrays import BASE, INVERSE, mixed
 LENGTH, GRAM = 400, 64
 #: Different segments of a gram that go to one shard, bytes of a shard, rounds of division before strings stand for themselves.
 BUCKET, SHARD_BYTES, ROUNDS = 1024, 1 << 20, 3
-#: Window starts of a text that are looked at together.
-SLICE = 1 << 18
+#: Bytes of texts that are looked at together.
+SLICE = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
-PIECES = "pa long, ps long, off int, a long, s long, size int, loops boolean, n long, id binary, k long, pos int"
+ROOTS = "a long, s long, size int, loops boolean, n long, id binary, k long, pos int"
+PIECES = f"pa long, ps long, off int, {ROOTS}"
 SPANS = "array<struct<start:int,stop:int>>"
 
 
@@ -56,15 +57,20 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def segments(raw: np.ndarray, length: int, gram: int, level: int = 0, rounds: int = ROUNDS, within: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, hash, loops, first string, last string exclusive) of the segments of some bytes; hash is that of all bytes of the segment.
+def segments(texts: Sequence[bytes], length: int, gram: int, level: int = 0, rounds: int = ROUNDS, within: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, key, hash, loops, first string, last string exclusive) of the segments of some texts; hash is that of all bytes of the segment.
 
-    level: 0 for grams, then other grams of the segments of key `within`, from `rounds` on the
+    level: 0 for grams, then other grams of segments of the keys `within`, from `rounds` on the
     strings themselves. A segment has at most length - gram + 1 strings. loops: whether its
     gram stands first in different places of its strings, without which no two are equal.
     """
-    n, width = len(raw) - length + 1, length - gram + 1
-    up, down = _powers(SLICE + 2 * length)
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    raw, width = np.frombuffer(b"".join(texts), dtype=np.uint8), length - gram + 1
+    n = len(raw) - length + 1
+    if n < 1:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+    up, down = _powers(1 << max(16, (len(raw)).bit_length()))
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=sums[1:])
     size = gram if level < rounds else length
@@ -73,37 +79,54 @@ def segments(raw: np.ndarray, length: int, gram: int, level: int = 0, rounds: in
     if level < rounds:  # of equal hashes the first place counts
         placed = (mixed(h ^ np.uint64(level)) & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         at = (_sliding_least(placed, width) & _PLACE).astype(np.int64)
-    least = h[at]
-    parted = (least[1:] != least[:-1]) | (level >= rounds)  # strings that stand for themselves stand alone
+    least, text = h[at], np.repeat(np.arange(len(texts)), sizes)[:n]
+    whole = np.arange(n) + length <= ends[text]  # strings that go beyond their text are none
+    # strings that stand for themselves stand alone
+    parted = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (whole[1:] != whole[:-1]) | (level >= rounds)
     start = np.concatenate(([0], np.flatnonzero(parted) + 1))
     stop = np.append(start[1:], n)
+    start, stop = start[whole[start]], stop[whole[start]]
     parts = -(-(stop - start) // width)
-    if parts.max() > 1:  # text that repeats itself
+    if len(parts) and parts.max() > 1:  # text that repeats itself
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, last = np.repeat(start, parts), np.repeat(stop, parts)
         start = first + step * width
         stop = np.minimum(start + width, last)
-    end = stop + length - 1
-    key = mixed(least[start] + np.full(1, within, dtype=np.int64).view(np.uint64))
-    return key, mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), at[start] != at[stop - 1], start, stop
+    end, text = stop + length - 1, text[start]
+    key = mixed(least[start] + (np.zeros(1, dtype=np.int64) if within is None else within[text]).view(np.uint64))
+    own = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    first = (ends - sizes)[text]
+    return text, key, own, at[start] != at[stop - 1], start - first, stop - first
 
 
 def _pieces(rows: DataFrame, length: int, gram: int, level: int, rounds: int) -> DataFrame:
     """Segments of (id, k, text) rows, or, for further levels, of the wanted (a, s, size, n, pos) of each text."""
+    schema = T.StructType.fromDDL(PIECES if level else ROOTS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            held, size = [], 0
             for i, text in enumerate(frame["text"]):
-                raw = np.frombuffer(text.encode(), dtype=np.uint8) if isinstance(text, str) else np.zeros(0, dtype=np.uint8)
-                wanted = [(0, 0, len(raw), 1, 0)] if level == 0 else [tuple(w[c] for c in ("a", "s", "size", "n", "pos")) for w in frame["wanted"].iloc[i]]
-                for a, s, size, n, pos in wanted:
-                    for off in range(0, size - length + 1, SLICE):
-                        until = min(off + SLICE + length - 1, size)
-                        key, own, loops, start, stop = segments(raw[pos + off:pos + until], length, gram, level, rounds, a)
-                        yield pd.DataFrame({"pa": a, "ps": s, "off": (start + off).astype(np.int32), "a": key.view(np.int64), "s": own.view(np.int64), "size": (stop - start + length - 1).astype(np.int32), "loops": loops, "n": n,
-                                            "id": frame["id"].iloc[i], "k": frame["k"].iloc[i], "pos": (start + off + pos).astype(np.int32)})
-
-    return map_texts(rows, run, PIECES)
+                raw = text.encode() if isinstance(text, str) else b""
+                for w in [{"a": 0, "s": 0, "size": len(raw), "n": 1, "pos": 0}] if level == 0 else frame["wanted"].iloc[i]:
+                    for off in range(0, w["size"] - length + 1, SLICE):
+                        until = min(off + SLICE + length - 1, w["size"])
+                        if size + until - off > SLICE:
+                            yield cut(frame, held)
+                            held, size = [], 0
+                        held.append((raw[w["pos"] + off:w["pos"] + until], i, w["a"], w["s"], w["n"], off, w["pos"]))
+                        size += until - off
+            yield cut(frame, held)
+
+    def cut(frame: pd.DataFrame, held: list[tuple]) -> pd.DataFrame:
+        raws, row, a, s, n, off, pos = zip(*held) if held else ([],) * 7
+        row, a, s, n, off, pos = (np.array(x, dtype=np.int64) for x in (row, a, s, n, off, pos))
+        text, key, own, loops, start, stop = segments(raws, length, gram, level, rounds, a)
+        out = {"pa": a[text], "ps": s[text], "off": start + off[text], "a": key.view(np.int64), "s": own.view(np.int64), "size": stop - start + length - 1, "loops": loops.astype(bool), "n": n[text],
+               "id": frame["id"].to_numpy()[row[text]], "k": frame["k"].to_numpy()[row[text]], "pos": start + off[text] + pos[text]}
+        return pd.DataFrame({c: out[c] for c in schema.names})
+
+    return map_texts(rows, run, schema)
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -188,7 +211,8 @@ def common_prefixes(order: np.ndarray, text: np.ndarray, limit: int) -> np.ndarr
         to = step[np.concatenate((now, rows))]
         to = to[~is_new[to]]
         is_new[to] = True
-        now = np.unique(to)
+        to.sort()  # each once, as the backward step is one to one
+        now = to
     return is_new
 
 
@@ -214,15 +238,16 @@ def _spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _expanded(classes: DataFrame, docs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """(a, s, spans) of the different segments with strings that repeat; spans are of strings' first bytes."""
-    wanted = classes.groupBy(F.col("at.id").alias("id"), F.col("at.k").alias("k")).agg(F.collect_list(F.struct("a", "s", "size", "n", "at.pos")).alias("wanted"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            out = []
             for text, found in zip(frame["text"], frame["wanted"]):
                 raw = text.encode()
-                yield pd.DataFrame([(w["a"], w["s"], w["n"], raw[w["pos"]:w["pos"] + w["size"]]) for w in found], columns=["a", "s", "n", "raw"])
+                out += [(w["a"], w["s"], w["n"], raw[w["pos"]:w["pos"] + w["size"]]) for w in found]
+            yield pd.DataFrame(out, columns=["a", "s", "n", "raw"])
 
-    texts = map_texts(docs.join(wanted, ["id", "k"]).select("text", "wanted"), cut, "a long, s long, n long, raw binary").dropDuplicates(["a", "s"])  # rows may share key and text
+    texts = map_texts(_with_wanted(docs, classes).select("text", "wanted"), cut, "a long, s long, n long, raw binary").dropDuplicates(["a", "s"])  # rows may share key and text
     total = classes.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     groups = texts.groupBy(F.pmod(F.xxhash64("a"), F.lit(shards)).alias("shard")).agg(F.collect_list(F.struct("a", "s", "n", "raw")).alias("held"))
@@ -237,24 +262,28 @@ def _expanded(classes: DataFrame, docs: DataFrame, length: int, shard_bytes: int
     return map_texts(groups.select("held"), run, f"a long, s long, spans {SPANS}", rows=1)
 
 
-def _repeated(pieces: DataFrame, docs: DataFrame, length: int, gram: int, level: int, bucket: int, shard_bytes: int, rounds: int) -> DataFrame:
-    """(a, s, spans) of segments with strings that repeat; pieces: a row for each segment of each text, or of each segment one level up."""
-    each = pieces.groupBy("a", "s").agg(F.max("size").alias("size"), F.max("loops").alias("loops"), F.sum("n").alias("n"), F.min(F.struct("id", "k", "pos")).alias("at"))
-    each = staged(each, "segments")
+def _with_wanted(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Texts with the segments that are cut from them. How many there are follows the corpus, so neither side is ever broadcast."""
+    wanted = classes.groupBy(F.col("at.id").alias("id"), F.col("at.k").alias("k")).agg(F.collect_list(F.struct("a", "s", "size", "n", "at.pos")).alias("wanted"))
+    return docs.join(wanted.hint("merge"), ["id", "k"])
+
+
+def _repeated(pieces: DataFrame, docs: DataFrame, length: int, gram: int, level: int, bucket: int, shard_bytes: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(a, s, spans) of segments with strings that repeat, and the pieces that may be such; pieces: a row for each segment of each text, or of each segment one level up."""
+    each = pieces.groupBy("a", "s").agg(F.sum("n").alias("n"), F.max("loops").alias("loops"))
     grams = each.groupBy("a").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.max("loops").alias("any")).filter("total > 1 or any")
-    classes = staged(each.join(grams, "a"), "repeated-segments")
-    unstage(each)
+    known = each.select("a", "s", F.col("n").alias("weight")).join(grams.select("a", "c").hint("merge"), "a")
+    held = staged(pieces.drop("loops", "n").join(known.hint("merge"), ["a", "s"]).withColumnRenamed("weight", "n"), "repeated-pieces")
+    classes = staged(held.groupBy("a", "s").agg(F.max("size").alias("size"), F.max("n").alias("n"), F.max("c").alias("c"), F.min(F.struct("id", "k", "pos")).alias("at")), "segments")
     spans = staged(_expanded(classes.filter(F.col("c") <= bucket), docs, length, shard_bytes), "spans")
     large = classes.filter(F.col("c") > bucket)
     if level == rounds or large.isEmpty():  # strings that stand for themselves are one segment a hash
-        return spans
-    wanted = large.groupBy(F.col("at.id").alias("id"), F.col("at.k").alias("k")).agg(F.collect_list(F.struct("a", "s", "size", "n", "at.pos")).alias("wanted"))
-    inner = _pieces(docs.join(wanted, ["id", "k"]), length, gram, level + 1, rounds).dropDuplicates(["pa", "ps", "off"])
-    inner = staged(inner, "pieces")
-    found = _repeated(inner, docs, length, gram, level + 1, bucket, shard_bytes, rounds)
+        return spans, held
+    inner = staged(_pieces(_with_wanted(docs, large), length, gram, level + 1, rounds).dropDuplicates(["pa", "ps", "off"]), "pieces")
+    found, own = _repeated(inner, docs, length, gram, level + 1, bucket, shard_bytes, rounds)
     shifted = F.transform("spans", lambda x: F.struct((x["start"] + F.col("off")).alias("start"), (x["stop"] + F.col("off")).alias("stop")))
-    back = inner.join(found, ["a", "s"]).select(F.col("pa").alias("a"), F.col("ps").alias("s"), shifted.alias("spans"))
-    return spans.unionByName(back.groupBy("a", "s").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    back = own.join(found.hint("merge"), ["a", "s"]).select(F.col("pa").alias("a"), F.col("ps").alias("s"), shifted.alias("spans"))
+    return spans.unionByName(back.groupBy("a", "s").agg(F.flatten(F.collect_list("spans")).alias("spans"))), held
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -273,12 +302,13 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     gram = gram or min(GRAM, max(1, length // 2))
     own = _identified(docs, key, text)
     pieces = staged(_pieces(own.filter(F.octet_length("text") >= length), length, gram, 0, rounds), "pieces")
-    found = _repeated(pieces.select("a", "s", "size", "loops", "n", "id", "k", "pos"), own, length, gram, 0, bucket, shard_bytes, rounds)
+    found, held = _repeated(pieces, own, length, gram, 0, bucket, shard_bytes, rounds)
+    unstage(pieces)
     moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("pos")).alias("start"), (x["stop"] + F.col("pos") + length - 1).alias("stop")))
     # a text has no more spans than segments, however many rows hold it
-    at = pieces.select("a", "s", "id", "pos").join(found, ["a", "s"]).select("id", moved.alias("spans"))
+    at = held.select("a", "s", "id", "pos").join(found.hint("merge"), ["a", "s"]).select("id", moved.alias("spans"))
     out = staged(at.groupBy("id").agg(F.flatten(F.collect_set("spans")).alias("found")), "repeated-bytes")
-    unstage(pieces)
+    unstage(held)
     return out
 
 
@@ -296,7 +326,7 @@ def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "tex
     names, own = docs.columns, [f"__{i}" for i in range(len(docs.columns))]
     found = repeated_bytes(docs, key, text, **options).withColumnsRenamed({"id": "__id", "found": "__found"})
     numbered, at = docs.toDF(*own), own[names.index(text)]
-    joined = numbered.withColumn("__id", F.substring(F.unhex(F.sha2(F.coalesce(at, F.lit("")), 256)), 1, 16)).join(found, "__id", "left").drop("__id")
+    joined = numbered.withColumn("__id", F.substring(F.unhex(F.sha2(F.coalesce(at, F.lit("")), 256)), 1, 16)).join(found.hint("merge"), "__id", "left").drop("__id")
     schema = T.StructType([*numbered.schema.fields, *T.StructType.fromDDL(f"n_bytes long, removed {SPANS}, kept binary").fields])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
