@@ -253,18 +253,30 @@ def test_hot_passage_between_different_texts(spark):
     assert got == dict(enumerate(brute_bytes(texts, 60)))
 
 
-def test_texts_longer_than_a_slice(monkeypatch):
-    """Slices give every string to one segment."""
-    monkeypatch.setattr(sd, "SLICE", 100)
-    texts = texts_with_repeats(random.Random(9), 20)
-    for t in texts:
-        raw = np.frombuffer((t or "").encode(), dtype=np.uint8)
-        if len(raw) >= 60:
-            covered = []
-            for off in range(0, len(raw) - 59, 100):
-                _, _, _, start, stop = sd.segments(raw[off:min(off + 159, len(raw))], 60, 30)
-                covered += [i + off for a, b in zip(start, stop) for i in range(a, b)]
-            assert covered == list(range(len(raw) - 59))
+def test_segments_hold_every_string_once():
+    """Texts that are looked at together, too short ones between them: each string is in one segment, equal ones under one key."""
+    texts = [(t or "").encode() for t in texts_with_repeats(random.Random(9), 30)]
+    for level in (0, 1, 3):
+        within = np.zeros(len(texts), dtype=np.int64)
+        seen, keys = [], {}
+        for text, key, _, _, start, stop in zip(*sd.segments(texts, 60, 30, level, 3, within)):
+            seen += [(int(text), i) for i in range(start, stop)]
+            for i in range(start, stop):
+                assert keys.setdefault(texts[text][i:i + 60], key) == key
+        assert seen == [(j, i) for j, t in enumerate(texts) for i in range(len(t) - 59)]
+    assert len(sd.segments([], 60, 30)[0]) == len(sd.segments([b"short"], 60, 30)[0]) == 0
+
+
+def test_texts_longer_than_a_slice(spark, monkeypatch):
+    """Long texts are cut into slices that overlap; the plan's first step runs here, as a worker would."""
+    monkeypatch.setattr(sd, "map_texts", lambda df, run, schema, rows=250: pd.concat(run(iter([df])), ignore_index=True))
+    texts = [t for t in texts_with_repeats(random.Random(9), 20) if t and len(t.encode()) >= 60]
+    frame = pd.DataFrame({"id": [bytes([i]) for i in range(len(texts))], "k": 0, "text": texts})
+    for size in (1 << 19, 100, 61):
+        monkeypatch.setattr(sd, "SLICE", size)
+        out = sd._pieces(frame, 60, 30, 0, 3)
+        starts = sorted((r.id, i) for r in out.itertuples() for i in range(r.pos, r.pos + r.size - 59))
+        assert starts == sorted((bytes([i]), j) for i, t in enumerate(texts) for j in range(len(t.encode()) - 59))
 
 
 def test_removal_query_equals_brute_force(spark):
