@@ -1,97 +1,47 @@
-"""Vector search in blocks, selection of context, and retrieval quality."""
+"""Vector search, selection of context, and retrieval quality."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import cut_block
+from .nearest import BLOCK, nearest_by_kind, search
 from .ordering import small
 
-FOUND = "q long, doc long, score double"
-
-
 def unit(vector: Column) -> Column:
     """a vector of length one; a zero vector stays."""
     size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.transform(vector, lambda x: x.cast("double") / F.when(size == 0, 1.0).otherwise(size))
 
 
-def _matrix(vectors: list) -> np.ndarray:
-    m = np.array([np.asarray(v, dtype=float) for v in vectors])
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(size == 0, 1, size)
-
-
-def _packed(rows: DataFrame, block: int, side: str) -> tuple[DataFrame, int]:
-    """(<side>_block, <side>_ids, <side>_flat, <side>_kinds): about `block` vectors a row, and the number of blocks."""
-    blocks = max(1, math.ceil(rows.count() / block))
-    kind = F.col("category").cast("string") if "category" in rows.columns else F.lit(None).cast("string")
-    one = F.struct(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), kind.alias("k"))
-    own = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(f"{side}_block")).agg(F.collect_list(one).alias("x"))
-    parts = {"ids": F.transform("x", lambda e: e["id"]), "flat": F.flatten(F.transform("x", lambda e: e["v"])), "kinds": F.transform("x", lambda e: e["k"])}
-    return own.select(f"{side}_block", *[c.alias(f"{side}_{n}") for n, c in parts.items()]), blocks
-
+def top_k(queries: DataFrame, docs: DataFrame, k: int, skip_self: bool = False, block: int = BLOCK, lists: int | None = None) -> DataFrame:
+    """(q, rank, doc, score) of the k documents of highest cosine for each query, ties by doc.
 
-def _block_pairs(queries: DataFrame, docs: DataFrame, block: int) -> DataFrame:
-    """Every block of queries beside every block of docs, by a join on the number of the docs' block. Empty vectors are left out."""
-    able = lambda df: df.filter(F.size("embedding") > 0)
-    q, _ = _packed(able(queries), block, "q")
-    d, n = _packed(able(docs), block, "d")
-    return q.withColumn("d_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(d, "d_block")
+    queries, docs: (id, embedding), ids being unique. Exact: a block of documents is skipped
+    only where the triangle inequality shows that none of them can be among the k best. Cosines
+    are rounded to 12 places, so that equal vectors tie. A zero vector has the cosine 0 with
+    everything; empty and null vectors are left out.
+    """
+    return search(queries, docs, k, skip_self, block, lists)[0]
 
 
-def _cosines(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a block pair's queries and docs, and their cosines."""
-    q_ids, d_ids = np.asarray(row.q_ids, dtype=np.int64), np.asarray(row.d_ids, dtype=np.int64)
-    return q_ids, d_ids, _matrix(np.asarray(row.q_flat).reshape(len(q_ids), -1)) @ _matrix(np.asarray(row.d_flat).reshape(len(d_ids), -1)).T
+def pruning(queries: DataFrame, docs: DataFrame, k: int, skip_self: bool = False, block: int = BLOCK, lists: int | None = None) -> DataFrame:
+    """One row: queries, blocks, visits of blocks by queries, and the share of all such pairs that top_k skips."""
+    _, visits, index = search(queries, docs, k, skip_self, block, lists)
+    every = visits[0] if len(visits) == 1 else visits[0].unionByName(visits[1])
+    pairs = queries.filter(F.size("embedding") > 0).agg(F.count("*").alias("n_queries")).withColumn("n_blocks", F.lit(len(index.rows)).cast("long"))
+    return pairs.withColumn("n_visits", every.agg(F.count("*")).scalar()).withColumn("skipped", 1 - F.col("n_visits") / (F.col("n_queries") * F.col("n_blocks")))
 
 
-def top_k(queries: DataFrame, docs: DataFrame, k: int, skip_self: bool = False, block: int = 4096) -> DataFrame:
-    """(q, rank, doc, score) of the k documents of highest cosine for each query, ties by doc.
-
-    queries, docs: (id, embedding). Both are packed into blocks of about `block` vectors; each
-    pair of blocks is one row of a join and keeps its own best k, so what moves on is k rows a
-    query and block. Exact: every document is compared. Nothing passes through the driver.
-    """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                ids, new, s = _cosines(row)
-                if skip_self:
-                    s = np.where(ids[:, None] == new[None, :], -np.inf, s)
-                best = np.lexsort((np.broadcast_to(new, s.shape), -s), axis=1)[:, :k]
-                out = pd.DataFrame({"q": np.repeat(ids, best.shape[1]), "doc": new[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
-                yield out[np.isfinite(out["score"])]
-
-    found = _block_pairs(queries.select("id", "embedding"), docs.select("id", "embedding"), block).mapInPandas(run, FOUND)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "rank", "doc", "score")
-
-
-def nearest_by_category(vectors: DataFrame, block: int = 4096) -> DataFrame:
+def nearest_by_category(vectors: DataFrame, block: int = BLOCK, lists: int | None = None) -> DataFrame:
     """(q, same, other): cosine distance to the nearest other vector of the same category and to the nearest of another one; null where there is none.
 
-    vectors: (id, category, embedding). Exact, by the same pairs of blocks as top_k.
+    vectors: (id, category, embedding). Exact, with the pruning of top_k.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                ids, new, s = _cosines(row)
-                alike = np.asarray(row.q_kinds, dtype=object)[:, None] == np.asarray(row.d_kinds, dtype=object)[None, :]
-                s = np.where(ids[:, None] == new[None, :], -np.inf, s)
-                same, other = (np.where(mask, s, -np.inf).max(axis=1) for mask in (alike, ~alike))
-                yield pd.DataFrame({"q": ids, "same": np.where(np.isfinite(same), 1 - same, np.nan), "other": np.where(np.isfinite(other), 1 - other, np.nan)})
-
-    own = vectors.select("id", "category", "embedding")
-    found = _block_pairs(own, own, block).mapInPandas(run, "q long, same double, other double")
-    return found.groupBy("q").agg(*[F.min(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("same", "other")])
+    found = nearest_by_kind(vectors, block, lists)
+    return found.select("q", (1 - F.col("same")).alias("same"), (1 - F.col("other")).alias("other"))
 
 
 def merge_results(refined: DataFrame, original: DataFrame, k: int) -> DataFrame:
