@@ -247,7 +247,9 @@ def test_model_is_pruned_saved_and_ranked(spark, tmp_path):
     model = ml.fit_model(df, columns, forest)
     ranking = ml.importance(model, columns)
     assert ranking[0][0] == "a" and set(ml.top_sets(ranking, (2, 3, 9))) == {"top_2", "top_3"}
-    assert ml.prune(df, df, columns, forest)[:1] == ["a"]
+    rows = ml.assembled(df.withColumn("split", F.expr("if(b = 1, 'Valid', 'Train')")), columns, F.lit(True))
+    rounds = ml.prune(rows, columns, columns, forest, slack=2.0)
+    assert rounds[0]["kept"] and rounds[1]["features"][0] == "a" and rounds[1]["n_features"] == 2
     record = ml.metadata(columns, {"rmse": 1.5, "r2": float("nan")}, {"train": 120}, True)
     ml.save_model(model, str(tmp_path / "m"), record)
     assert '"r2": null' in spark.read.text(str(tmp_path / "m/record")).first()["value"]

@@ -14,7 +14,7 @@ def test_matches_sql(spark, small, name):
     assert_same(QUERIES[name](spark, small), SQL[name], small)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"m3_model_search"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_has_rows(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from .ordering import quantiles, row_numbers
+from .ordering import column_quantiles, quantiles, row_numbers
 
 
 def rounded(c: Column, digits: int) -> Column:
@@ -204,11 +204,10 @@ def guard_leaks(columns: Sequence[str], features: Sequence[str], leaks: Sequence
 
 
 def impute_medians(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None) -> DataFrame:
-    """Nulls become the median of the rows it is fitted on, else 0."""
-    rows = df.filter(fit_on) if fit_on is not None else df
-    for c in columns:
-        df = df.join(F.broadcast(quantiles(rows, c, [0.5]).select(F.coalesce(F.col("q")[0], F.lit(0.0)).alias(f"__{c}"))))
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
+    """Nulls become the exact median of the rows it is fitted on, else 0; one range sort for all columns."""
+    found = column_quantiles(df.filter(fit_on) if fit_on is not None else df, columns, [0.5])
+    one = found.agg(*[F.coalesce(F.max(F.when(F.col("c") == i, F.col("q")[0])), F.lit(0.0)).alias(f"__{c}") for i, c in enumerate(columns)])
+    return df.join(F.broadcast(one)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
 def model_input(df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -5,45 +5,53 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+from .demand import with_lags, with_trend
+from .ordering import medians
 from .retrieval import unit
+from .trees import ExtraTrees, Forest, flattened
 
 
 def life_regressors(seed: int = 42) -> dict[str, Estimator]:
     """M1: tree regressors of total life."""
     shared = {"featuresCol": "features", "labelCol": "target", "seed": seed}
-    return {"forest": RandomForestRegressor(numTrees=20, maxDepth=6, **shared), "boosted": GBTRegressor(maxIter=20, maxDepth=4, **shared)}
+    return {"forest": RandomForestRegressor(numTrees=20, maxDepth=6, **shared), "boosted": GBTRegressor(maxIter=20, maxDepth=4, **shared), "extra": ExtraTrees(trees=20, depth=8, share=0.85, seed=seed)}
 
 
 def with_imputed(df: DataFrame, columns: Sequence[str]) -> tuple[list, list[str]]:
-    """M7: stages that fill nulls with medians, and the names of their columns. Medians are within 0.01 % of the ranks, which bounds what is kept for them."""
+    """M7: stages that fill nulls and NaN with the exact medians of df, 0 without values, and the names of their columns."""
     names = [f"{c}__f" for c in columns]
-    return [Imputer(inputCols=list(columns), outputCols=names, strategy="median", relativeError=1e-4)], names
+    fills = ", ".join(f"coalesce(nanvl(cast(`{c}` AS double), cast(NULL AS double)), {m!r}D) AS `{n}`" for (c, m), n in zip(medians(df, columns).items(), names))
+    return [SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__")], names
 
 
 def fit_model(df: DataFrame, columns: Sequence[str], estimator: Estimator) -> PipelineModel:
     """M7: fit on complete rows if there are any, else on rows filled with medians."""
     full = df.na.drop(subset=[*columns, "target"])
-    stages, names = with_imputed(df, columns)
     rows = df.filter("target is not null") if full.isEmpty() else full
+    stages, names = with_imputed(rows, columns)
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), estimator]).fit(rows)
 
 
 def fit_ridge(df: DataFrame, columns: Sequence[str], alpha: float) -> PipelineModel:
     """M2: scaled ridge regression; alpha is divided by the rows, as Spark averages the loss."""
     rows = df.na.drop(subset=[*columns, "target"])
-    stages, names = with_imputed(df, columns)
+    stages, names = with_imputed(rows, columns)
     regression = LinearRegression(featuresCol="features", labelCol="target", elasticNetParam=0.0, regParam=alpha / max(1, rows.count()), standardization=False)
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), regression]).fit(rows)
 
@@ -54,18 +62,51 @@ def score(model, df: DataFrame) -> dict[str, float]:
     return {m: RegressionEvaluator(labelCol="target", metricName=m).evaluate(out) for m in ("rmse", "mae", "r2")}
 
 
-def search(train: DataFrame, valid: DataFrame, test: DataFrame, feature_sets: dict[str, Sequence[str]], estimators: dict[str, Estimator], keep: int = 12) -> list[dict]:
-    """M3: fit each set and model on Train, rank on Valid, refit the best on Train and Valid, score on Test.
+def assembled(df: DataFrame, columns: Sequence[str], fit_on: Column) -> DataFrame:
+    """(split, target, all, gaps): every column in one vector, gaps filled with the medians of the rows it is fitted on, and the numbers of the columns that had them.
+
+    Written once, as every candidate of a search reads slices of it.
+    """
+    stages, names = with_imputed(df.filter(fit_on), columns)
+    missing = F.array_compact(F.array(*[F.when(F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(True)), F.lit(i)) for i, c in enumerate(columns)]))
+    filled = stages[0].transform(df.filter("target is not null").withColumn("gaps", missing))
+    return staged(VectorAssembler(inputCols=names, outputCol="all").transform(filled).select("split", F.col("target").cast("double").alias("target"), "all", "gaps"), "assembled")
+
+
+def fit_slice(rows: DataFrame, places: Sequence[int], estimator: Estimator) -> PipelineModel:
+    """M7 on an assembled table: fit some of its columns on the rows that had all of them, else on all rows."""
+    full = rows.filter(F.size(F.array_intersect("gaps", F.array(*[F.lit(i) for i in places]))) == 0)
+    return Pipeline(stages=[VectorSlicer(inputCol="all", outputCol="features", indices=list(places)), estimator]).fit(rows if full.isEmpty() else full)
 
-    Feature sets with the same columns count once (U6). The loop is over candidates, not rows.
+
+def metrics(model, rows: DataFrame) -> dict[str, float]:
+    """RMSE, MAE and R2 of a fitted model, in one pass; R2 is None for a constant target."""
+    off = F.col("target") - F.col("prediction")
+    r = model.transform(rows).agg(F.avg(off * off).alias("mse"), F.avg(F.abs(off)).alias("mae"), F.var_pop("target").alias("var")).first()
+    return {"rmse": math.sqrt(r["mse"]), "mae": r["mae"], "r2": 1 - r["mse"] / r["var"] if r["var"] else None}
+
+
+def search(rows: DataFrame, columns: Sequence[str], feature_sets: dict[str, Sequence[str]], estimators: dict[str, Estimator], keep: int = 12, parallelism: int = 4) -> list[dict]:
+    """M3: fit each set and model on Train, rank on Valid, refit the best on Train and Valid, score on Test, rank again.
+
+    rows: an assembled table of the columns. Feature sets with the same columns count once (U6).
+    Candidates are fitted side by side; the loop is over candidates, not rows.
     """
-    tried = []
-    for name, columns in unique_sets(feature_sets).items():
-        for kind, estimator in estimators.items():
-            tried.append((score(fit_model(train, columns, estimator), valid)["rmse"], name, kind))
-    both, out = train.unionByName(valid), []
-    for rmse, name, kind in sorted(tried)[:keep]:
-        out.append({"features": name, "model": kind, "valid_rmse": rmse, **score(fit_model(both, feature_sets[name], estimators[kind]), test)})
+    train, valid, test = (rows.filter(F.col("split") == x) for x in ("Train", "Valid", "Test"))
+    both, place = rows.filter(F.col("split").isin("Train", "Valid")), {c: i for i, c in enumerate(columns)}
+    sets = {name: sorted(place[c] for c in own) for name, own in unique_sets(feature_sets).items()}
+
+    def tried(candidate: tuple[str, str]) -> tuple[float, str, str]:
+        name, kind = candidate
+        return metrics(fit_slice(train, sets[name], estimators[kind].copy()), valid)["rmse"], name, kind
+
+    def scored(found: tuple[float, str, str]) -> dict:
+        rmse, name, kind = found
+        return {"features": name, "n_features": len(sets[name]), "model": kind, "valid_rmse": rmse, **metrics(fit_slice(both, sets[name], estimators[kind].copy()), test)}
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        best = sorted(pool.map(inheritable_thread_target(tried), [(n, k) for n in sets for k in estimators]))[:keep]
+        out = list(pool.map(inheritable_thread_target(scored), best))
     return sorted(out, key=lambda r: (r["rmse"], r["features"], r["model"]))
 
 
@@ -98,11 +139,36 @@ def top_sets(ranking: Sequence[tuple[str, float]], sizes: Sequence[int] = (10, 1
     return {f"top_{n}": [c for c, _ in ranking[:n]] for n in sizes if n <= len(ranking)}
 
 
-def prune(train: DataFrame, valid: DataFrame, columns: Sequence[str], estimator: Estimator, drop: int = 2, slack: float = 1.05) -> list[str]:
-    """M5: the features without the least important ones, if that costs at most 5 % of RMSE; else all."""
-    model = fit_model(train, columns, estimator)
-    fewer = [c for c, _ in importance(model, columns)[:-drop]]
-    return fewer if score(fit_model(train, fewer, estimator), valid)["rmse"] <= slack * score(model, valid)["rmse"] else list(columns)
+def ranked_features(rows: DataFrame, columns: Sequence[str], selector: Estimator) -> list[tuple[str, float]]:
+    """M5: columns of an assembled table by their importance for a selector fitted on Train, largest first."""
+    return importance(fit_slice(rows.filter("split = 'Train'"), range(len(columns)), selector), columns)
+
+
+def prune(rows: DataFrame, columns: Sequence[str], own: Sequence[str], estimator: Estimator, drop: int = 2, slack: float = 1.05, rounds: int = 1, score_on: str = "Valid") -> list[dict]:
+    """M5: rounds of leaving out the `drop` least important features, each kept if RMSE stays within `slack` times that of all; the first that isn't kept ends them.
+
+    rows: an assembled table of the columns, fitted on Train. Returns a record for the whole
+    set and for each round: features, n_features, rmse, kept.
+    """
+    train, held, place = rows.filter("split = 'Train'"), rows.filter(F.col("split") == score_on), {c: i for i, c in enumerate(columns)}
+
+    def fitted(names: Sequence[str]):
+        model = fit_slice(train, [place[c] for c in names], estimator)
+        return model, metrics(model, held)["rmse"]
+
+    now = list(own)
+    model, first = fitted(now)
+    out = [{"features": now, "n_features": len(now), "rmse": first, "kept": True}]
+    for _ in range(rounds):
+        fewer = [c for c, _ in importance(model, now)[:-drop]]
+        if not fewer:
+            break
+        model, rmse = fitted(fewer)
+        out.append({"features": fewer, "n_features": len(fewer), "rmse": rmse, "kept": rmse <= slack * first})
+        if not out[-1]["kept"]:
+            break
+        now = fewer
+    return out
 
 
 LAGS = (1, 2, 3, 6, 12)
@@ -148,6 +214,84 @@ def recursive_forecast(series: DataFrame, key: str, horizon: int, alpha: float =
     return series.select(key, "month", "actual").groupBy(key).applyInPandas(run, f"{key} {kind}, month date, forecast double")
 
 
+FORECAST_FEATURES = ("trend", "month_sin", "month_cos", *(f"lag_{k}" for k in LAGS), "mean_3", "mean_6", "std_6")
+
+
+@dataclass(frozen=True)
+class Linear:
+    """A scaled linear model: z = (x - mean) * scale."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    intercept: float
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) * self.scale) @ self.weights + self.intercept
+
+
+@dataclass(frozen=True)
+class SharedForecast:
+    """What a group function needs of one model for all series: its arrays, the fills of missing features, and the fitted pipeline for the driver."""
+
+    model: Forest | Linear
+    fills: np.ndarray
+    pipeline: PipelineModel
+
+
+def fit_shared(series: DataFrame, keys: Sequence[str] = (), estimator: Estimator | None = None, alpha: float = 10.0) -> SharedForecast:
+    """M6: one model over all series (keys, month, actual), a ridge or a tree ensemble; features as in FORECAST_FEATURES.
+
+    Fitted on complete rows, else on filled ones, as in M7.
+    """
+    lagged = with_lags(with_trend(series, keys), keys).withColumn("target", F.col("actual").cast("double"))
+    rows = staged(lagged.select("target", *[F.col(c).cast("double").alias(c) for c in FORECAST_FEATURES]), "lagged")
+    full = rows.na.drop()
+    ready = rows if full.isEmpty() else full
+    fills = medians(rows, FORECAST_FEATURES)
+    imputer, names = with_imputed(rows, FORECAST_FEATURES)
+    if estimator is not None:
+        pipeline = Pipeline(stages=[*imputer, VectorAssembler(inputCols=names, outputCol="features"), estimator]).fit(ready)
+        model = flattened(pipeline.stages[-1])
+    else:
+        # deviations of constant columns are 0, which the scaler leaves at 0
+        regression = LinearRegression(featuresCol="features", labelCol="target", elasticNetParam=0.0, regParam=alpha / max(1, ready.count()), standardization=False)
+        pipeline = Pipeline(stages=[*imputer, VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), regression]).fit(ready)
+        scaler, fitted = pipeline.stages[-2:]
+        std = scaler.std.toArray()
+        model = Linear(scaler.mean.toArray(), np.where(std > 0, 1 / np.where(std > 0, std, 1), 0.0), fitted.coefficients.toArray(), float(fitted.intercept))
+    return SharedForecast(model, np.array([fills[c] for c in FORECAST_FEATURES]), pipeline)
+
+
+def forecast_row(values: Sequence[float], month: int) -> list[float]:
+    """FORECAST_FEATURES of the month that follows the values; NaN where the series is too short."""
+    angle = month * (2 * math.pi) / 12
+    lags = [values[-k] if len(values) >= k else math.nan for k in LAGS]
+    return [float(len(values)), math.sin(angle), math.cos(angle), *lags, *(float(np.mean(values[-k:])) if len(values) >= k else math.nan for k in (3, 6)), float(np.std(values[-6:], ddof=1)) if len(values) >= 6 else math.nan]
+
+
+def shared_forecast(series: DataFrame, key: str, horizon: int, fitted: SharedForecast) -> DataFrame:
+    """M6: (key, month, forecast) of the next months of each series by one model; each forecast becomes a lag of the next.
+
+    One group is one monthly series, of a few hundred rows at most; the model's arrays go to it.
+    Missing features take the medians of the fit; forecasts are not under 0.
+    """
+    model, fills = fitted.model, fitted.fills
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("month")
+        values, last, out = frame["actual"].astype(float).tolist(), pd.to_datetime(frame["month"]).iloc[-1], []
+        for step in range(1, horizon + 1):
+            at = last + pd.DateOffset(months=step)
+            row = np.array([forecast_row(values, at.month)])
+            values.append(max(0.0, float(model.predict(np.where(np.isnan(row), fills, row))[0])))
+            out.append((frame[key].iloc[0], at.date(), values[-1]))
+        return pd.DataFrame(out, columns=[key, "month", "forecast"])
+
+    kind = series.schema[key].dataType.simpleString()
+    return series.select(key, "month", "actual").groupBy(key).applyInPandas(run, f"{key} {kind}, month date, forecast double")
+
+
 def projected(vectors: DataFrame) -> DataFrame:
     """M9: two principal components of unit vectors, centred."""
     own = vectors.withColumn("raw", array_to_vector(unit(F.col("embedding"))))

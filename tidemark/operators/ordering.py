@@ -68,6 +68,33 @@ def quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFra
     return found.agg(ordered.alias("o")).select(F.when(F.size("o") > 0, F.transform("o", lambda x: x["q"])).alias("q"))
 
 
+def column_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> DataFrame:
+    """(c, q): for each column's number, its exact quantiles by linear interpolation, null and NaN left out; columns without values have no row.
+
+    All columns become rows (column, value), which are counted and sorted by ranges once,
+    whatever the number of columns.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    counts = df.select(each.alias("x")).select("x.*").filter("v is not null and not isnan(v)").groupBy("c", "v").agg(F.count("*").alias("n"))
+    placed = staged(running_totals(counts, "until", "n", ["c", "v"]), "placed-values")
+    # a row for each column
+    ends = placed.groupBy("c").agg(F.max("until").alias("end")).withColumn("before", F.coalesce(F.lag("end").over(Window.orderBy("c")), F.lit(0)))
+    at = F.col("share") * (F.col("end") - F.col("before") - 1)
+    wanted = ends.select("c", "end", "before", F.posexplode(F.array(*[F.lit(float(x)) for x in fractions])).alias("i", "share"))
+    wanted = wanted.select("c", "i", (F.col("before") + F.floor(at)).alias("low"), (F.col("before") + F.ceil(at)).alias("high"), (at - F.floor(at)).alias("part"))
+    inside = lambda place: (F.col(place) >= F.col("until") - F.col("n")) & (F.col(place) < F.col("until"))
+    found = placed.join(F.broadcast(wanted), "c").filter(inside("low") | inside("high"))
+    ends = found.groupBy("c", "i", "part").agg(F.max(F.when(inside("low"), F.col("v"))).alias("a"), F.max(F.when(inside("high"), F.col("v"))).alias("b"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("q"))))
+    return ends.groupBy("c").agg(F.transform(ordered, lambda x: x["q"]).alias("q"))
+
+
+def medians(df: DataFrame, columns: Sequence[str], default: float = 0.0) -> dict[str, float]:
+    """The exact median of each column, the default without values: as many numbers as columns."""
+    found = {r["c"]: r["q"][0] for r in column_quantiles(df, columns, [0.5]).collect()}
+    return {c: found.get(i, default) for i, c in enumerate(columns)}
+
+
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """df to be broadcast if it has at most `most` rows; a larger one is left to Spark's own choice of a join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

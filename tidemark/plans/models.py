@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import RandomForestRegressor
+import math
+
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from ..operators import demand as dm
 from ..operators import features as fe
 from ..operators import models as ml
+from ..operators.trees import ExtraTrees
 from ..sources.tables import staged
-from .bindings import base, query, read, series
+from .bindings import base, maintenance, query, read, series
 
 COLUMNS = ["life_years", "acq_amount", "acq_month", "batch_size"]
 
@@ -38,14 +41,40 @@ def m2_monthly_ridge(spark, d):
     return model.transform(df.filter("split = 'Test'")).select("dept", "month", "actual", F.greatest("prediction", F.lit(0.0)).alias("forecast"))
 
 
+WIDE = ["life_years", "acq_amount", "log_price", "batch_size", "n_events", "n_repairs", "n_1y", "acq_month", "acq_year", "month_sin", "month_cos", "term_code", "is_prep_month", "is_budget_month", "is_vacation", "sensitivity", "lead_grade",
+        "importance", "repair_share", "price_per_life", "price_of_batch", "status_code", "dept_code_te", "item_name_te", "class_name_te", "campus_te"]
+
+
+def wide_rows(spark, d):
+    """Labelled assets with the 26 numeric features that are known before their end of life, assembled; the target is the age at the end of life in months."""
+    b = staged(base(spark, d), "assets")
+    found = fe.maintenance_features(maintenance(spark, d), b, F.col("event_type").isin("R", "A"), F.col("result") == "F")
+    df = fe.with_maintenance(fe.batch_features(b), found)
+    df = fe.target_encodings(staged(fe.time_split_large(df, "item_name", "ref_date", "asset_id"), "split"), ("dept_code", "item_name", "class_name", "campus"), "age")
+    price, month = F.col("acq_amount"), F.month("acq_date")
+    df = df.withColumns({**fe.term_features(F.col("acq_date")), **fe.price_features(price), "log_price": F.log1p(price), "acq_month": month, "acq_year": F.year("acq_date"), "month_sin": F.sin(month * (2 * math.pi / 12)), "month_cos": F.cos(month * (2 * math.pi / 12)),
+                         "repair_share": F.col("n_repairs") / F.nullif("n_events", F.lit(0)), "price_per_life": price / F.col("life_years"), "price_of_batch": price * F.col("batch_size"), "status_code": F.ascii("status"), "target": fe.in_months(F.col("age"))})
+    return ml.assembled(df.select("split", "target", *WIDE), WIDE, F.col("split") == "Train")
+
+
 @query()
 def m3_model_search(spark, d):
-    """Candidates of the search with their metrics on Test."""
-    df = life_rows(spark, d)
-    parts = [df.filter(F.col("split") == s) for s in ("Train", "Valid", "Test")]
-    sets = {"all": COLUMNS, "same": COLUMNS[::-1], "three": COLUMNS[:3]}
-    rows = ml.search(*parts, sets, {**ml.life_regressors(), "small": RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=5, maxDepth=4, seed=1)})
-    return spark.createDataFrame([tuple(r[c] for c in ("features", "model", "valid_rmse", "rmse", "mae", "r2")) for r in rows], "features string, model string, valid_rmse double, rmse double, mae double, r2 double")
+    """Feature sets by importance for a selector, every model on each, ranked on Valid, refitted and scored on Test."""
+    rows = wide_rows(spark, d)
+    ranking = ml.ranked_features(rows, WIDE, ExtraTrees(trees=20, depth=8))
+    models = {**ml.life_regressors(), "small": RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=5, maxDepth=4, seed=1)}
+    found = ml.search(rows, WIDE, {"all": WIDE, **ml.top_sets(ranking), "same": WIDE[::-1]}, models)
+    return spark.createDataFrame([tuple(r[c] for c in ("features", "n_features", "model", "valid_rmse", "rmse", "mae", "r2")) for r in found], "features string, n_features int, model string, valid_rmse double, rmse double, mae double, r2 double")
+
+
+@query()
+def m5_pruned(spark, d):
+    """Rounds of leaving out the two least important of the 15 best features while RMSE stays within 5 %."""
+    rows = wide_rows(spark, d)
+    forest = ml.life_regressors()["forest"]
+    best = ml.top_sets(ml.ranked_features(rows, WIDE, forest))["top_15"]
+    rounds = ml.prune(rows, WIDE, best, forest, rounds=4)
+    return spark.createDataFrame([(i, r["n_features"], ",".join(r["features"]), r["rmse"], r["kept"]) for i, r in enumerate(rounds)], "round int, n_features int, features string, rmse double, kept boolean")
 
 
 @query()
@@ -79,6 +108,13 @@ def m6_recursive_forecast(spark, d):
     return ml.recursive_forecast(monthly, "dept", 12)
 
 
+@query()
+def m6_shared_forecast(spark, d):
+    """Twelve months ahead for every nation by boosted trees that are fitted on all of them."""
+    monthly = staged(dm.dense_calendar(dm.monthly_counts(series(spark, d), "day", ["dept"]), ["dept"]), "months")
+    return ml.shared_forecast(monthly, "dept", 12, ml.fit_shared(monthly, ["dept"], GBTRegressor(featuresCol="features", labelCol="target", maxIter=15, maxDepth=4, seed=42)))
+
+
 @query()
 def m9_projection(spark, d):
     """Two principal components of all vectors."""
