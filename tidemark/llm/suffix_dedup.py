@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,7 @@ BUCKET, SHARD_BYTES, ROUNDS = 1024, 1 << 20, 3
 #: Bytes of texts that are looked at together.
 SLICE = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
-ROOTS = "a long, s long, size int, loops boolean, n long, id binary, k long, pos int"
-PIECES = f"pa long, ps long, off int, {ROOTS}"
+PIECES = "pa long, ps long, a long, s long, size int, loops boolean, n long, id binary, k long, pos int"
 SPANS = "array<struct<start:int,stop:int>>"
 
 
@@ -100,33 +99,29 @@ def segments(texts: Sequence[bytes], length: int, gram: int, level: int = 0, rou
 
 
 def _pieces(rows: DataFrame, length: int, gram: int, level: int, rounds: int) -> DataFrame:
-    """Segments of (id, k, text) rows, or, for further levels, of the wanted (a, s, size, n, pos) of each text."""
-    schema = T.StructType.fromDDL(PIECES if level else ROOTS)
+    """Segments of (id, k, raw, a, s, n) rows: texts at level 0, segments of key a and weight n further on."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             held, size = [], 0
-            for i, text in enumerate(frame["text"]):
-                raw = text.encode() if isinstance(text, str) else b""
-                for w in [{"a": 0, "s": 0, "size": len(raw), "n": 1, "pos": 0}] if level == 0 else frame["wanted"].iloc[i]:
-                    for off in range(0, w["size"] - length + 1, SLICE):
-                        until = min(off + SLICE + length - 1, w["size"])
-                        if size + until - off > SLICE:
-                            yield cut(frame, held)
-                            held, size = [], 0
-                        held.append((raw[w["pos"] + off:w["pos"] + until], i, w["a"], w["s"], w["n"], off, w["pos"]))
-                        size += until - off
+            for i, raw in enumerate(frame["raw"]):
+                for off in range(0, len(raw) - length + 1, SLICE):
+                    part = raw[off:off + SLICE + length - 1]
+                    if size + len(part) > SLICE:
+                        yield cut(frame, held)
+                        held, size = [], 0
+                    held.append((part, i, off))
+                    size += len(part)
             yield cut(frame, held)
 
-    def cut(frame: pd.DataFrame, held: list[tuple]) -> pd.DataFrame:
-        raws, row, a, s, n, off, pos = zip(*held) if held else ([],) * 7
-        row, a, s, n, off, pos = (np.array(x, dtype=np.int64) for x in (row, a, s, n, off, pos))
-        text, key, own, loops, start, stop = segments(raws, length, gram, level, rounds, a)
-        out = {"pa": a[text], "ps": s[text], "off": start + off[text], "a": key.view(np.int64), "s": own.view(np.int64), "size": stop - start + length - 1, "loops": loops.astype(bool), "n": n[text],
-               "id": frame["id"].to_numpy()[row[text]], "k": frame["k"].to_numpy()[row[text]], "pos": start + off[text] + pos[text]}
-        return pd.DataFrame({c: out[c] for c in schema.names})
+    def cut(frame: pd.DataFrame, held: list[tuple[bytes, int, int]]) -> pd.DataFrame:
+        raws, row, off = zip(*held) if held else ((), (), ())
+        own, off = frame.iloc[list(row)], np.array(off, dtype=np.int64)
+        text, key, s, loops, start, stop = segments(raws, length, gram, level, rounds, own["a"].to_numpy(dtype=np.int64))
+        above = {c: own[c].to_numpy()[text] for c in ("a", "s", "n", "id", "k")}
+        return pd.DataFrame({"pa": above["a"], "ps": above["s"], "a": key.view(np.int64), "s": s.view(np.int64), "size": stop - start + length - 1, "loops": loops.astype(bool), "n": above["n"], "id": above["id"], "k": above["k"], "pos": start + off[text]})
 
-    return map_texts(rows, run, schema)
+    return map_texts(rows, run, PIECES)
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -236,19 +231,28 @@ def _spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
 
 
-def _expanded(classes: DataFrame, docs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """(a, s, spans) of the different segments with strings that repeat; spans are of strings' first bytes."""
+def _cut(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, s, n, c, raw) of the different segments, from the row of each that was chosen.
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Rows that share key and text are one before they move. How many segments there are follows
+    the corpus, so neither side of the join is ever broadcast.
+    """
+    wanted = classes.groupBy(F.col("at.id").alias("id"), F.col("at.k").alias("k")).agg(F.collect_list(F.struct("a", "s", "size", "n", "c", "at.pos")).alias("wanted"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for text, found in zip(frame["text"], frame["wanted"]):
-                raw = text.encode()
-                out += [(w["a"], w["s"], w["n"], raw[w["pos"]:w["pos"] + w["size"]]) for w in found]
-            yield pd.DataFrame(out, columns=["a", "s", "n", "raw"])
+            for raw, found in zip(frame["raw"], frame["wanted"]):
+                out += [(w["a"], w["s"], w["n"], w["c"], raw[w["pos"]:w["pos"] + w["size"]]) for w in found]
+            yield pd.DataFrame(out, columns=["a", "s", "n", "c", "raw"])
+
+    once = rows.groupBy("id", "k").agg(F.first("raw").alias("raw"))
+    return map_texts(once.join(wanted.hint("merge"), ["id", "k"]).select("raw", "wanted"), run, "a long, s long, n long, c long, raw binary")
+
 
-    texts = map_texts(_with_wanted(docs, classes).select("text", "wanted"), cut, "a long, s long, n long, raw binary").dropDuplicates(["a", "s"])  # rows may share key and text
-    total = classes.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+def _expanded(texts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """(a, s, spans) of the segments (a, s, n, raw) with strings that repeat; spans are of strings' first bytes."""
+    total = texts.agg(F.sum(F.octet_length("raw").cast("long"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     groups = texts.groupBy(F.pmod(F.xxhash64("a"), F.lit(shards)).alias("shard")).agg(F.collect_list(F.struct("a", "s", "n", "raw")).alias("held"))
 
@@ -262,33 +266,34 @@ def _expanded(classes: DataFrame, docs: DataFrame, length: int, shard_bytes: int
     return map_texts(groups.select("held"), run, f"a long, s long, spans {SPANS}", rows=1)
 
 
-def _with_wanted(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Texts with the segments that are cut from them. How many there are follows the corpus, so neither side is ever broadcast."""
-    wanted = classes.groupBy(F.col("at.id").alias("id"), F.col("at.k").alias("k")).agg(F.collect_list(F.struct("a", "s", "size", "n", "at.pos")).alias("wanted"))
-    return docs.join(wanted.hint("merge"), ["id", "k"])
+def _repeated(rows: DataFrame, length: int, gram: int, level: int, bucket: int, shard_bytes: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(a, s, spans) of segments with strings that repeat, and the pieces (pa, ps, a, s, id, pos) of rows that may be such.
 
-
-def _repeated(pieces: DataFrame, docs: DataFrame, length: int, gram: int, level: int, bucket: int, shard_bytes: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(a, s, spans) of segments with strings that repeat, and the pieces that may be such; pieces: a row for each segment of each text, or of each segment one level up."""
+    rows: (id, k, raw, a, s, n): texts, or, one level down, segments of grams that have too many.
+    """
+    pieces = staged(_pieces(rows, length, gram, level, rounds), "pieces")
     each = pieces.groupBy("a", "s").agg(F.sum("n").alias("n"), F.max("loops").alias("loops"))
     grams = each.groupBy("a").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.max("loops").alias("any")).filter("total > 1 or any")
     known = each.select("a", "s", F.col("n").alias("weight")).join(grams.select("a", "c").hint("merge"), "a")
     held = staged(pieces.drop("loops", "n").join(known.hint("merge"), ["a", "s"]).withColumnRenamed("weight", "n"), "repeated-pieces")
-    classes = staged(held.groupBy("a", "s").agg(F.max("size").alias("size"), F.max("n").alias("n"), F.max("c").alias("c"), F.min(F.struct("id", "k", "pos")).alias("at")), "segments")
-    spans = staged(_expanded(classes.filter(F.col("c") <= bucket), docs, length, shard_bytes), "spans")
-    large = classes.filter(F.col("c") > bucket)
+    unstage(pieces)
+    classes = held.groupBy("a", "s").agg(F.max("size").alias("size"), F.max("n").alias("n"), F.max("c").alias("c"), F.min(F.struct("id", "k", "pos")).alias("at"))
+    texts = staged(_cut(rows, classes), "segments")
+    spans = staged(_expanded(texts.filter(F.col("c") <= bucket), length, shard_bytes), "spans")
+    large = texts.filter(F.col("c") > bucket)
     if level == rounds or large.isEmpty():  # strings that stand for themselves are one segment a hash
+        unstage(texts)
         return spans, held
-    inner = staged(_pieces(_with_wanted(docs, large), length, gram, level + 1, rounds).dropDuplicates(["pa", "ps", "off"]), "pieces")
-    found, own = _repeated(inner, docs, length, gram, level + 1, bucket, shard_bytes, rounds)
-    shifted = F.transform("spans", lambda x: F.struct((x["start"] + F.col("off")).alias("start"), (x["stop"] + F.col("off")).alias("stop")))
+    inner = large.select(_half_hash(F.col("raw")).alias("id"), F.col("a").alias("k"), "raw", "a", "s", "n")
+    found, own = _repeated(inner, length, gram, level + 1, bucket, shard_bytes, rounds)
+    unstage(texts)
+    shifted = F.transform("spans", lambda x: F.struct((x["start"] + F.col("pos")).alias("start"), (x["stop"] + F.col("pos")).alias("stop")))
     back = own.join(found.hint("merge"), ["a", "s"]).select(F.col("pa").alias("a"), F.col("ps").alias("s"), shifted.alias("spans"))
     return spans.unionByName(back.groupBy("a", "s").agg(F.flatten(F.collect_list("spans")).alias("spans"))), held
 
 
-def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, k, text): texts by half of their SHA-256, rows of one text by a hash of their key."""
-    return docs.select(F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16).alias("id"), F.xxhash64(key).alias("k"), F.col(text).alias("text"))
+def _half_hash(raw: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(raw, 256)), 1, 16)
 
 
 def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None,
@@ -300,10 +305,9 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     or repeat; other columns are ignored; no rows give no rows.
     """
     gram = gram or min(GRAM, max(1, length // 2))
-    own = _identified(docs, key, text)
-    pieces = staged(_pieces(own.filter(F.octet_length("text") >= length), length, gram, 0, rounds), "pieces")
-    found, held = _repeated(pieces, own, length, gram, 0, bucket, shard_bytes, rounds)
-    unstage(pieces)
+    none = F.lit(0).cast("long")
+    own = docs.filter(F.octet_length(text) >= length).select(_half_hash(F.col(text)).alias("id"), F.xxhash64(key).alias("k"), F.col(text).cast("binary").alias("raw"), none.alias("a"), none.alias("s"), (none + 1).alias("n"))
+    found, held = _repeated(own, length, gram, 0, bucket, shard_bytes, rounds)
     moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("pos")).alias("start"), (x["stop"] + F.col("pos") + length - 1).alias("stop")))
     # a text has no more spans than segments, however many rows hold it
     at = held.select("a", "s", "id", "pos").join(found.hint("merge"), ["a", "s"]).select("id", moved.alias("spans"))
@@ -326,7 +330,7 @@ def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "tex
     names, own = docs.columns, [f"__{i}" for i in range(len(docs.columns))]
     found = repeated_bytes(docs, key, text, **options).withColumnsRenamed({"id": "__id", "found": "__found"})
     numbered, at = docs.toDF(*own), own[names.index(text)]
-    joined = numbered.withColumn("__id", F.substring(F.unhex(F.sha2(F.coalesce(at, F.lit("")), 256)), 1, 16)).join(found.hint("merge"), "__id", "left").drop("__id")
+    joined = numbered.withColumn("__id", _half_hash(F.coalesce(at, F.lit("")))).join(found.hint("merge"), "__id", "left").drop("__id")
     schema = T.StructType([*numbered.schema.fields, *T.StructType.fromDDL(f"n_bytes long, removed {SPANS}, kept binary").fields])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
