@@ -271,7 +271,7 @@ def test_texts_longer_than_a_slice(spark, monkeypatch):
     """Long texts are cut into slices that overlap; the plan's first step runs here, as a worker would."""
     monkeypatch.setattr(sd, "map_texts", lambda df, run, schema, rows=250: pd.concat(run(iter([df])), ignore_index=True))
     texts = [t for t in texts_with_repeats(random.Random(9), 20) if t and len(t.encode()) >= 60]
-    frame = pd.DataFrame({"id": [bytes([i]) for i in range(len(texts))], "k": 0, "text": texts})
+    frame = pd.DataFrame({"id": [bytes([i]) for i in range(len(texts))], "raw": [t.encode() for t in texts], **dict.fromkeys(("k", "a", "s", "n"), 0)})
     for size in (1 << 19, 100, 61):
         monkeypatch.setattr(sd, "SLICE", size)
         out = sd._pieces(frame, 60, 30, 0, 3)
