@@ -120,6 +120,12 @@ def unique_sets(feature_sets: dict[str, Sequence[str]], least: int = 3) -> dict[
     return out
 
 
+def distinct_sets(rows: DataFrame, name: str, columns: str, least: int = 3) -> DataFrame:
+    """U6 on a table: of rows with the same set of columns (an array) the one with the smallest name, with the set in order; sets under `least` go."""
+    sets = rows.select(F.col(name), F.array_sort(F.array_distinct(F.array_compact(F.col(columns)))).alias(columns)).filter(F.size(columns) >= least)
+    return sets.groupBy(columns).agg(F.min(name).alias(name)).select(name, columns)
+
+
 def grid_search(df: DataFrame, columns: Sequence[str], folds: int = 5, depths: Sequence[int] = (4, 6), trees: Sequence[int] = (10, 20), parallelism: int = 2):
     """M4: best forest of a grid by cross-validated RMSE."""
     stages, names = with_imputed(df, columns)
@@ -306,8 +312,17 @@ def metadata(features: Sequence[str], metrics: dict[str, float], sizes: dict[str
     return json.dumps({"features": list(features), "metrics": plain, "rows": sizes, "leak_guard": guarded}, sort_keys=True)
 
 
+def write_record(spark: SparkSession, path: str, record: str) -> None:
+    """The record of a model as one JSON line."""
+    spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/record")
+
+
+def read_record(spark: SparkSession, path: str) -> DataFrame:
+    """(value) the record of a saved model."""
+    return spark.read.text(f"{path}/record")
+
+
 def save_model(model: PipelineModel, path: str, record: str) -> None:
     """The fitted pipeline and its record side by side."""
     model.write().overwrite().save(f"{path}/model")
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/record")
+    write_record(SparkSession.getActiveSession(), path, record)

@@ -220,6 +220,16 @@ def p13_months(spark, d):
     return base(spark, d).select("asset_id", fe.in_months(F.col("age")).alias("age_months"), fe.in_months(F.col("life_years")).alias("life_months"))
 
 
+LEAKS = ("ref_date", "disuse_date", "disuse_confirm", "disposal_confirm", "method", "reason", "label", "age")
+
+
+@query(f"WITH {BASE} SELECT asset_id, acq_amount, life_years::BIGINT AS life_years, dept_code, item_name FROM base")
+def p9_guarded_features(spark, d):
+    """The declared features of every asset, once it is sure that none of them gives the outcome away."""
+    df = base(spark, d).withColumn("life_years", F.col("life_years").cast("long"))
+    return df.select("asset_id", *fe.guard_leaks(df.columns, ["acq_amount", "life_years", "dept_code", "item_name"], LEAKS))
+
+
 TE = ("dept_code", "item_name", "class_name", "campus")
 
 

@@ -11,8 +11,9 @@ from ..operators import demand as dm
 from ..operators import features as fe
 from ..operators import models as ml
 from ..operators.trees import ExtraTrees
-from ..sources.tables import staged
-from .bindings import base, maintenance, query, read, series
+from ..sources.tables import fresh_path, staged
+from .bindings import BASE, base, maintenance, query, read, series
+from .features import LEAKS, split_sql
 
 COLUMNS = ["life_years", "acq_amount", "acq_month", "batch_size"]
 
@@ -119,3 +120,25 @@ def m6_shared_forecast(spark, d):
 def m9_projection(spark, d):
     """Two principal components of all vectors."""
     return ml.projected(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS name, list_sort(list(DISTINCT o_orderpriority)) AS columns FROM orders GROUP BY 1)
+SELECT min(name) AS name, array_to_string(columns, ',') AS columns FROM s WHERE len(columns) >= 3 GROUP BY columns""")
+def u6_distinct_sets(spark, d):
+    """The first customer of each set of at least three priorities."""
+    sets = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.collect_list("o_orderpriority").alias("columns"))
+    return ml.distinct_sets(sets, "name", "columns").select("name", F.array_join("columns", ",").alias("columns"))
+
+
+@query(f"""WITH {BASE}, {split_sql('base', 'item_name')}
+SELECT 4::BIGINT AS n_features, true AS leak_guard, count(*) FILTER (split = 'Train') AS train_rows, count(*) FILTER (split = 'Valid') AS valid_rows, count(*) FILTER (split = 'Test') AS test_rows, round(avg(age) FILTER (split = 'Test'), 6) AS mean_age FROM split""")
+def m10_model_record(spark, d):
+    """The record of a model, written beside it and read back: features, rows of each part, a metric, the guard."""
+    df = fe.time_split_large(base(spark, d), "item_name", "ref_date", "asset_id").groupBy("split").agg(F.count("*").alias("n"), F.avg("age").alias("age"))
+    parts = {r["split"]: r for r in df.collect()}
+    features = fe.guard_leaks(COLUMNS, COLUMNS, LEAKS)
+    path = fresh_path(spark, "record")
+    ml.write_record(spark, path, ml.metadata(features, {"mean_age": parts["Test"]["age"] if "Test" in parts else math.nan}, {p: parts[p]["n"] if p in parts else 0 for p in ("Train", "Valid", "Test")}, True))
+    record = F.from_json("value", "features array<string>, leak_guard boolean, metrics struct<mean_age: double>, rows struct<Train: long, Valid: long, Test: long>").alias("r")
+    own = ml.read_record(spark, path).select(record)
+    return own.select(F.size("r.features").cast("long").alias("n_features"), "r.leak_guard", F.col("r.rows.Train").alias("train_rows"), F.col("r.rows.Valid").alias("valid_rows"), F.col("r.rows.Test").alias("test_rows"), F.round("r.metrics.mean_age", 6).alias("mean_age"))

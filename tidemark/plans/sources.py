@@ -51,3 +51,42 @@ def s7_last_line_wins(spark, d):
     tb.append_jsonl(own.withColumn("score", F.lit(1)), path)
     tb.append_jsonl(own.filter("c_custkey % 3 = 0").withColumn("score", F.lit(2)), path)
     return tb.reload_jsonl(spark, path, "c_custkey long, score long", "c_custkey")
+
+
+@query("SELECT s_suppkey, '의자 ' || s_name AS name FROM supplier")
+def s2_mixed_folder(spark, d):
+    """One folder with UTF-8 and legacy files; the character set is found for each file."""
+    path, own = tb.fresh_path(spark, "mixed"), read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("의자 "), "s_name").alias("name"))
+    tb.allow_all_characters(spark)
+    own.filter("s_suppkey % 2 = 0").write.csv(path, header=True, encoding="cp949")
+    own.filter("s_suppkey % 2 = 1").write.mode("append").csv(path, header=True)
+    return tb.read_csv(spark, path, "s_suppkey long, name string")
+
+
+@query("SELECT o_custkey AS key, max(o_orderkey) AS last_order FROM orders GROUP BY 1")
+def s7_order_within_append(spark, d):
+    """Every order appended as a line of its customer in two batches, in order: the last line wins, then what is superseded goes."""
+    path, own = tb.fresh_path(spark, "lines"), read(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("last_order"))
+    middle = own.agg(F.avg("last_order")).first()[0]
+    tb.append_jsonl(own.filter(F.col("last_order") <= middle), path, ["last_order"])
+    tb.append_jsonl(own.filter(F.col("last_order") > middle), path, ["last_order"])
+    tb.compact_jsonl(spark, path, "key long, last_order long", "key")
+    return tb.reload_jsonl(spark, path, "key long, last_order long", "key")
+
+
+@query("SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM part WHERE p_size > 10")
+def s9_published(spark, d):
+    """A table published three times; readers see the last version whole."""
+    path, own = tb.fresh_path(spark, "published"), read(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").cast("long").alias("p_size"))
+    for version in (own, own.filter("p_size > 20"), own.filter("p_size > 10")):
+        tb.publish_table(version, path)
+    return tb.read_table(spark, path)
+
+
+@query("SELECT vec_id, label, len(embedding)::BIGINT AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def s10_saved_vectors(spark, d):
+    """Embedded documents saved and loaded."""
+    path = tb.fresh_path(spark, "vectors")
+    tb.save_vectors(read(spark, d, "embeddings"), path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return tb.load_vectors(spark, path).select("vec_id", "label", F.size("embedding").cast("long").alias("n"), F.round(total, 4).alias("total"))
