@@ -4,7 +4,9 @@ SimHash finds most: fingerprints within a small radius, through covering tables.
 0.8 can lie 14 of 64 bits apart, where no covering is small enough, so the rest comes from an
 exact filter on the shingles themselves:
 
-Shingles are put into one order, that of their hashes. Two sets of n and m shingles with a Jaccard
+Shingles are put into one order, rare ones first: by the number of texts that hold them, as a
+table of bounded size counts it, then by their hashes. Any order is exact; this one keeps what
+many texts share, as forms and templates do, out of the prefixes. Two sets of n and m shingles with a Jaccard
 index of at least s share at least s * n and s * m of them, so they share at least k of the first
 n - ceil(s * n) + k of the one and of the first m - ceil(s * m) + k of the other (a prefix filter).
 k is a share of the size. A text of whose prefix fewer shingles stand in other prefixes has no
@@ -30,6 +32,8 @@ from .components import connected_components, linked_in_groups
 from .shared import map_texts, staged, unstage
 from .simhash import RADIUS, fingerprint, keep_first, near_edges, shingle_hashes
 
+#: Slots in which shingles are counted, which bounds what the driver and the tasks hold of all texts.
+SLOTS = 1 << 18
 #: Share of a set by which its prefix is longer than it must be; rounds in which centres spread; shingles of a group's half, about.
 EXTRA, ROUNDS, GROUP_SHINGLES = 0.1, 2, 1 << 17
 
@@ -49,15 +53,41 @@ def least_shared(n: Column, similarity: float, extra: float) -> Column:
     return F.greatest(F.lit(1), F.floor(extra * F.ceil(similarity * n - 1e-9) + 1e-9)).cast("int")
 
 
+def slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def shingle_counts(docs: DataFrame, words: int, text: str) -> np.ndarray:
+    """How many texts hold the shingles of each slot: SLOTS numbers, whatever the table."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(SLOTS, dtype=np.int64)
+        for frame in frames:
+            own = [shingle_hashes(t, words) for t in frame[text]]
+            sums += np.bincount(slot(np.concatenate([*own, np.zeros(0, dtype=np.int64)])), minlength=SLOTS)
+        used = np.flatnonzero(sums)
+        yield pd.DataFrame({"slot": used, "n": sums[used]})
+
+    found = map_texts(docs.select(text), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, dtype=np.int64)
+    out[found["slot"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def rare_first(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return shingles[np.lexsort((shingles, counts[slot(shingles)]))]
+
+
 def prefixes(docs: DataFrame, words: int, similarity: float, key: str, text: str, extra: float = EXTRA) -> DataFrame:
     """(key, fp, node, size, prefix): fingerprint, digest and size of the shingle set, and its prefix."""
     schema = docs.select(key, F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("size"), F.array(F.lit(0).cast("long")).alias("prefix")).schema
+    counts = shingle_counts(docs, words, text)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             own = [shingle_hashes(t, words) for t in frame[text]]
             yield pd.DataFrame({key: frame[key], "fp": np.array([fingerprint(t, words) for t in frame[text]], dtype=np.uint64).view(np.int64), "node": [set_id(s) for s in own],
-                                "size": [len(s) for s in own], "prefix": [s[:prefix_size(len(s), similarity, extra)] for s in own]})
+                                "size": [len(s) for s in own], "prefix": [rare_first(s, counts)[:prefix_size(len(s), similarity, extra)] for s in own]})
 
     return map_texts(docs.select(key, text), run, schema)
 
@@ -140,12 +170,12 @@ def _groups(met: DataFrame, homes: DataFrame, roots: DataFrame, group_shingles:
     return rows.unionByName(others)
 
 
-def near_copy_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity: float = 0.8, key: str = "doc_id", text: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def near_copy_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity: float = 0.8, key: str = "doc_id", text: str = "text", group_shingles: int = GROUP_SHINGLES, checked: bool = False) -> DataFrame:
     """(key, component_id) of every row with a key: the smallest key that links reach.
 
     Two texts link if the Jaccard index of their word shingles is at least `similarity`, without
     a miss and checked exactly, or if their fingerprints differ in at most `radius` bits, as in
-    the SimHash operator. A text with fewer words is one shingle; null, empty and blank texts have none and link to each other.
+    the SimHash operator; if `checked`, these links too must have that similarity. A text with fewer words is one shingle; null, empty and blank texts have none and link to each other.
     Long texts count whole. Rows without a key take no part; rows that repeat a key are one node
     of the links for each text they have. Other columns, whatever their names, are ignored; no
     rows give no rows.
@@ -160,6 +190,8 @@ def near_copy_groups(docs: DataFrame, words: int = 5, radius: int = RADIUS, simi
     homes, close = families(met), _fingerprint_pairs(sets, radius)
     texts = shingle_sets(homes.select("node"), sets, docs, words)
 
+    if checked:  # a text that shares no key with another has no partner of that similarity
+        close = similar(close, texts, similarity)
     roots = _merged(staged(sets.select("node", F.col("node").alias("root")), "roots"), close)
     star = homes.join(roots, "node").join(roots.select(F.col("node").alias("centre"), F.col("root").alias("top")), "centre").filter("root <> top")
     roots = _merged(roots, similar(star.select(F.col("node").alias("a"), F.col("centre").alias("b")), texts, similarity))
