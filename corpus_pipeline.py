@@ -17,7 +17,7 @@ from tidemark.llm.shared import staged, table
 from tidemark.llm.toxicity import drop_toxic
 
 #: Near-duplicates: texts whose five-word shingles have a Jaccard index of SIMILARITY or more link; none is missed.
-#: Fingerprints within NEAR_BITS of 64 bits are the pairs that are looked at first; each link is checked.
+#: Fingerprints within NEAR_BITS of 64 bits are the pairs that are looked at first; each link is checked exactly.
 NEAR_BITS, SIMILARITY = 3, 0.8
 
 
@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are one group; rows without doc_id all stay; of rows that repeat a
     doc_id those stay whose texts are in no group with a smaller one; other columns pass through.
     """
-    return keep_one(docs, words=5, radius=NEAR_BITS, similarity=SIMILARITY)
+    return keep_one(docs, words=5, radius=NEAR_BITS, similarity=SIMILARITY, checked=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
