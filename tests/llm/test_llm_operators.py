@@ -486,14 +486,17 @@ def test_pipeline_stages(spark):
             first = old.assign(n=old["text"].fillna("").str.replace(r"[\x20\x09-\x0D]+", " ", regex=True)).groupby("n")["doc_id"].min()
             assert ids == set(first)
         if name == "near_dedup":
-            prints = [brute_fingerprint(t, 5) for t in old["text"]]
-            sure = brute_components(list(old["doc_id"]), prints, cp.NEAR_BITS)
-            assert ids <= set(sure)  # every pair within the radius is linked
             grams = {i: shingles5(t) for i, t in zip(old["doc_id"], old["text"])}
-            near = [(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
-            for gone in set(sure) - ids:  # what else goes is like another document
-                assert any(gone in pair for pair in near)
-            assert len({b for _, b in near if b not in ids}) >= 0.7 * len({b for _, b in near})
+            near = [(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= cp.SIMILARITY * len(grams[a] | grams[b])]
+            least = {i: i for i in grams}
+            for _ in grams:  # smallest document that a chain of near pairs reaches
+                new = dict(least)
+                for a, b in near:
+                    new[a] = new[b] = min(new[a], new[b])
+                if new == least:
+                    break
+                least = new
+            assert ids == {i for i, root in least.items() if i == root}  # one of each group stays, and nothing else goes
         if name == "decontamination":
             items = [bag10(t) for t in pd.read_parquet(f"{folder}/benchmark.parquet")["text"]]
             wins = {tuple(w[k:k + min(10, len(w))]) for w in items if w for k in range(len(w) - min(10, len(w)) + 1)}

@@ -12,7 +12,7 @@ def grams(text):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
 
 
-def brute_labels(docs, similarity, radius):
+def brute_labels(docs, similarity, radius=-1):
     own, prints = {i: grams(t) for i, t in docs}, {i: fingerprint(t, 5) for i, t in docs}
     ids = sorted(own)
     label = {i: i for i in ids}
@@ -68,6 +68,31 @@ def test_large_groups_and_chains(spark):
     assert kept == {i for i, r in want.items() if i == r} | {None}
 
 
+def test_checked_links_are_the_similar_pairs(spark):
+    """With checks, links are the pairs of some similarity, no more and no fewer, whatever their fingerprints."""
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want = brute_labels(docs, corpus_pipeline.SIMILARITY)
+    assert labels(spark, docs, radius=corpus_pipeline.NEAR_BITS, checked=True) == want
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, docs), "").collect()}
+    assert kept == {i for i, root in want.items() if i == root}
+
+
+def half_alike(n, seed=1):
+    """Texts that share half of their words, Jaccard index 0.33 for every pair."""
+    rng = random.Random(seed)
+    shared = [f"s{rng.getrandbits(40)}" for _ in range(100)]
+    return [(i, " ".join(shared + [f"w{rng.getrandbits(40)}" for _ in range(100)])) for i in range(n)]
+
+
+def test_texts_on_one_template_stay_apart(spark):
+    rows = half_alike(2000)
+    got = labels(spark, rows, checked=True)
+    assert got == {i: i for i, _ in rows}
+    docs = frame(spark, rows)
+    cand = near_copies.candidate_keys(near_copies.prefixes(docs, 5, 0.8, "doc_id", "text").withColumnRenamed("doc_id", "key"), 0.8)
+    assert cand.count() == 0  # what all texts share is in no prefix, so nothing is compared
+
+
 def test_pairs_beyond_the_fingerprint(spark):
     """The pipeline's stage links what is alike, however far the fingerprints are apart."""
     rng = random.Random(2)
