@@ -90,3 +90,19 @@ def test_index_is_bounded_and_whole(spark):
 def test_no_rows(spark):
     df = frame(spark, vectors(30, 5))
     assert rt.top_k(df.limit(0), df, 3).count() == 0 and rt.top_k(df, df.limit(0), 3).count() == 0 and rt.nearest_by_category(df.limit(0)).count() == 0
+
+
+def test_silhouette_in_passes_equals_all_pairs(spark):
+    rows = [(i, None if i == 5 else "alone" if i == 9 else c, v) for i, c, v in vectors(120, 6)]
+    x, kinds = units(rows), [r[1] for r in rows]
+    far, values = 1 - x @ x.T, []
+    for i, c in enumerate(kinds):
+        if c is not None and c != "alone":
+            same = [far[i][j] for j, k in enumerate(kinds) if k == c and j != i]
+            other = min(np.mean([far[i][j] for j, k in enumerate(kinds) if k == d]) for d in "abcde" if d != c)
+            values.append((other - np.mean(same)) / max(np.mean(same), other))
+    for numbers in (1 << 21, 20):  # all categories in one pass, two or so in each
+        got = rt.silhouette(frame(spark, rows), numbers).first()
+        assert got["n"] == len(values) and got["silhouette"] == pytest.approx(np.mean(values), abs=1e-9)
+    one = rt.silhouette(frame(spark, [(i, "a", v) for i, _, v in rows])).first()
+    assert one["silhouette"] is None and rt.silhouette(frame(spark, rows).limit(0)).first()["n"] == 0

@@ -1,4 +1,4 @@
-"""Row numbers, quantiles and small tables at any size: range sorts and sums per range instead of one sorted task."""
+"""Row numbers, running sums and quantiles at any size: range sorts and sums per range instead of one sorted task."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import staged
 
-#: Rows up to which a table is broadcast to a join that has no equal keys.
-SMALL = 10_000
-
 
 def row_numbers(df: DataFrame, to: str, order: Sequence[str], within: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """df with the number of each row, from 1, in an order within groups.
@@ -93,8 +90,3 @@ def medians(df: DataFrame, columns: Sequence[str], default: float = 0.0) -> dict
     """The exact median of each column, the default without values: as many numbers as columns."""
     found = {r["c"]: r["q"][0] for r in column_quantiles(df, columns, [0.5]).collect()}
     return {c: found.get(i, default) for i, c in enumerate(columns)}
-
-
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df to be broadcast if it has at most `most` rows; a larger one is left to Spark's own choice of a join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import cut_block
+from ..sources.tables import staged
 from .nearest import BLOCK, nearest_by_kind, search
-from .ordering import small
+
 
 def unit(vector: Column) -> Column:
     """a vector of length one; a zero vector stays."""
@@ -146,26 +151,59 @@ def category_hits(found: DataFrame, labels: DataFrame, k: int = 5, least: int =
     return per.groupBy(F.col("own").alias("category")).agg(F.avg("hit").alias("hit"), F.avg("precision").alias("precision")).join(sizes, "category")
 
 
-def silhouette(vectors: DataFrame) -> DataFrame:
+#: Numbers of category sums that are held against the vectors in one pass.
+SUMS = 1 << 21
+
+
+def silhouette(vectors: DataFrame, sums_a_pass: int = SUMS) -> DataFrame:
     """Mean cosine silhouette over categories of more than one vector; null under two such categories.
 
-    vectors: (id, category, embedding). By sums of unit vectors: the mean cosine distance to a
-    category is 1 - x . sum / n, so no pairs are formed; what meets each vector is one row a
-    category.
+    vectors: (id, category, embedding). The mean cosine distance of a vector to a category is
+    1 - x . sum / n, so no pairs of vectors are formed. Sums of categories go to the tasks in
+    blocks of bounded size, and every block is held against all vectors as a matrix product.
     """
-    own = vectors.select("id", "category", unit(F.col("embedding")).alias("x"))
+    own = staged(vectors.select("id", "category", unit(F.col("embedding")).alias("x")).filter("category is not null"), "unit-vectors")
     parts = own.select("category", F.posexplode("x").alias("i", "v")).groupBy("category", "i").agg(F.sum("v").alias("s"))
     sums = (parts.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("total"))
             .join(own.groupBy("category").agg(F.count("*").alias("n")).filter("n > 1"), "category"))
-    dot = F.aggregate(F.zip_with("x", "total", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    pairs = own.join(sums.select("category"), "category", "left_semi").join(small(sums.withColumnRenamed("category", "other")))
-    same = F.col("category") == F.col("other")
-    far = F.when(same, (F.col("n") - dot) / (F.col("n") - 1) - 0.0).otherwise(1 - dot / F.col("n"))
-    # within the own category the vector itself adds distance 0: (n - dot) is the sum of distances
-    per = pairs.groupBy("id").agg(F.max(F.when(same, far)).alias("a"), F.min(F.when(~same, far)).alias("b"))
+    sums = staged(sums, "category-sums")
+    size = sums.agg(F.count("*").alias("n"), F.max(F.size("total")).alias("dims")).first()
+    passes = max(1, -(-size["n"] * (size["dims"] or 1) // sums_a_pass))
+    able, found = own.join(sums.select("category"), "category", "left_semi"), None
+    for i in range(passes):
+        held = sums.filter(F.pmod(F.xxhash64("category"), F.lit(passes)) == i).collect()
+        if held:
+            near = _to_categories(able, [r["category"] for r in held], np.array([r["total"] for r in held]), np.array([r["n"] for r in held]))
+            found = near if found is None else found.unionByName(near)
+    if found is None:
+        found = able.select("id", F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b")).limit(0)
+    per = found.groupBy("id").agg(F.max("a").alias("a"), F.min("b").alias("b"))
     return per.agg(F.when(F.count("b") > 0, F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"), F.count("*").alias("n"))
 
 
+def _to_categories(vectors: DataFrame, names: list, totals: np.ndarray, sizes: np.ndarray) -> DataFrame:
+    """(id, a, b): mean distance to the own category, if it is one of these, and the least to another of these."""
+    place = {c: i for i, c in enumerate(names)}
+    schema = vectors.select("id", F.lit(0.0).cast("double").alias("a"), F.lit(0.0).cast("double").alias("b")).schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            x = np.array(frame["x"].tolist())
+            dot = x @ totals.T
+            own = np.array([place.get(c, -1) for c in frame["category"]])
+            rows, far = np.arange(len(own)), 1 - dot / sizes
+            mine = own >= 0
+            # n - dot is the sum of distances, that to the vector itself too: 0, but 1 for a zero vector
+            a = np.where(mine, (sizes[own] - dot[rows, own] - (1 - (x * x).sum(axis=1))) / (sizes[own] - 1), np.nan)
+            far[rows[mine], own[mine]] = np.inf
+            b = far.min(axis=1)
+            yield pd.DataFrame({"id": frame["id"], "a": [None if np.isnan(v) else v for v in a], "b": [v if np.isfinite(v) else None for v in b]})
+
+    return vectors.mapInPandas(run, schema)
+
+
 def distance_histogram(nearest: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
     """Rows of each of equal bins, empty ones too."""
     place = F.least(F.greatest(F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)), F.lit(1)), F.lit(bins)).cast("long")
