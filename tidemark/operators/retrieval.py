@@ -184,7 +184,7 @@ def silhouette(vectors: DataFrame, sums_a_pass: int = SUMS) -> DataFrame:
 def _to_categories(vectors: DataFrame, names: list, totals: np.ndarray, sizes: np.ndarray) -> DataFrame:
     """(id, a, b): mean distance to the own category, if it is one of these, and the least to another of these."""
     place = {c: i for i, c in enumerate(names)}
-    schema = vectors.select("id", F.lit(0.0).cast("double").alias("a"), F.lit(0.0).cast("double").alias("b")).schema
+    schema = f"id {vectors.schema['id'].dataType.simpleString()}, a double, b double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
