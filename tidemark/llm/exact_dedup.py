@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .shared import SPACES, staged, table
 
-INDEX_SCHEMA = "digest string, keep_id long, n_rows long, batch string, added timestamp"
+#: File in an index's folder that tells its number of buckets to sessions whose catalog doesn't know the table.
+MARK = "_buckets-"
 NEW = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -29,10 +30,34 @@ def text_digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def ensure_index(spark: SparkSession, index: str, buckets: int) -> None:
-    if not spark.catalog.tableExists(index):
-        (spark.createDataFrame([], INDEX_SCHEMA).write.format("parquet")
-         .bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index))
+def _folder(spark: SparkSession, index: str):
+    """Hadoop path and file system of the folder in which the catalog keeps a table of this name."""
+    *db, name = index.replace("`", "").split(".")
+    base = spark.catalog.getDatabase(db[0] if db else spark.catalog.currentDatabase()).locationUri
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name.lower()}")
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def ensure_index(spark: SparkSession, index: str, buckets: int, key_type: str) -> int:
+    """Make the index table, or find the one that is there; returns its number of buckets.
+
+    A table that another session made over the same warehouse is found by its folder, as
+    catalogs that live in memory forget it.
+    """
+    if spark.catalog.tableExists(index):
+        told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {index}").collect()}
+        if told["keep_id"] != key_type:
+            raise ValueError(f"{index} holds keys of type {told['keep_id']}, not {key_type}")
+        return int(told["Num Buckets"])
+    schema = f"digest string, keep_id {key_type}, n_rows long, batch string, added timestamp"
+    at, system = _folder(spark, index)
+    marks = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+    if held := [int(m.removeprefix(MARK)) for m in marks if m.startswith(MARK)]:
+        spark.sql(f"CREATE TABLE {index} ({schema}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {held[0]} BUCKETS LOCATION '{at}'")
+        return ensure_index(spark, index, held[0], key_type)
+    (spark.createDataFrame([], schema).write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index))
+    system.create(spark._jvm.org.apache.hadoop.fs.Path(at, f"{MARK}{buckets}"), True).close()
+    return buckets
 
 
 def batch_groups(digests: DataFrame) -> DataFrame:
@@ -43,7 +68,7 @@ def batch_groups(digests: DataFrame) -> DataFrame:
     by_key = digests.groupBy("digest", "key").agg(F.count("*").alias("c"))
     first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "c"))
     return (by_key.groupBy("digest").agg(first.alias("f"), F.sum("c").alias("n_rows"))
-            .select("digest", F.col("f.key").cast("long").alias("keep_id"), F.col("f.c").alias("n_first"), "n_rows"))
+            .select("digest", F.col("f.key").alias("keep_id"), F.col("f.c").alias("n_first"), "n_rows"))
 
 
 def content_id(groups: DataFrame) -> str:
@@ -59,12 +84,13 @@ def append_new(groups: DataFrame, index: str, batch: str, buckets: int) -> DataF
     n_rows of the batch that brought it.
     """
     spark = groups.sparkSession
-    ensure_index(spark, index, buckets)
+    buckets = ensure_index(spark, index, buckets, groups.schema["keep_id"].dataType.simpleString())
     new = groups.join(spark.table(index).select("digest").hint("merge"), "digest", "left_anti")
     (new.select("digest", "keep_id", "n_rows", F.lit(batch).alias("batch"), F.current_timestamp().alias("added"))
      .write.format("parquet").mode("append").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(index))
-    held = spark.table(index).groupBy("digest").agg(F.min(F.struct("added", "batch", "keep_id", "n_rows")).alias("i"))
-    return held.join(groups.select("digest", "n_first").hint("merge"), "digest").select("digest", "n_first", "i.keep_id", "i.n_rows", "i.batch")
+    # only what the batch asks for is looked at further; the index stays where it lies
+    held = spark.table(index).join(groups.select("digest", "n_first").hint("merge"), "digest")
+    return held.groupBy("digest", "n_first").agg(F.min(F.struct("added", "batch", "keep_id", "n_rows")).alias("i")).select("digest", "n_first", "i.keep_id", "i.n_rows", "i.batch")
 
 
 def digest_groups(digests: DataFrame, index: str | None, buckets: int | None, batch: str | None) -> DataFrame:
@@ -84,9 +110,11 @@ def digest_groups(digests: DataFrame, index: str | None, buckets: int | None, ba
 def exact_dedup(docs: DataFrame, index: str | None = None, buckets: int | None = None, key: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
     """Every row of docs with keep_id, group_size, kept and text_sha256.
 
-    docs: any frame with a key and a text column; other columns pass through, ones named like
-    the four new columns are replaced. index: name of the persistent table; without one a table
-    is made for this call and dropped. Of equal texts the row with the smallest key stays, null
+    docs: any frame with a key, of any orderable type, and a text column; other columns pass
+    through, ones named like the four new columns are replaced. index: name of the persistent
+    table, which keeps its number of buckets and its type of key, in the folder that the catalog
+    has for it; sessions that share the warehouse but no metastore find it there. Without one a
+    table is made for this call and dropped. Of equal texts the row with the smallest key stays, null
     keys last; null text counts as empty, long texts count whole; of rows that repeat key and
     text one stays. An empty table gives an empty result. batch: a name of this batch, by
     default one made from its keys and texts; a batch that runs again under its name, as after
