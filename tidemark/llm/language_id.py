@@ -22,7 +22,7 @@ from .word_arrays import batches
 #: Hash buckets of n-grams, n-gram sizes in bytes, rows of the training sample, gap in loss under which a text is ambiguous.
 BUCKETS, SIZES, SAMPLE_ROWS, AMBIGUOUS = 1 << 13, (2, 3), 3000, 0.5
 #: Languages that are learned, the most frequent first, and texts of each at least.
-MOST_LANGUAGES, LEAST_TEXTS = 1000, 2
+LEAST_TEXTS = 2
 LETTER = regex.compile(r"\p{L}")
 _KEEP = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint32)
 
@@ -96,20 +96,20 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, most_languages: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray] | None:
     """(languages, code, weights) from (text, lang) rows; None where no row has both a language and a letter.
 
     The sample holds sample_rows different texts, of equal number for each language, but at least
     LEAST_TEXTS of each; a language with fewer gives all it has. Copies of a text count once. Its
-    n-grams are counted where the rows are; one task fits on them. Where `lang` has more than
-    most_languages values (junk, say), the most frequent are learned, ties by name, and texts of
+    n-grams are counted where the rows are; one task fits on them. Every value of `lang` is
+    learned; with most_languages only so many, the most frequent, ties by name, and texts of
     the others are predicted as one of these. Long texts count whole; repeated rows change nothing.
     """
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    languages = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
+    languages = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages or 2**31 - 1).collect())
     if not languages:
         return None
-    known = rows if len(languages) < most_languages else rows.join(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in languages], "lang string")), "lang", "left_semi")
+    known = rows if not most_languages or len(languages) < most_languages else rows.join(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in languages], "lang string")), "lang", "left_semi")
     sample = least_hashes(known, "text", max(LEAST_TEXTS, sample_rows // len(languages)), "lang").withColumnRenamed("kind", "lang")
     code, number = code_words(len(languages)), {lang: i for i, lang in enumerate(languages)}
 
