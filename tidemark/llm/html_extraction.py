@@ -33,8 +33,9 @@ OUTER, INNER = 8, 56
 
 # Elements of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = set("script style noscript template svg math iframe object canvas head title textarea select".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
+SKIPPED = set("script style noscript template svg annotation iframe head title textarea select".split())
+TO_THE_END = set("script style noscript title textarea".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img canvas object math menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 CLOSED_BY_BLOCK = {"p"}
 CLOSED_BY_SAME = set("li dt dd tr td th option thead tbody tfoot".split())
 SCOPES = set("html body table td th div article section main aside nav header footer form ul ol dl blockquote button".split())
@@ -110,7 +111,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 if tag not in INLINE:
                     flush()
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                # of what is left open only these hide the rest of the page
+                at = end.end() if end else len(page) if tag in TO_THE_END else at
             continue
         if tag in ("br", "img", "wbr"):
             text(" " if tag != "wbr" else "")
