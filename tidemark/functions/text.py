@@ -40,7 +40,7 @@ def doc_id(value: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """letters, digits and Hangul only, lower case."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^a-zA-Z0-9가-힣]", ""))
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^a-zA-Z0-9가-힣]+", ""))
 
 
 def qa_text(topic: Column, title: Column, question: Column, answer: Column) -> Column:
