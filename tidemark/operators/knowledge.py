@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
-from ..sources.tables import staged
+from ..sources.tables import spread, staged
 from .keywords import keyword_hits
 from .ordering import row_numbers
 
@@ -54,7 +54,7 @@ def faq_matches(questions: DataFrame, faq: DataFrame) -> DataFrame:
     shown = F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer").alias("shown")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]), "\n\n").alias("faq")
     words = faq.select("pos", F.explode("keywords").alias("k")).select("pos", tx.plain(F.col("k")).alias("keyword")).filter("keyword <> ''").distinct()
-    asked = staged(questions.select("id", tx.plain(F.col("text")).alias("text")).withColumn("wants", F.col("text").rlike("|".join(vocab.LIST_WORDS))), "questions")
+    asked = staged(spread(questions).select("id", tx.plain(F.col("text")).alias("text")).withColumn("wants", F.col("text").rlike("|".join(vocab.LIST_WORDS))), "questions")
     some = keyword_hits(asked.filter("not wants"), words).join(words, "keyword").select("id", "pos").distinct()
     found = some.join(faq.select("pos", shown), "pos").groupBy("id").agg(text, F.count("*").alias("n_faq"))
     # one row, whose text every request of the list gets

@@ -246,6 +246,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as the session has cores, for work that is dear for each row.
+
+    A table that already comes in so many partitions stays where it is, so only what is smaller
+    than the cluster moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back, for what several later steps read."""
     path = fresh_path(df.sparkSession, name)
