@@ -107,6 +107,25 @@ def test_pairs_beyond_the_fingerprint(spark):
     assert kept == set(range(0, 120, 2))
 
 
+def test_key_of_many_centres_makes_no_pairs_of_them(spark):
+    """Texts that share one key, each with a centre of its own, are grouped by the key; all that must meet still do."""
+    n = 60
+    pairs = [(i, s) for i in range(n) for s in ({7} if i < 50 else set()) | {100 + i // 3}]
+    met = spark.createDataFrame([(i, 10 + i % 4, s) for i, s in pairs], "node long, size int, shingle long")
+    homes = spark.createDataFrame([(i, i) for i in range(n)], "node long, centre long")
+    roots = spark.createDataFrame([(i, i // 2) for i in range(n)], "node long, root long")
+    held = {i: {s for j, s in pairs if j == i} for i in range(n)}
+    wanted = {(a, b) for a in range(n) for b in range(a + 1, n) if a // 2 != b // 2 and held[a] & held[b]}
+    for size in (1 << 17, 64):
+        rows = near_copies._groups(met, homes, roots, size, most=8).collect()
+        groups = {}
+        for r in rows:
+            groups.setdefault((r["f"], r["g"], r["i"], r["j"]), set()).add(r["node"])
+        assert wanted <= {(a, b) for own in groups.values() for a in own for b in own if a < b}
+        if size > 64:
+            assert len(rows) < 6 * n  # as pairs of centres: 50 * 49 rows for the one key
+
+
 def test_empty(spark):
     empty = frame(spark, [(1, "a")]).limit(0)
     assert near_copies.near_copy_groups(empty).count() == 0 and near_copies.keep_one(empty).columns == empty.columns

@@ -36,6 +36,8 @@ from .simhash import RADIUS, fingerprint, keep_first, near_edges, shingle_hashes
 SLOTS = 1 << 18
 #: Share of a set by which its prefix is longer than it must be; rounds in which centres spread; shingles of a group's half, about.
 EXTRA, ROUNDS, GROUP_SHINGLES = 0.1, 2, 1 << 17
+#: Centres of a key each two of which make a family; the texts of a key with more are a family of its own.
+CENTRES = 16
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -147,19 +149,24 @@ def _fingerprint_pairs(sets: DataFrame, radius: int) -> DataFrame:
     return staged(ends.unionByName(sets.join(least, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))), "fingerprint-pairs")
 
 
-def _groups(met: DataFrame, homes: DataFrame, roots: DataFrame, group_shingles: int) -> DataFrame:
+def _groups(met: DataFrame, homes: DataFrame, roots: DataFrame, group_shingles: int, most: int = CENTRES) -> DataFrame:
     """(node, f, g, i, j): groups (f, g, i, j) in which all pairs of nodes that share a key and have different roots meet.
 
-    f and g are centres of the nodes of a key, i and j blocks. What has the most frequent root
+    f and g are centres of the nodes of a key, i and j blocks. A key with more than `most` centres
+    is no pair of them but a group by itself, f being the key and g its complement, so that what
+    leaves a key is linear in its nodes. What has the most frequent root
     of (f, g) stands in i alone, whatever has another in i and j.
     """
     placed = staged(met.join(roots, "node").join(homes, "node"), "placed")
     several = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
     left = staged(placed.join(staged(several, "keys-of-several"), "shingle"), "open-keys")
     centres = left.select("shingle", "centre").distinct()
+    many = staged(centres.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("shingle"), "keys-of-many")
+    centres = centres.join(many, "shingle", "left_anti")
     both = centres.select("shingle", F.col("centre").alias("f")).join(centres.select("shingle", F.col("centre").alias("g")), "shingle").filter("f <= g")
-    own = left.join(staged(both, "centres-of-keys"), "shingle").filter("centre = f or centre = g").select("f", "g", "node", "root", "size").distinct()
-    own = staged(own, "family-members")
+    own = left.join(staged(both, "centres-of-keys"), "shingle").filter("centre = f or centre = g").select("f", "g", "node", "root", "size")
+    alone = left.join(many, "shingle").select(F.col("shingle").alias("f"), F.bitwise_not("shingle").alias("g"), "node", "root", "size")
+    own = staged(own.unionByName(alone).distinct(), "family-members")
     total = own.groupBy("f", "g", "root").agg(F.sum("size").alias("part")).groupBy("f", "g").agg(F.max(F.struct("part", "root")).alias("main"), F.sum("part").alias("all"), F.count("*").alias("n")).filter("n > 1")
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / group_shingles)).cast("long")
     total = staged(total.select("f", "g", F.col("main.root").alias("main"), blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("main.part")).alias("parts")), "family-sizes")
