@@ -144,6 +144,17 @@ def test_clashing_names_come_back(spark):
     assert decontamination.contamination_report(df, bench).count() == token_counts.count_tokens(df, __import__("public_tokenizers").path("piece_bpe_32k.model")).count() == 6
 
 
+def test_mix_of_columns_named_like_its_own(spark):
+    names = ["__source", "__key", "__cut", "__words", "__epochs", "__0", "mix_key", "epochs", "cut_source", "cut_key", "cut_words"]
+    plain = documents(spark, [(1, "a b c", "s"), (2, "d e", "t"), (3, "f " * 9, "t"), (None, None, None)])
+    odd = plain.withColumns({c: F.lit("own") for c in names})
+    got, want = mixing.mix_sources(odd), mixing.mix_sources(plain)
+    assert got.columns == odd.columns + ["size", "source_size", "target", "taken"]
+    rows = got.collect()
+    assert all(r[c] == "own" for r in rows for c in names)
+    assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in rows))) == sorted(map(str, (tuple(r) for r in want.collect())))
+
+
 def test_rows_that_repeat_a_key_are_judged_by_their_text(spark):
     x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
     df = documents(spark, [(5, x, "1"), (9, y, "2"), (9, x, "3"), (9, y, "4"), (None, y, "5")])

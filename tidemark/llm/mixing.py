@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import running_sums, staged, table, word_count
+from .shared import running_sums, staged, table, unstage, word_count
 
 #: Bits of a hash key.
 KEY_BITS = 62
@@ -70,24 +70,25 @@ def mix_sources(docs: DataFrame, share: float = 1.0, max_epochs: int = 3, weight
     inside the row at which the source's budget is used up. Rows that repeat key and text share
     a hash: a cut through them takes an equal part of each. Null or empty texts have size 0,
     long ones count whole, null sources are one source, an empty table gives an empty result.
-    Columns of docs named like the new ones are replaced, others pass through. The order depends
+    Columns of docs named like the new ones are replaced, others pass through, whatever their names. The order depends
     on rows and seed alone, so reruns agree. rows_per_range: rows of a range of the sort, by
     default what Spark's number of shuffle partitions gives.
     """
     new = ["size", "source_size", "target", "taken"]
     docs = docs.drop(*new)
-    names = [f"`{c}`" for c in docs.columns]
-    keyed = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), mix_key(F.col(key), F.col(text), seed).alias("mix_key"))
+    names = docs.columns
+    own = docs.toDF(*[f"__{i}" for i in range(len(names))])
+    key, text, source = (F.col(f"__{names.index(c)}") for c in (key, text, source))
+    keyed = own.select(source.alias("source"), word_count(text).alias("size"), mix_key(key, text, seed).alias("mix_key"))
     sized = staged(keyed, "mix-sized")
     ranges = math.ceil(sized.count() / rows_per_range) or None if rows_per_range else None
     cuts = staged(source_cuts(sized, source_targets(sized, share, max_epochs, weights), ranges), "mix-cuts")
-    cuts = cuts.select(F.col("source").alias("__source"), "source_size", "target", F.col("epochs").alias("__epochs"), F.col("cut_key").alias("__cut"), F.col("cut_words").alias("__words"))
-    out = (docs.withColumn("size", word_count(F.col(text))).withColumn("__key", mix_key(F.col(key), F.col(text), seed))
-           .join(cuts, F.col(source).eqNullSafe(F.col("__source")), "left"))
-    part = (F.when(F.col("__cut").isNull(), 0).when(F.col("__key") < F.col("__cut"), F.col("size"))
-            .when(F.col("__key") == F.col("__cut"), F.least("size", "__words")).otherwise(0))
-    out = out.withColumn("taken", (F.col("size") * F.col("__epochs") + part).cast("long"))
-    return out.select(*names, *new)
+    unstage(sized)
+    out = own.withColumns({"size": word_count(text), "mix_key": mix_key(key, text, seed)}).join(cuts.withColumnRenamed("source", "cut_source"), source.eqNullSafe(F.col("cut_source")), "left")
+    part = (F.when(F.col("cut_key").isNull(), 0).when(F.col("mix_key") < F.col("cut_key"), F.col("size"))
+            .when(F.col("mix_key") == F.col("cut_key"), F.least("size", "cut_words")).otherwise(0))
+    out = out.withColumn("taken", (F.col("size") * F.col("epochs") + part).cast("long"))
+    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(names)], *new)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,4 +144,6 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], within:
     inside = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = placed.withColumns({f"__own_{n}": F.sum(c).over(inside) for n, c in sums.items()})
     out = added.join(shifts, (F.col("__part") == F.col("__p")) & group.eqNullSafe(F.col("__w")))
-    return staged(out.select(*df.columns, *[(F.col(f"__own_{n}") + F.col(f"__{n}")).alias(n) for n in sums]), "running-sums")
+    summed = staged(out.select(*df.columns, *[(F.col(f"__own_{n}") + F.col(f"__{n}")).alias(n) for n in sums]), "running-sums")
+    unstage(placed)
+    return summed
