@@ -106,3 +106,41 @@ def test_silhouette_in_passes_equals_all_pairs(spark):
         assert got["n"] == len(values) and got["silhouette"] == pytest.approx(np.mean(values), abs=1e-9)
     one = rt.silhouette(frame(spark, [(i, "a", v) for i, _, v in rows])).first()
     assert one["silhouette"] is None and rt.silhouette(frame(spark, rows).limit(0)).first()["n"] == 0
+
+
+def test_many_shards_and_parts_equal_all_pairs(spark, monkeypatch):
+    """Shards of a few blocks and parts of a few queries give what one of each gives."""
+    monkeypatch.setattr(ne, "FEW", 40)
+    rows = vectors(400, 7)
+    df = frame(spark, rows)
+    _, index = ne.build_index(ne.unit_rows(df), 20)
+    assert index.shards().max() > 3 and ne._divided(400) > 3
+    want = brute(rows, list(range(400)), 5, True)
+    got = {}
+    for r in rt.top_k(df, df, 5, True, 20).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append(r["doc"])
+    assert got == {q: [d for d, _ in found] for q, found in want.items()}
+    x, kinds = units(rows), np.array([r[1] for r in rows])
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    for r in rt.nearest_by_category(df, 20).collect():
+        own = kinds == kinds[r["q"]]
+        assert r["same"] == pytest.approx(1 - s[r["q"]][own].max(), abs=1e-8) and r["other"] == pytest.approx(1 - s[r["q"]][~own].max(), abs=1e-8)
+
+
+def test_a_query_moves_once_a_shard(spark, monkeypatch):
+    """Vectors without clusters visit nearly all blocks; what moves and what a task yields at once is a row for each shard, not for each block."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), "x", [float(v) for v in rng.normal(size=32)]) for i in range(2000)]
+    df = frame(spark, rows)
+    _, visits, index = ne.search(df, df, 5, True, 20)
+    moved = sum(v.count() for v in visits)
+    visited = sum(v.agg({"n": "sum"}).first()[0] for v in visits)
+    assert len(index.rows) >= 100 and visited > 2000 * 50 and moved <= 2 * 2000 * (index.shards().max() + 1)
+
+
+def test_cosines_that_differ_past_nine_places_tie(spark):
+    """The SQL orders by cosines of nine places, then by id."""
+    rows = [(0, "x", [1.0, 0.0]), (1, "x", [1.0, 1.00000000004]), (2, "x", [1.0, 1.0]), (3, "x", [1.0, 0.9])]
+    df = frame(spark, rows)
+    assert [r["doc"] for r in rt.top_k(df.filter("id = 0"), df, 3, True).orderBy("rank").collect()] == [3, 1, 2]

@@ -26,7 +26,7 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, skip_self: bool = False,
 
     queries, docs: (id, embedding), ids being unique. Exact: a block of documents is skipped
     only where the triangle inequality shows that none of them can be among the k best. Cosines
-    are rounded to 12 places, so that equal vectors tie. A zero vector has the cosine 0 with
+    are rounded to 9 places, so that equal vectors tie. A zero vector has the cosine 0 with
     everything; empty and null vectors are left out.
     """
     return search(queries, docs, k, skip_self, block, lists)[0]
@@ -37,7 +37,7 @@ def pruning(queries: DataFrame, docs: DataFrame, k: int, skip_self: bool = False
     _, visits, index = search(queries, docs, k, skip_self, block, lists)
     every = visits[0] if len(visits) == 1 else visits[0].unionByName(visits[1])
     pairs = queries.filter(F.size("embedding") > 0).agg(F.count("*").alias("n_queries")).withColumn("n_blocks", F.lit(len(index.rows)).cast("long"))
-    return pairs.withColumn("n_visits", every.agg(F.count("*")).scalar()).withColumn("skipped", 1 - F.col("n_visits") / (F.col("n_queries") * F.col("n_blocks")))
+    return pairs.withColumn("n_visits", every.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()).withColumn("skipped", 1 - F.col("n_visits") / (F.col("n_queries") * F.col("n_blocks")))
 
 
 def nearest_by_category(vectors: DataFrame, block: int = BLOCK, lists: int | None = None) -> DataFrame:
