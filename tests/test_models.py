@@ -155,3 +155,22 @@ def test_search_ranks_and_scores(spark):
     own = ml.metrics(model, table.filter("split = 'Test'"))
     assert own == pytest.approx(ml.score(model, table.filter("split = 'Test'")), abs=1e-9)
     assert ml.ranked_features(table, ["a", "b", "c"], models["extra"])[0][0] == "a"
+
+
+def test_rows_find_their_node_and_add_up(spark):
+    """Nodes are looked up in arrays, a level at a time; a node's rows are added up in one go, whether or not a batch has any."""
+    rng = np.random.default_rng(3)
+    x, y = rng.random((500, 4)).round(2), rng.random(500)
+    growing = tr._Growing(1, 3)
+    growing.feature[0, [1, 2, 7]], growing.threshold[0, [1, 2, 7]], growing.level = [0, 3, 1], [0.5, 0.25, 9.0], 2
+    want = np.where(x[:, 0] > 0.5, 3, np.where(x[:, 3] > 0.25, 5, 4))
+    assert (growing.place(0, x) == want).all()
+    rows = spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, y)], "x array<double>, y double").repartition(3)
+    cut = np.full((3, 4), 0.5)
+    for cuts in (None, [cut]):
+        got = tr._sums(rows, growing, [np.array([4, 5, 6])], cuts)
+        for r in got.itertuples():
+            own = (want == r.node) & ((x[:, r.feature] <= 0.5) | (cuts is None))
+            assert r.n == own.sum() and r.s == pytest.approx(y[own].sum())
+            if cuts is None and own.any():
+                assert (r.lo, r.hi) == (x[own, r.feature].min(), x[own, r.feature].max())

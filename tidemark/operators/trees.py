@@ -68,23 +68,21 @@ def draws(seed: int, tree: int, node: int, features: int, share: float) -> tuple
 
 
 class _Growing:
-    """Trees while they grow: nodes are numbered 1 for the root and 2 i, 2 i + 1 for the children of i."""
+    """Trees while they grow: nodes are numbered 1 for the root and 2 i, 2 i + 1 for the children of i; of each node its feature (-1: none yet) and threshold."""
 
-    def __init__(self, trees: int):
-        self.splits: list[dict[int, tuple[int, float]]] = [{} for _ in range(trees)]
+    def __init__(self, trees: int, depth: int):
+        self.feature = np.full((trees, 2 << depth), -1, dtype=np.int64)
+        self.threshold = np.full((trees, 2 << depth), np.inf)
+        self.level = 0
 
     def place(self, tree: int, x: np.ndarray) -> np.ndarray:
         """The node that each row has come to."""
-        at, splits = np.ones(len(x), dtype=np.int64), self.splits[tree]
-        while True:
-            nodes, which = np.unique(at, return_inverse=True)
-            inner = np.array([n in splits for n in nodes])
-            if not inner.any():
-                return at
-            feature = np.array([splits[n][0] if n in splits else 0 for n in nodes])[which]
-            threshold = np.array([splits[n][1] if n in splits else np.inf for n in nodes])[which]
-            right = x[np.arange(len(x)), feature] > threshold
-            at = np.where(inner[which], 2 * at + right, at)
+        at, rows = np.ones(len(x), dtype=np.int64), np.arange(len(x))
+        for _ in range(self.level):
+            feature = self.feature[tree][at]
+            right = x[rows, np.maximum(feature, 0)] > self.threshold[tree][at]
+            at = np.where(feature >= 0, 2 * at + right, at)
+        return at
 
 
 def _sums(rows: DataFrame, growing: _Growing, open_: list[np.ndarray], cuts: list[np.ndarray] | None) -> pd.DataFrame:
@@ -109,14 +107,23 @@ def _sums(rows: DataFrame, growing: _Growing, open_: list[np.ndarray], cuts: lis
                 at = growing.place(tree, x)
                 slot = np.minimum(np.searchsorted(nodes, at), len(nodes) - 1)
                 own = np.flatnonzero(nodes[slot] == at)
+                if not len(own):
+                    continue
+                own = own[np.argsort(slot[own], kind="stable")]
                 slot, xs, ys = slot[own], x[own], y[own]
-                left = np.ones(xs.shape, dtype=bool) if cuts is None else xs <= cuts[tree][slot]
+                # rows of a node lie side by side: each node's are added up in one go
+                first = np.flatnonzero(np.diff(slot, prepend=-1))
+                there = slot[first]
                 n, s, lo, hi = held[tree]
-                np.add.at(n, slot, left)
-                np.add.at(s, slot, left * ys[:, None])
                 if cuts is None:
-                    np.minimum.at(lo, slot, xs)
-                    np.maximum.at(hi, slot, xs)
+                    n[there] += np.diff(first, append=len(slot))[:, None]
+                    s[there] += np.add.reduceat(ys, first)[:, None]
+                    lo[there] = np.minimum(lo[there], np.minimum.reduceat(xs, first, axis=0))
+                    hi[there] = np.maximum(hi[there], np.maximum.reduceat(xs, first, axis=0))
+                else:
+                    left = (xs <= cuts[tree][slot]).astype(float)
+                    n[there] += np.add.reduceat(left, first, axis=0)
+                    s[there] += np.add.reduceat(left * ys[:, None], first, axis=0)
         for tree, nodes in enumerate(open_) if held is not None else []:
             n, s, lo, hi = held[tree]
             node, feature = np.meshgrid(nodes, np.arange(n.shape[1]), indexing="ij")
@@ -139,7 +146,7 @@ def grow(rows: DataFrame, features: int, trees: int, depth: int, least: int, sha
     are measured together: one aggregate for ranges and one for cuts. What goes through the
     driver is a number for each open node and feature, bounded by trees * 2 ** depth * features.
     """
-    growing, value, gain = _Growing(trees), [{} for _ in range(trees)], np.zeros((trees, features))
+    growing, value, gain = _Growing(trees, depth), [{} for _ in range(trees)], np.zeros((trees, features))
     open_ = [np.array([1]) for _ in range(trees)]
     for level in range(depth + 1):
         if not any(len(o) for o in open_):
@@ -167,18 +174,18 @@ def grow(rows: DataFrame, features: int, trees: int, depth: int, least: int, sha
                 better = np.where(able, ls[t][i] ** 2 / np.maximum(ln[t][i], 1) + rs**2 / np.maximum(rn, 1) - s[t][i, 0] ** 2 / total, -np.inf)
                 best = int(better.argmax())
                 if better[best] > 1e-12 * max(1.0, abs(s[t][i, 0])):
-                    growing.splits[t][int(node)] = (best, float(cuts[t][i, best]))
+                    growing.feature[t, node], growing.threshold[t, node] = best, cuts[t][i, best]
                     gain[t, best] += better[best]
                     new += [2 * int(node), 2 * int(node) + 1]
             following.append(np.array(new, dtype=np.int64))
-        open_ = following
+        open_, growing.level = following, level + 1
     nodes, roots = [], []
     for t in range(trees):
         number = {node: len(nodes) + i for i, node in enumerate(sorted(value[t]))}
         roots.append(number[1])
         for node in sorted(value[t]):
-            feature, threshold = growing.splits[t].get(node, (-1, 0.0))
-            nodes.append((feature, threshold, number.get(2 * node, 0), number.get(2 * node + 1, 0), value[t][node]))
+            feature = int(growing.feature[t, node])
+            nodes.append((feature, float(growing.threshold[t, node]) if feature >= 0 else 0.0, number.get(2 * node, 0), number.get(2 * node + 1, 0), value[t][node]))
     columns = [np.array(c) for c in zip(*nodes)]
     forest = Forest(columns[0].astype(np.int64), columns[1].astype(float), columns[2].astype(np.int64), columns[3].astype(np.int64), columns[4].astype(float), np.array(roots), np.full(trees, 1 / trees))
     each = gain / np.where(gain.sum(axis=1, keepdims=True) > 0, gain.sum(axis=1, keepdims=True), 1)
