@@ -174,3 +174,14 @@ def test_rows_find_their_node_and_add_up(spark):
             assert r.n == own.sum() and r.s == pytest.approx(y[own].sum())
             if cuts is None and own.any():
                 assert (r.lo, r.hi) == (x[own, r.feature].min(), x[own, r.feature].max())
+
+
+def test_grid_scores_are_those_of_the_search(spark):
+    """The same folds and forests, without the refit of the best on all rows."""
+    rng = np.random.default_rng(3)
+    rows = [(float(a), None if i % 9 == 0 else float(b), None if i % 50 == 0 else float(3 * a + b * b)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, target double").coalesce(2).cache()
+    fitted = ml.grid_search(df, ["a", "b"], 2, (2, 3), (3, 5))
+    got = ml.grid_scores(df, ["a", "b"], 2, (2, 3), (3, 5))
+    assert [{k.name: v for k, v in p.items()} for p, _ in got] == [{k.name: v for k, v in p.items()} for p in fitted.getEstimatorParamMaps()]
+    assert [s for _, s in got] == pytest.approx(fitted.avgMetrics, rel=1e-9)
