@@ -14,6 +14,10 @@ from tidemark.operators import features as fe
 from tidemark.operators import models as ml
 from tidemark.operators import trees as tr
 from tidemark.operators.ordering import column_quantiles, medians
+from tidemark.plans import models as models_plan
+from tidemark.plans.bindings import base, maintenance
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def numbers(spark, n=300, seed=1):
@@ -185,3 +189,32 @@ def test_grid_scores_are_those_of_the_search(spark):
     got = ml.grid_scores(df, ["a", "b"], 2, (2, 3), (3, 5))
     assert [{k.name: v for k, v in p.items()} for p, _ in got] == [{k.name: v for k, v in p.items()} for p in fitted.getEstimatorParamMaps()]
     assert [s for _, s in got] == pytest.approx(fitted.avgMetrics, rel=1e-9)
+
+
+def test_wide_rows_read_maintenance_once_and_keep_their_values(spark, monkeypatch):
+    """Only rows that models read are assembled; batches, split and encodings are still counted on all assets."""
+    seen, own = {}, models_plan.staged
+
+    def noted(df, name):
+        seen[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return own(df, name)
+
+    monkeypatch.setattr(models_plan, "staged", noted)
+    got = models_plan.wide_rows(spark, SMALL)
+    assert seen["split"].count("l_orderkey") == 0 and seen["wide"].count("Relation [l_orderkey") <= 1
+    b = base(spark, SMALL)
+    df = fe.with_maintenance(fe.batch_features(b), fe.maintenance_features(maintenance(spark, SMALL), b, F.col("event_type").isin("R", "A"), F.col("result") == "F"))
+    df = fe.target_encodings(fe.time_split_large(df, "item_name", "ref_date", "asset_id"), ("dept_code", "item_name", "class_name", "campus"), "age")
+    place = {c: i for i, c in enumerate(models_plan.WIDE)}
+    some = ["life_years", "acq_amount", "batch_size", "n_events", "n_repairs", "n_1y", "dept_code_te", "item_name_te", "class_name_te", "campus_te"]
+    want = df.filter("split <> 'Prediction'").select("split", *[F.col(c).cast("double") for c in some], (F.col("age") * 12).alias("target")).collect()
+    key = lambda rows: sorted((r[0], *(round(float(x), 6) for x in r[1:])) for r in rows)
+    assert key(want) == key([(r["split"], *(r["all"][place[c]] for c in some), r["target"]) for r in got.collect()])
+
+
+def test_encodings_pass_over_the_rows_once(spark):
+    """What is joined back has been summed before: the plan scans the rows for the output alone."""
+    df = spark.createDataFrame([("a", "x", "Train", "Y", 1.0), ("b", "x", "Test", "Y", 3.0), ("a", "y", "Prediction", "N", 9.0)], "c string, e string, split string, label string, t double").repartition(2)
+    out = fe.target_encodings(df, ("c", "e"), "t")
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["c"], r["e"], round(r["c_te"], 9), round(r["e_te"], 9)) for r in out.collect()) == [("a", "x", 1.0, 1.0), ("a", "y", 1.0, 1.0), ("b", "x", 1.0, 1.0)]

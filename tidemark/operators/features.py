@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..sources.tables import staged
 from .ordering import column_quantiles, quantiles, row_numbers
 
 
@@ -114,9 +115,9 @@ def drop_outliers(df: DataFrame, column: str, label: str = "label") -> DataFrame
     return df.join(F.broadcast(bounds)).filter((F.col(label) == "N") | inside).drop("q1", "q3", "low", "high")
 
 
-def batch_features(df: DataFrame, batch: str = "batch_id", age: str = "age") -> DataFrame:
-    """Size and mean age of the purchase batch; assets without batch are their own."""
-    per = df.filter(F.col(batch).isNotNull()).groupBy(batch).agg(F.count("*").alias("batch_size"), F.avg(age).alias("batch_age"))
+def batch_features(df: DataFrame, batch: str = "batch_id", age: str = "age", within: DataFrame | None = None) -> DataFrame:
+    """Size and mean age of the purchase batch; assets without batch are their own. Batches are counted on `within`, if it is given, else on df."""
+    per = (df if within is None else within).filter(F.col(batch).isNotNull()).groupBy(batch).agg(F.count("*").alias("batch_size"), F.avg(age).alias("batch_age"))
     return df.join(per, batch, "left").withColumns({"batch_size": F.coalesce("batch_size", F.lit(1)), "batch_age": rounded(F.coalesce("batch_age", age), 2)})
 
 
@@ -185,6 +186,7 @@ def target_encodings(df: DataFrame, categories: Sequence[str], target: str, k: f
     values = F.explode(F.array(F.struct(F.lit("").alias("c"), F.lit(None).cast("string").alias("v")), *[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in categories]))
     sums = (df.select(train.alias("t"), F.when(F.col("label") == "Y", F.col(target)).alias("y"), values.alias("x"))
             .groupBy("x.c", "x.v").agg(F.avg("t").alias("m"), F.count("t").alias("n"), F.avg("y").alias("y")))
+    sums = staged(sums, "category-sums")  # else each of the joins below would make the pass again
     overall = sums.filter("c = ''").select(F.coalesce("m", "y", F.lit(default)).alias("__g"))
     out = df.join(F.broadcast(overall))
     for c in categories:
