@@ -1,6 +1,7 @@
 """Exact vector search with pruning, against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.operators import nearest as ne
@@ -159,3 +160,23 @@ def test_few_queries_make_small_shards(spark, monkeypatch):
     for r in found.orderBy("q", "rank").collect():
         got.setdefault(r["q"], []).append(r["doc"])
     assert got == {q: [d for d, _ in x] for q, x in brute(rows, asked, 5, False).items()}
+
+
+def scattered(n, dims=32):
+    """Vectors without clusters, which visit nearly all blocks."""
+    return [(int(i), "ab"[i % 2], [float(v) for v in x]) for i, x in enumerate(np.random.default_rng(11).normal(size=(n, dims)))]
+
+
+def test_a_task_yields_bounded_frames(spark, monkeypatch):
+    """Queries that visit all blocks come out in frames of bounded size, whatever the batch that came in."""
+    rows = scattered(600)
+    _, index = ne.build_index(ne.unit_rows(frame(spark, rows)), 10)
+    monkeypatch.setattr(ne, "_STEP", 3200)
+
+    class Queries:
+        def mapInPandas(self, run, schema):
+            return run
+
+    asked = pd.DataFrame({"id": np.arange(600), "kind": None, "x": list(units(rows))})
+    yielded = [len(f) for f in ne._visits(Queries(), index, 600, False, 1)(iter([asked]))]
+    assert len(index.rows) > 50 and sum(yielded) == 600 * (index.shards().max() + 1) and max(yielded) * 32 <= ne._STEP
