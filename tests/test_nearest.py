@@ -180,3 +180,19 @@ def test_a_task_yields_bounded_frames(spark, monkeypatch):
     asked = pd.DataFrame({"id": np.arange(600), "kind": None, "x": list(units(rows))})
     yielded = [len(f) for f in ne._visits(Queries(), index, 600, False, 1)(iter([asked]))]
     assert len(index.rows) > 50 and sum(yielded) == 600 * (index.shards().max() + 1) and max(yielded) * 32 <= ne._STEP
+
+
+def test_nearest_by_category_moves_a_query_once_a_shard(spark, monkeypatch):
+    """Both rounds move a row for each shard, not for each block, and stay exact."""
+    moved, visits = [], ne._visits
+    monkeypatch.setattr(ne, "_visits", lambda *a, **b: moved.append(visits(*a, **b)) or moved[-1])
+    rows = scattered(1500)
+    got = {r["q"]: (r["same"], r["other"]) for r in rt.nearest_by_category(frame(spark, rows), 15).collect()}
+    assert len(moved) == 2 and sum(v.count() for v in moved) <= 2 * 1500 * ne._divided(1500)
+    x = units(rows)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    even = np.arange(1500) % 2 == 0
+    for i in range(1500):
+        own = even == even[i]
+        assert got[i] == (pytest.approx(1 - s[i][own].max(), abs=1e-8), pytest.approx(1 - s[i][~own].max(), abs=1e-8))
