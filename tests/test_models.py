@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -218,3 +219,59 @@ def test_encodings_pass_over_the_rows_once(spark):
     out = fe.target_encodings(df, ("c", "e"), "t")
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["c"], r["e"], round(r["c_te"], 9), round(r["e_te"], 9)) for r in out.collect()) == [("a", "x", 1.0, 1.0), ("a", "y", 1.0, 1.0), ("b", "x", 1.0, 1.0)]
+
+
+def test_trees_read_coded_blocks_twice_a_level(spark, monkeypatch):
+    """Rows are coded once, to two bytes a feature; the leaves of the last level take no pass of their own."""
+    calls, own = [], tr._sums
+    monkeypatch.setattr(tr, "_sums", lambda rows, growing, *rest: calls.append((growing.level, tuple(rows.columns))) or own(rows, growing, *rest))
+    x, y, df = vectors(spark, 200, 5)
+    tr.ExtraTrees(trees=2, depth=3).fit(df)
+    assert calls == [(level, ("codes", "sizes", "values", "y")) for level in range(3) for _ in range(2)]
+    blocks = tr.coded(spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, y)], "x array<double>, y double").coalesce(1)).collect()
+    codes = np.frombuffer(blocks[0]["codes"], dtype=np.uint16).reshape(200, 4)
+    values = np.split(np.frombuffer(blocks[0]["values"]), np.cumsum(blocks[0]["sizes"])[:-1])
+    assert len(blocks) == 1 and all((values[f][codes[:, f]] == x[:, f]).all() for f in range(4))
+
+
+def test_blocks_are_bounded_and_whole():
+    batches = [pa.RecordBatch.from_pydict({"x": pa.array([[float(i)] * 2 for i in range(a, b)], pa.list_(pa.float64())), "y": pa.array([float(i) for i in range(a, b)], pa.float64())}) for a, b in ((0, 30), (30, 30), (30, 60), (60, 205))]
+    got = list(tr._blocks(batches, 70))
+    assert max(len(y) for _, y in got) <= 70 and np.concatenate([y for _, y in got]).tolist() == list(range(205))
+    assert all((x == y[:, None]).all() for x, y in got)
+    rng = np.random.default_rng(1)
+    for n in (1, 50, 5_000):
+        codes, y, cut = rng.integers(0, 60_000, (n, 3)).astype(np.uint16), rng.random(n), np.array([10_000, 0, 65_535], dtype=np.uint16)
+        assert [e.tolist() for e in tr._ends(codes)] == [codes.min(axis=0).tolist(), codes.max(axis=0).tolist()]
+        under = codes < cut
+        assert tr._under(codes, cut, y).tolist() == [under.sum(axis=0).tolist(), pytest.approx((under * y[:, None]).sum(axis=0))]
+
+
+def test_equal_cuts_take_the_first_feature_in_any_partitioning(spark):
+    """Two features that part the rows alike differ by rounding alone, which must not choose between them."""
+    rng = np.random.default_rng(7)
+    rows = [(Vectors.dense([a, 1 - a, b]), float(b) + 10 * float(a) + float(rng.normal())) for a, b in zip(rng.integers(0, 2, 3000).astype(float), rng.integers(0, 5, 3000).astype(float))]
+    forests = [tr.ExtraTrees(trees=6, depth=4, share=1.0).fit(spark.createDataFrame(rows, ["features", "target"]).repartition(n)).forest for n in (1, 3, 7)]
+    assert all((f.feature == forests[0].feature).all() and (f.threshold == forests[0].threshold).all() for f in forests)
+    assert 0 in forests[0].feature and 1 not in forests[0].feature
+
+
+def test_search_takes_what_is_fitted(spark):
+    """A selector that is one of the candidates isn't fitted again on Train, and its score is the same."""
+    fits = []
+
+    class Counted(tr.ExtraTrees):
+        def _fit(self, dataset):
+            fits.append(dataset.count())
+            return super()._fit(dataset)
+
+    rng = random.Random(4)
+    rows = [(("Train", "Valid", "Test")[i % 3], float(rng.randint(0, 9)), float(rng.randint(0, 4)), float(rng.randint(0, 9))) for i in range(150)]
+    df = spark.createDataFrame([(s, a, b, c, 2 * a + b) for s, a, b, c in rows], "split string, a double, b double, c double, target double")
+    table = ml.assembled(df, ["a", "b", "c"], F.col("split") == "Train")
+    model = {"extra": Counted(trees=3, depth=3)}
+    plain = ml.search(table, ["a", "b", "c"], {"all": ["a", "b", "c"]}, model)
+    assert fits == [50, 100]
+    selector = ml.fit_slice(table.filter("split = 'Train'"), range(3), model["extra"])
+    assert ml.search(table, ["a", "b", "c"], {"all": ["a", "b", "c"]}, model, fitted={("all", "extra"): selector}) == [{k: pytest.approx(v) if isinstance(v, float) else v for k, v in r.items()} for r in plain]
+    assert fits == [50, 100, 50, 100]

@@ -86,11 +86,13 @@ def metrics(model, rows: DataFrame) -> dict[str, float]:
     return {"rmse": math.sqrt(r["mse"]), "mae": r["mae"], "r2": 1 - r["mse"] / r["var"] if r["var"] else None}
 
 
-def search(rows: DataFrame, columns: Sequence[str], feature_sets: dict[str, Sequence[str]], estimators: dict[str, Estimator], keep: int = 12, parallelism: int = 4) -> list[dict]:
+def search(rows: DataFrame, columns: Sequence[str], feature_sets: dict[str, Sequence[str]], estimators: dict[str, Estimator], keep: int = 12, parallelism: int = 4, fitted: dict[tuple[str, str], PipelineModel] | None = None) -> list[dict]:
     """M3: fit each set and model on Train, rank on Valid, refit the best on Train and Valid, score on Test, rank again.
 
     rows: an assembled table of the columns. Feature sets with the same columns count once (U6).
-    Candidates are fitted side by side; the loop is over candidates, not rows.
+    fitted: (set, model) pairs that fit_slice has fitted on Train already, such as a selector of
+    features. Candidates are fitted side by side, those of the last estimator last; the loop is
+    over candidates, not rows.
     """
     train, valid, test = (rows.filter(F.col("split") == x) for x in ("Train", "Valid", "Test"))
     both, place = rows.filter(F.col("split").isin("Train", "Valid")), {c: i for i, c in enumerate(columns)}
@@ -98,14 +100,15 @@ def search(rows: DataFrame, columns: Sequence[str], feature_sets: dict[str, Sequ
 
     def tried(candidate: tuple[str, str]) -> tuple[float, str, str]:
         name, kind = candidate
-        return metrics(fit_slice(train, sets[name], estimators[kind].copy()), valid)["rmse"], name, kind
+        model = (fitted or {}).get(candidate) or fit_slice(train, sets[name], estimators[kind].copy())
+        return metrics(model, valid)["rmse"], name, kind
 
     def scored(found: tuple[float, str, str]) -> dict:
         rmse, name, kind = found
         return {"features": name, "n_features": len(sets[name]), "model": kind, "valid_rmse": rmse, **metrics(fit_slice(both, sets[name], estimators[kind].copy()), test)}
 
     with ThreadPoolExecutor(parallelism) as pool:
-        best = sorted(pool.map(inheritable_thread_target(tried), [(n, k) for n in sets for k in estimators]))[:keep]
+        best = sorted(pool.map(inheritable_thread_target(tried), [(n, k) for k in estimators for n in sets]))[:keep]
         out = list(pool.map(inheritable_thread_target(scored), best))
     return sorted(out, key=lambda r: (r["rmse"], r["features"], r["model"]))
 

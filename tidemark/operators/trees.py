@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -77,60 +78,147 @@ class _Growing:
 
     def place(self, tree: int, x: np.ndarray) -> np.ndarray:
         """The node that each row has come to."""
-        at, rows = np.ones(len(x), dtype=np.int64), np.arange(len(x))
+        flat, first, at = x.ravel(), np.arange(len(x)) * x.shape[1], np.ones(len(x), dtype=np.int64)
+        column, threshold = np.maximum(self.feature[tree], 0), self.threshold[tree]
+        # nothing is right of the threshold of a node without a feature, and its rows stay
+        left = np.where(self.feature[tree] >= 0, 2, 1) * np.arange(len(column))
         for _ in range(self.level):
-            feature = self.feature[tree][at]
-            right = x[rows, np.maximum(feature, 0)] > self.threshold[tree][at]
-            at = np.where(feature >= 0, 2 * at + right, at)
+            at = left.take(at) + (flat.take(first + column.take(at)) > threshold.take(at))
         return at
 
+    def in_codes(self, values: list[np.ndarray]) -> _Growing:
+        """The same trees for codes: each threshold becomes the last code, of a feature's values in order, that isn't above it."""
+        out = _Growing(0, 0)
+        out.feature, out.level, out.threshold = self.feature, self.level, np.full(self.feature.shape, ROWS, dtype=np.int32)
+        for f, v in enumerate(values):
+            own = self.feature == f
+            out.threshold[own] = np.searchsorted(v, self.threshold[own], side="right") - 1
+        return out
+
+
+#: Rows of a block at most, so that a code has 16 bits and is under 65,535.
+ROWS = 65_535
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """x and y of the rows of Arrow batches, joined to blocks of at most `most` rows."""
+    held, n = [], 0
+    for batch in batches:
+        for part in (batch.slice(at, most) for at in range(0, batch.num_rows, most)):
+            if n + part.num_rows > most:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held, n = [], 0
+            held.append((part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), part.column("y").to_numpy(zero_copy_only=False)))
+            n += part.num_rows
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def coded(rows: DataFrame) -> DataFrame:
+    """(x, y) rows as blocks (codes, sizes, values, y) of at most 65,535 rows: of each feature the block's different values in order, and of each row their numbers.
+
+    A code keeps the order of what it stands for, so cuts and ranges are exact, and a row takes
+    two bytes a feature however often it is read.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y in _blocks(batches):
+            codes, values = np.empty(x.shape, dtype=np.uint16), []
+            for f in range(x.shape[1]):
+                different, codes[:, f] = np.unique(x[:, f], return_inverse=True)
+                values.append(different)
+            block = {"codes": codes.tobytes(), "sizes": [len(v) for v in values], "values": np.concatenate(values).astype(float).tobytes(), "y": y.astype(float).tobytes()}
+            yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.list_(pa.int32()) if k == "sizes" else pa.binary()) for k, v in block.items()})
+
+    return rows.mapInArrow(run, "codes binary, sizes array<int>, values binary, y binary")
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """codes, values and y of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            codes, values, y = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=kind) for c, kind in (("codes", np.uint16), ("values", float), ("y", float)))
+            sizes = batch.column("sizes")[i].as_py()
+            yield codes.reshape(len(y), len(sizes)), np.split(values, np.cumsum(sizes)[:-1]), y
+
+
+#: Lines that are taken together where there are many, as numpy's cost of short ones is by the line.
+FOLD = 16
+
+#: Rows that are compared at once, so that what they become stays in a core's cache.
+STEP = 2_048
+
+
+def _ends(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest of each column."""
+    whole, width = len(codes) // FOLD * FOLD if len(codes) >= STEP else 0, codes.shape[1]
+    folded = codes[:whole].reshape(-1, FOLD * width)
+    return tuple(f(np.concatenate([codes[whole:], *([f(folded, axis=0).reshape(FOLD, width)] if whole else [])]), axis=0) for f in (np.min, np.max))
+
+
+def _under(codes: np.ndarray, cut: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the rows where each column is under its cut their number and the sum of y, in two lines."""
+    both = np.stack([np.ones(len(y)), y])
+    return sum(both[:, at:at + STEP] @ (codes[at:at + STEP] < cut).astype(float) for at in range(0, len(y), STEP))
+
 
 def _sums(rows: DataFrame, growing: _Growing, open_: list[np.ndarray], cuts: list[np.ndarray] | None) -> pd.DataFrame:
     """(tree, node, feature) with n, s, lo and hi of all rows of the open nodes, or with those left of each feature's cut.
 
-    Each task adds up its rows before anything moves, so a row for each open node and feature
-    leaves it: as many as the trees have, not as the table has.
+    rows: (x, y) rows or their blocks. Each task adds up its rows before anything moves, so four
+    numbers for each open node and feature leave it, in a row a tree: as many as the trees have,
+    not as the table has.
     """
-    kinds = "tree int, node long, feature int, n double, s double, lo double, hi double"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for frame in frames:
-            x, y = np.array(frame["x"].tolist(), dtype=float), frame["y"].to_numpy(dtype=float)
-            if not len(y):
-                continue
-            if held is None:
-                held = [[np.zeros((len(o), x.shape[1])), np.zeros((len(o), x.shape[1])), np.full((len(o), x.shape[1]), np.inf), np.full((len(o), x.shape[1]), -np.inf)] for o in open_]
-            for tree, nodes in enumerate(open_):
-                if not len(nodes):
-                    continue
-                at = growing.place(tree, x)
-                slot = np.minimum(np.searchsorted(nodes, at), len(nodes) - 1)
-                own = np.flatnonzero(nodes[slot] == at)
-                if not len(own):
-                    continue
-                own = own[np.argsort(slot[own], kind="stable")]
-                slot, xs, ys = slot[own], x[own], y[own]
+    kinds = "tree int, n binary, s binary, lo binary, hi binary"
+    names, neutral, joined = ("n", "s", "lo", "hi"), (0.0, 0.0, np.inf, -np.inf), (np.add, np.add, np.minimum, np.maximum)
+
+    def batch(held: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"tree": pa.array(list(held), pa.int32()), **{c: pa.array([v[i].tobytes() for v in held.values()], pa.binary()) for i, c in enumerate(names)}})
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for x, values, y in _read_blocks(batches):
+            if not held:
+                held = {t: [np.full((len(o), x.shape[1]), v) for v in neutral] for t, o in enumerate(open_) if len(o)}
+            offsets, every, own = np.cumsum([0, *map(len, values)])[:-1], np.concatenate(values), growing.in_codes(values)
+            for tree, (n, s, lo, hi) in held.items():
+                at = own.place(tree, x).astype(np.min_scalar_type(growing.feature.shape[1]))
+                order = np.argsort(at, kind="stable")
+                at, xs, ys = at.take(order), x.take(order, axis=0), y.take(order)
                 # rows of a node lie side by side: each node's are added up in one go
-                first = np.flatnonzero(np.diff(slot, prepend=-1))
-                there = slot[first]
-                n, s, lo, hi = held[tree]
-                if cuts is None:
-                    n[there] += np.diff(first, append=len(slot))[:, None]
-                    s[there] += np.add.reduceat(ys, first)[:, None]
-                    lo[there] = np.minimum(lo[there], np.minimum.reduceat(xs, first, axis=0))
-                    hi[there] = np.maximum(hi[there], np.maximum.reduceat(xs, first, axis=0))
-                else:
-                    left = (xs <= cuts[tree][slot]).astype(float)
-                    n[there] += np.add.reduceat(left, first, axis=0)
-                    s[there] += np.add.reduceat(left * ys[:, None], first, axis=0)
-        for tree, nodes in enumerate(open_) if held is not None else []:
-            n, s, lo, hi = held[tree]
-            node, feature = np.meshgrid(nodes, np.arange(n.shape[1]), indexing="ij")
-            yield pd.DataFrame({"tree": tree, "node": node.ravel(), "feature": feature.ravel(), "n": n.ravel(), "s": s.ravel(), "lo": lo.ravel(), "hi": hi.ravel()})
-
-    found = rows.mapInPandas(run, kinds).groupBy("tree", "node", "feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return found.toPandas().sort_values(["tree", "node", "feature"])
+                first, last = np.searchsorted(at, open_[tree]), np.searchsorted(at, open_[tree], side="right")
+                if cuts is not None:
+                    above = np.stack([np.searchsorted(v, cuts[tree][:, f], side="right") for f, v in enumerate(values)], axis=1).astype(np.uint16)
+                for i in np.flatnonzero(last > first):
+                    codes, target = xs[first[i]:last[i]], ys[first[i]:last[i]]
+                    if cuts is None:
+                        least, greatest = _ends(codes)
+                        n[i] += len(target)
+                        s[i] += target.sum()
+                        lo[i] = np.minimum(lo[i], every.take(offsets + least))
+                        hi[i] = np.maximum(hi[i], every.take(offsets + greatest))
+                    else:
+                        count, total = _under(codes, above[i], target)
+                        n[i] += count
+                        s[i] += total
+        if held:
+            yield batch(held)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for i, tree in enumerate(b.column("tree").to_pylist()):
+                own = [np.frombuffer(b.column(c)[i].as_buffer()) for c in names]
+                held[tree] = [f(x, y) for f, x, y in zip(joined, held[tree], own)] if tree in held else [v.copy() for v in own]
+        if held:
+            yield batch(held)
+
+    blocks = rows if "codes" in rows.columns else coded(rows)
+    found, out = blocks.mapInArrow(measured, kinds).repartition(min(4, len(open_)), "tree").mapInArrow(added, kinds).toArrow().to_pylist(), []
+    for r in sorted(found, key=lambda r: r["tree"]):
+        own, nodes = {c: np.frombuffer(r[c]) for c in names}, open_[r["tree"]]
+        width = len(own["n"]) // len(nodes)
+        out.append(pd.DataFrame({"tree": r["tree"], "node": np.repeat(nodes, width), "feature": np.tile(np.arange(width), len(nodes)), **own}))
+    return pd.concat(out) if out else pd.DataFrame(columns=["tree", "node", "feature", *names])
 
 
 def _by_tree(found: pd.DataFrame, open_: list[np.ndarray], column: str, features: int) -> list[np.ndarray]:
@@ -138,7 +226,7 @@ def _by_tree(found: pd.DataFrame, open_: list[np.ndarray], column: str, features
 
 
 def grow(rows: DataFrame, features: int, trees: int, depth: int, least: int, share: float, seed: int) -> tuple[Forest, np.ndarray]:
-    """Extremely randomised trees on (x, y) rows, and the importance of each feature.
+    """Extremely randomised trees on (x, y) rows or their blocks, and the importance of each feature.
 
     A node tries a share of the features, each at one threshold drawn between the least and
     greatest value of its own rows, and takes the cut that lowers the squared error most, the
@@ -148,7 +236,7 @@ def grow(rows: DataFrame, features: int, trees: int, depth: int, least: int, sha
     """
     growing, value, gain = _Growing(trees, depth), [{} for _ in range(trees)], np.zeros((trees, features))
     open_ = [np.array([1]) for _ in range(trees)]
-    for level in range(depth + 1):
+    for level in range(max(1, depth)):
         if not any(len(o) for o in open_):
             break
         ranges = _sums(rows, growing, open_, None)
@@ -172,11 +260,14 @@ def grow(rows: DataFrame, features: int, trees: int, depth: int, least: int, sha
                 able[places[t][i][0]] = True
                 able &= (ln[t][i] >= least) & (rn >= least)
                 better = np.where(able, ls[t][i] ** 2 / np.maximum(ln[t][i], 1) + rs**2 / np.maximum(rn, 1) - s[t][i, 0] ** 2 / total, -np.inf)
-                best = int(better.argmax())
+                # what differs by rounding alone is equal, in whatever order tasks were added up
+                best = int((better >= better.max() - 1e-12 * max(1.0, s[t][i, 0] ** 2 / total)).argmax())
                 if better[best] > 1e-12 * max(1.0, abs(s[t][i, 0])):
                     growing.feature[t, node], growing.threshold[t, node] = best, cuts[t][i, best]
                     gain[t, best] += better[best]
                     new += [2 * int(node), 2 * int(node) + 1]
+                    # leaves of the last level need no further pass: both sides have been added up
+                    value[t].update({new[-2]: ls[t][i, best] / ln[t][i, best], new[-1]: rs[best] / rn[best]})
             following.append(np.array(new, dtype=np.int64))
         open_, growing.level = following, level + 1
     nodes, roots = [], []
@@ -200,14 +291,15 @@ class ExtraTrees(Estimator):
         self.options = {"trees": trees, "depth": depth, "least": least, "share": share, "seed": seed}
 
     def _fit(self, dataset: DataFrame) -> ExtraTreesModel:
-        rows = dataset.select(vector_to_array("features").alias("x"), F.col("target").cast("double").alias("y")).filter("y is not null").cache()
+        rows = dataset.select(vector_to_array("features").alias("x"), F.col("target").cast("double").alias("y")).filter("y is not null")
+        blocks = coded(rows).cache()
         try:
-            width = rows.select(F.size("x").alias("n")).first()
+            width = blocks.select(F.size("sizes").alias("n")).first()
             if width is None:
                 raise ValueError("no rows to grow trees on")
-            forest, gain = grow(rows, width["n"], **self.options)
+            forest, gain = grow(blocks, width["n"], **self.options)
         finally:
-            rows.unpersist()
+            blocks.unpersist()
         return ExtraTreesModel(forest, gain)
 
 
